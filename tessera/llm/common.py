@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker takes from an Arrow batch at once.
@@ -33,7 +34,7 @@ def slices(batches: Iterable[pa.RecordBatch], text_column: str = "text") -> Iter
         n = batch.num_rows
         if not n:
             continue
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text_column)), 0))
+        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_column)), 0))
         ends = np.cumsum(lengths, dtype=np.int64)
         start = 0
         while start < n:
