@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import media, quality_model, token_counts, toxicity
+from tessera.llm import media, quality_model, quality_rules, token_counts, toxicity
 from tessera.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,13 +26,17 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality(docs, quality_model.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_token_counts, op5_media_columns, op8_quality_classifier, op10_toxicity)}
+    return {f.__name__: f for f in (op3_token_counts, op5_media_columns, op8_quality_classifier, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
