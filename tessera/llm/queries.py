@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import media, mixing, packing, quality_model, quality_rules, token_counts, toxicity
+from tessera.llm import jaccard, media, mixing, packing, quality_model, quality_rules, token_counts, toxicity
 from tessera.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -44,7 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_token_counts, op4_source_mixing, op5_media_columns, op7_best_fit_packing, op8_quality_classifier, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op3_token_counts, op4_source_mixing, op5_media_columns, op6_ngram_jaccard_join, op7_best_fit_packing, op8_quality_classifier, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
