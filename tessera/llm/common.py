@@ -28,8 +28,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text_column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a slice holds about ``SLICE_BYTES`` of text (a longer text stands alone)."""
+def slices(batches: Iterable[pa.RecordBatch], text_column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a slice holds about ``size`` bytes of text (a longer text stands alone)."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -39,7 +39,7 @@ def slices(batches: Iterable[pa.RecordBatch], text_column: str = "text") -> Iter
         start = 0
         while start < n:
             before = int(ends[start - 1]) if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
 
