@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import jaccard, media, mixing, packing, quality_model, quality_rules, suffix_dedup, token_counts, toxicity
+from tessera.llm import html_extract, jaccard, media, mixing, packing, quality_model, quality_rules, suffix_dedup, token_counts, toxicity
 from tessera.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -52,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op3_token_counts, op4_source_mixing, op5_media_columns, op6_ngram_jaccard_join, op7_best_fit_packing, op8_quality_classifier, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_html_extraction, op3_token_counts, op4_source_mixing, op5_media_columns, op6_ngram_jaccard_join, op7_best_fit_packing, op8_quality_classifier, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
