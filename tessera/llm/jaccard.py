@@ -32,8 +32,8 @@ BITMAP = 1 << 15
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_WHITE = np.zeros(256, bool)
-_WHITE[[32, *range(9, 14)]] = True
+WHITE = np.zeros(256, bool)
+WHITE[[32, *range(9, 14)]] = True
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -45,7 +45,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def gram_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """For each text its distinct n-gram hashes in order; the whole sequence where it has fewer words."""
     data, starts = joined_bytes([t + b"\n" for t in texts])
-    white = _WHITE[data]
+    white = WHITE[data]
     begin = np.flatnonzero(~white & np.r_[True, white[:-1]])
     end = np.flatnonzero(~white & np.r_[white[1:], True]) + 1
     q = np.uint64(0x9E3779B97F4A7C15)
