@@ -24,7 +24,7 @@ from tessera.llm.folds import fold, labelled_sample
 
 BUCKETS, DIMENSIONS, BLOCKS, REACH = 8192, 32, 32, (1, 2)
 #: Bound of the training sample: documents of a class.
-PER_CLASS = 6000
+PER_CLASS = (6000, 6000)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 _byte = np.arange(256)
@@ -194,8 +194,8 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, hidden: int = 24, ep
     return net._replace(temperature=min((float(t) for t in np.geomspace(0.5, 20, 120)), key=loss))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = PER_CLASS) -> tuple[np.ndarray, Network]:
-    """Word vectors from all documents; the network from at most ``per_class`` training documents of a class."""
+def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: tuple[int, int] = PER_CLASS) -> tuple[np.ndarray, Network]:
+    """Word vectors from all documents; the network from at most ``per_class[c]`` training documents of class c."""
     vectors = word_vectors(context_table(docs))
     sample = labelled_sample(labels, "quality", fold(folds) != held_out, per_class)
 

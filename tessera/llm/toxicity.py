@@ -28,8 +28,8 @@ from tessera.llm.folds import class_totals, fold, labelled_sample
 BITS, DIMENSIONS, SEGMENT, GRAMS = 18, 8, 8, (3, 4, 5, 6, 7)
 #: Words of the segments whose most toxic one a document's logit goes by, besides its mean.
 VIEWS = (1, 8, 64)
-#: Bounds of the training sample: documents of a class, and bytes of a document that may be in it.
-PER_CLASS, SAMPLE_BYTES = 1500, 32768
+#: Bounds of the training sample: documents of class 0 and 1, and bytes of a document that may be in it.
+PER_CLASS, SAMPLE_BYTES = (1400, 700), 32768
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 _byte = np.arange(256)
@@ -121,7 +121,7 @@ def train(texts: list[bytes], labels: np.ndarray, totals: dict[int, int], seed:
     kept = max(1, len(order) * 7 // 10)  # the others fit the logistic map
     order, rest = order[:kept], order[kept:] if len(set(labels[order[kept:]])) == 2 else order
     groups, seen = [], np.zeros((2, 1 << BITS))
-    for part in np.array_split(order, max(1, len(order) // 150)):
+    for part in np.array_split(order, max(1, len(order) // 100)):
         s = subwords([texts[i] for i in part])
         if not len(s.words):
             continue
@@ -134,14 +134,18 @@ def train(texts: list[bytes], labels: np.ndarray, totals: dict[int, int], seed:
         once = np.unique(s.segment_text[segment].astype(np.int64) << BITS | bucket)
         for c in (0, 1):
             seen[c] += np.bincount(once[labels[part][once >> BITS] == c] & ((1 << BITS) - 1), minlength=1 << BITS)
-        groups.append((bucket, segment, share.astype(np.float32), s.segment_text, labels[part], len(part)))
+        groups.append((bucket, segment.astype(np.int32), share.astype(np.float32), s.segment_text, labels[part], len(part)))
+        del word, once, span, s
     if not groups:
         return constant(float(totals.get(1, 0)) / max(1, sum(totals.values())))
     # Subwords of fewer documents keep a zero vector: so few say nothing about them.
     known = np.flatnonzero(seen.sum(0) >= min_documents)
-    place = np.full(1 << BITS, -1)
-    place[known] = np.arange(len(known))
-    groups = [(place[b][k := place[b] >= 0], g[k], h[k], *rest) for b, g, h, *rest in groups]
+    place = np.full(1 << BITS, -1, np.int32)
+    place[known] = np.arange(len(known), dtype=np.int32)
+    for i, (b, g, h, *others) in enumerate(groups):
+        b = place[b]
+        k = b >= 0
+        groups[i] = (b[k], g[k], h[k], *others)
     # The vectors start along one direction, by how much likelier toxic documents have the subword, less what chance explains.
     counts, n = seen[:, known], np.bincount(labels[order], minlength=2)
     likelier = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 0.5) / (n[0] + 1))
@@ -203,8 +207,8 @@ def logistic_map(x: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple
     return w[:-1] / scale, float(w[-1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, per_class: int = PER_CLASS) -> Model:
-    """A model from at most ``per_class`` training documents of each class, none of the held-out fold."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, per_class: tuple[int, int] = PER_CLASS) -> Model:
+    """A model from at most ``per_class[c]`` training documents of class c, none of the held-out fold."""
     training = fold(folds) != held_out
     sample = labelled_sample(labels, "toxic", training, per_class)
     picked = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(sample), "doc_id")
