@@ -124,9 +124,6 @@ def search(files: DataFrame, lines: DataFrame, terms: Terms) -> DataFrame:
     return found.select("path", "line_no", "mask", penalised(F.col("path"), F.col("score")).alias("score"))
 
 
-HIT_ORDER = (F.desc("score"), F.asc("path"), F.asc("line_no"))
-
-
 def top_hits(hits: DataFrame, limit: int = MAX_HITS) -> DataFrame:
     return hits.orderBy("score", "path", "line_no", ascending=[False, True, True]).limit(limit)
 
