@@ -135,7 +135,8 @@ def mix_blocks(sized: DataFrame, plan: Plan, rows: int, seed: int = 17, block_wo
     first = F.greatest(F.col("block") * block_words - F.col("start"), F.lit(0))
     last = F.least((F.col("block") + 1) * block_words - F.col("start"), F.col("size"))
     parts = parts.select("number", "block", "doc_id", "copy", first.alias("first"), last.alias("last"))
-    return parts.join(drawn, ["number", "block"]).select("doc_id", "copy", "first", "last", "times")
+    # The planner takes the slots for small, as it does not see how many rows they become: no broadcast.
+    return parts.join(drawn.hint("merge"), ["number", "block"]).select("doc_id", "copy", "first", "last", "times")
 
 
 def mixture(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, shards: int = SHARDS) -> DataFrame:
