@@ -8,6 +8,8 @@ expanded gap most tightly replace it, if they fill it better.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -20,30 +22,62 @@ from tokenizers import Tokenizer
 
 from tessera.llm.common import map_texts, text_bytes
 
-CAPACITY, GROUP_PIECES, MEMO = 2048, 8192, 400_000
+CAPACITY, GROUP_PIECES, MEMO = 2048, 8192, 500_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 
 
+#: What the tokenizer makes of ASCII text, lower-cased: contractions, runs of letters, single digits, runs of other marks.
+ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: A word of Latin letters whose case has one form each way, and the marks after it.
+LATIN_PARTS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+)([.,;:!?#$%&*]*)")
+
+
 class WordEncoder:
-    """Ids by words: the tokenizer drops white space and looks at nothing across it, so words are independent."""
+    """Ids by words: the tokenizer drops white space and looks at nothing across it, so words are independent.
+
+    Words are cut further, where that is certain to be the tokenizer's own cut, so that a word counts once
+    whatever its case and the marks after it. Each distinct part goes through the tokenizer once.
+    """
 
     def __init__(self, file: str):
         self.tokenizer = Tokenizer.from_file(file)
-        self.memo: dict[bytes, np.ndarray] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def cut(word: bytes) -> list[bytes]:
+        if word.isascii():
+            return [word] if b"<|" in word else ASCII_PARTS.findall(word.lower())
+        found = LATIN_PARTS.fullmatch(text := word.decode())
+        if not found:
+            return [word]
+        return [p.encode() for p in (found[1].lower(), found[2]) if p] if unicodedata.is_normalized("NFC", text) else [word]
+
+    def learn(self, words: list[bytes]) -> None:
+        cuts = [self.cut(w) for w in words]
+        fresh = list({p for parts in cuts for p in parts} - self.parts.keys())
+        if len(self.parts) + len(fresh) > MEMO:
+            self.parts = {}
+            fresh = list({p for parts in cuts for p in parts})
+        for i in range(0, len(fresh), 20_000):
+            some = fresh[i : i + 20_000]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
+                self.parts[p] = np.array(e.ids, dtype="<u4").tobytes()
+        get = self.parts.__getitem__
+        for w, parts in zip(words, cuts, strict=True):
+            self.words[w] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers, with an id 0 at the end."""
         words = [t.split() for t in texts]
-        fresh = list({w for ws in words for w in ws} - self.memo.keys())
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo = {}
-            fresh = list({w for ws in words for w in ws})
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
-        get, end = self.memo.__getitem__, b"\0\0\0\0"
+        distinct = set().union(*words)
+        fresh = distinct - self.words.keys()
+        if len(self.words) + len(fresh) > MEMO:
+            self.words = {}
+            fresh = distinct
+        self.learn(list(fresh))
+        get, end = self.words.__getitem__, b"\0\0\0\0"
         return [np.frombuffer(b"".join(map(get, ws)) + end, "<u4") for ws in words]
 
 
