@@ -23,8 +23,10 @@ from tessera.llm.common import cut, joined_bytes, map_texts, slices, text_bytes
 from tessera.llm.components import components
 
 WORDS, PERCENT, FRAGMENTS = 5, 75, 4
-#: An n-gram is common when a task finds it in so many of its documents, and at least in so large a share; at most so many are kept.
-COMMON_DOCUMENTS, COMMON_SHARE, COMMON_GRAMS = 8, 1 / 500, 1 << 19
+#: An n-gram is common when a task finds it in so many of its documents; at most so many are kept.
+COMMON_DOCUMENTS, COMMON_GRAMS = 3, 1 << 19
+#: Rounds in which classes of long lists meet the list's hub before all pairs of components are looked at.
+STAR_ROUNDS = 2
 #: Lists up to this length give all their pairs at once.
 SHORT_LIST = 6
 #: 64-bit words of the bitmap that picks the documents whose sets are fetched.
@@ -95,7 +97,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """For each document ``kind`` 0, id, set size and fingerprint; ``kind`` 1 rows have n-grams common in a task and their counts."""
 
     def run(batches):
-        counts, held, documents = [], 0, 0
+        counts, held = [], 0
         common: dict[int, int] = {}
 
         def flush() -> None:
@@ -109,15 +111,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
         for part in slices(batches):
             sets = gram_sets(text_bytes(part.column("text")))
-            documents += len(sets)
             counts += sets
             held += sum(map(len, sets))
             if held > 4_000_000:
                 flush()
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], ["kind", "id", "n", "name"])
         flush()
-        floor = max(COMMON_DOCUMENTS, documents * COMMON_SHARE)
-        kept = [(g, c) for g, c in common.items() if c >= floor]
+        kept = [(g, c) for g, c in common.items() if c >= COMMON_DOCUMENTS]
         if kept:
             gram = np.array([g for g, _ in kept], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(kept), np.int32)), pa.array(gram), pa.array([c for _, c in kept], pa.int64()), pa.array(np.zeros(len(kept), np.int64))], ["kind", "id", "n", "name"])
@@ -232,30 +232,28 @@ def bitmap(names: DataFrame) -> np.ndarray:
 
 
 def fetched_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """``name, fragment, grams``: the sets of the named classes (and of a few more), by fragment."""
+    """``name, fragment, grams``: the sets of the classes (``name, id``: one document of each), by fragment."""
     bits = bitmap(names)
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        out: list[list] = [[], [], []]
-        seen = set()
+        out: list[list] = [[], [], [], []]
         sets = gram_sets(text_bytes(part.column("text")))
         own = [fingerprint(s) for s in sets]
         h = spark_xxhash64(np.array(own, np.int64))
         hit = (bits[(h % BITMAP + BITMAP) % BITMAP] >> ((h >> 20) % 64)) & 1
-        for name, s, ok in zip(own, sets, hit, strict=True):
-            if ok and len(s) and name not in seen:
-                seen.add(name)
+        for doc_id, name, s, ok in zip(part.column("doc_id").to_pylist(), own, sets, hit, strict=True):
+            if ok and len(s):
                 cuts = np.searchsorted(s, [np.uint64((1 << 64) // FRAGMENTS * f) for f in range(1, FRAGMENTS)])
                 for f, piece in enumerate(np.split(s, cuts)):
-                    out[0].append(name)
-                    out[1].append(f)
-                    out[2].append(piece.tobytes())
+                    for column, value in zip(out, (doc_id, name, f, piece.tobytes()), strict=True):
+                        column.append(value)
         if not out[0]:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["name", "fragment", "grams"])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "name", "fragment", "grams"])
 
-    got = map_texts(docs.select("doc_id", "text"), work, "name long, fragment int, grams binary")
-    return got.join(names, "name", "left_semi").dropDuplicates(["name", "fragment"])
+    got = map_texts(docs.select("doc_id", "text"), work, "doc_id long, name long, fragment int, grams binary")
+    return got.join(names.select("name", F.col("id").alias("of")), "name").where(F.col("doc_id").eqNullSafe(F.col("of"))).select("name", "fragment", "grams")
 
 
 def spark_xxhash64(values: np.ndarray) -> np.ndarray:
@@ -274,49 +272,96 @@ def spark_xxhash64(values: np.ndarray) -> np.ndarray:
 def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """The pairs (``a, b``) whose summed fragment overlaps make them similar enough."""
     names = pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct()
-    sets = fetched_sets(docs, names)
+    sets = fetched_sets(docs, cut(names.join(sizes.select("name", "id"), "name")))
 
     def overlap(batches):
         for batch in batches:
             a, b = batch.column("ga").to_pylist(), batch.column("gb").to_pylist()
             n = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64())], ["a", "b", "shared"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("fragment"), pa.array(n, pa.int64())], ["a", "b", "fragment", "shared"])
 
     left = pairs.join(sets.select(F.col("name").alias("b"), "fragment", F.col("grams").alias("gb")), "b")
     both = left.join(sets.select(F.col("name").alias("a"), "fragment", F.col("grams").alias("ga")), ["a", "fragment"])
-    summed = both.select("a", "b", "ga", "gb").mapInArrow(overlap, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    counted = both.select("a", "b", "fragment", "ga", "gb").mapInArrow(overlap, "a long, b long, fragment int, shared long")
+    # Rows that repeat an id give a fragment more than once.
+    summed = counted.groupBy("a", "b", "fragment").agg(F.max("shared").alias("shared")).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     na = sizes.select(F.col("name").alias("a"), F.col("n").alias("na"))
     nb = sizes.select(F.col("name").alias("b"), F.col("n").alias("nb"))
     return summed.join(na, "a").join(nb, "b").where(100 * F.col("shared") >= PERCENT * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
+def possible(pairs: DataFrame, sizes: DataFrame, long_: DataFrame | None) -> DataFrame:
+    """The pairs (``a, b, c``) that may be similar, by the n-grams that their prefixes can share.
+
+    Common n-grams up to the end of the prefix that ends first are in both prefixes; beyond it there are at most
+    what the set has left. ``c`` counts the shared n-grams of short lists; of long lists (``name, lists``) two
+    sets share at most as many as either is in.
+    """
+    of = sizes.select("name", "n") if long_ is None else sizes.select("name", "n").join(long_, "name", "left")
+    lists = F.lit(0) if long_ is None else F.coalesce("lists", F.lit(0))
+    of = of.select("name", "n", lists.alias("lists"))
+    pairs = pairs.join(of.toDF("a", "na", "ma"), "a").join(of.toDF("b", "nb", "mb"), "b")
+    rest = F.greatest(F.ceil(F.col("na") * PERCENT / 100), F.ceil(F.col("nb") * PERCENT / 100)) - 1
+    shared = F.col("c") + F.least("ma", "mb") + rest
+    return pairs.where((100 + PERCENT) * shared >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b", "c")
+
+
 def similar_classes(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """``node, label``: the components of the classes that are linked with another class."""
     common = common_grams(scanned)
-    sizes = scanned.where("kind = 0 and n > 0").select("name", "n").distinct()
+    sizes = cut(scanned.where("kind = 0 and n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min("id").alias("id")))
     found = cut(lists_to_pairs(postings(docs, common)).groupBy("kind", "a", "b").agg(F.sum("c").alias("c")))
-    stars = found.where("kind = 0").select("a", "b", "c")
-    # Of the stars a class is in, the one with most shared n-grams goes first; the rest follow where still needed.
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).union(stars.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select(F.col("b").alias("b"), "a"))
-    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    long_ = cut(found.where("kind = 2").groupBy(F.col("b").alias("name")).agg(F.count(F.lit(1)).alias("lists")))
+    pairs = found.where("kind < 2").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    pairs = cut(possible(pairs, sizes, long_))
+    # Of the pairs that a class is in, the one with most shared n-grams goes first; the rest follow where still needed.
+    one_way = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+    other_way = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select("a", "b")
+    best = cut(one_way.union(other_way).distinct())
     links = cut(verified(docs, best, sizes))
     labels = components(links)
-    own = lambda c: F.coalesce(F.col(f"l{c}"), F.col(c))
+    # Of long lists each class then meets the list's most connected class, while lists have classes of several components.
+    lists = found.where("kind = 2").select(F.col("a").alias("gram"), "b", F.col("c").alias("n"))
+    for _ in range(STAR_ROUNDS):
+        hubs = cut(hub_pairs(cut(open_members(lists, labels)), long_))
+        hubs = cut(possible(hubs, sizes, long_).select("a", "b").join(best, ["a", "b"], "left_anti"))
+        if hubs.isEmpty():
+            break
+        best = cut(best.union(hubs))
+        links = cut(links.union(verified(docs, hubs, sizes)))
+        labels = components(links)
+    # What is left: pairs of different components. All long lists that such a pair shares are open.
     la, lb = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
-    rest = found.where("kind < 2").select("a", "b").distinct().join(best, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where(own("a") != own("b")).select("a", "b")
-    # Long lists: pairs from different components only.
-    members = found.where("kind = 2").select(F.col("a").alias("gram"), F.col("b"), F.col("c").alias("n")).join(lb, "b", "left").select("gram", "b", "n", own("b").alias("label"))
-    open_ = members.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
-    members = members.join(open_, "gram")
+    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    rest, members = cut(rest), cut(open_members(lists, labels))
     other = members.select("gram", F.col("b").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     sized = F.least("n", "na") * 100 >= F.greatest("n", "na") * PERCENT
-    across = members.join(other, "gram").where((F.col("label") < F.col("la")) & sized).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    across = members.join(other, "gram").where((F.col("label") < F.col("la")) & sized).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("more"))
+    short = found.where("kind < 2").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    across = possible(cut(across).join(short, ["a", "b"], "left").select("a", "b", (F.col("more") + F.coalesce("c", F.lit(0))).alias("c")), sizes, None).select("a", "b")
     rest = cut(rest.union(across).distinct().join(best, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return labels
     return components(links.union(cut(verified(docs, rest, sizes))))
 
 
+def open_members(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """``gram, b, n, label`` of the long lists whose classes are of several components."""
+    members = lists.join(labels.select(F.col("node").alias("b"), "label"), "b", "left").select("gram", "b", "n", F.coalesce("label", "b").alias("label"))
+    several = members.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
+    return members.join(several, "gram")
+
+
+def hub_pairs(members: DataFrame, long_: DataFrame) -> DataFrame:
+    """For each class the pair (``a, b, c``) with the hub that it meets in most lists: of a list, the class that is in most lists."""
+    weighed = members.join(long_.withColumnRenamed("name", "b"), "b")
+    hubs = weighed.groupBy("gram").agg(F.max_by(F.struct(F.col("b").alias("hub"), F.col("n").alias("hn"), F.col("label").alias("hl")), F.struct("lists", "b")).alias("h")).select("gram", "h.hub", "h.hn", "h.hl")
+    sized = F.least("n", "hn") * 100 >= F.greatest("n", "hn") * PERCENT
+    met = members.join(hubs, "gram").where((F.col("label") != F.col("hl")) & sized).groupBy("b", "hub").agg(F.count(F.lit(1)).alias("c"))
+    best = met.groupBy("b").agg(F.max_by(F.struct("hub", "c"), F.struct("c", "hub")).alias("h"))
+    return best.select(F.least("b", "h.hub").alias("a"), F.greatest("b", "h.hub").alias("b"), F.col("h.c").alias("c")).distinct()
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row for each row of ``docs``.
 
