@@ -21,11 +21,11 @@ def _bit(key: str) -> Column:
 
 
 def bitmap(keys: DataFrame, key: str) -> DataFrame:
-    """``word, bits``: at most ``WORDS`` rows."""
-    return keys.groupBy(_word(key).alias("word")).agg(F.bit_or(_bit(key)).alias("bits"))
+    """``__word, __bits``: at most ``WORDS`` rows."""
+    return keys.groupBy(_word(key).alias("__word")).agg(F.bit_or(_bit(key)).alias("__bits"))
 
 
 def maybe(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
-    """``rows`` with ``maybe``: whether the key may be in the set."""
-    joined = rows.withColumn("word", _word(key)).join(F.broadcast(bits), "word", "left")
-    return joined.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(_bit(key)) != 0, F.lit(False))).drop("word", "bits")
+    """``rows`` with ``__maybe``: whether the key may be in the set."""
+    joined = rows.withColumn("__word", _word(key)).join(F.broadcast(bits), "__word", "left")
+    return joined.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(_bit(key)) != 0, F.lit(False))).drop("__word", "__bits")

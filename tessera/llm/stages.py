@@ -41,9 +41,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     known = groups.where("doc_id is not null")
     gone = known.where("doc_id <> component_id").select("doc_id").distinct()
     twice = known.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    flagged = maybe(docs, "doc_id", bitmap(gone.union(twice), "doc_id")).withColumn("maybe", F.col("maybe") & F.col("doc_id").isNotNull())
-    looked_at = flagged.where("maybe").drop("maybe").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return flagged.where("not maybe").drop("maybe").select(docs.columns).union(looked_at.select(docs.columns))
+    flagged = maybe(docs, "doc_id", bitmap(gone.union(twice), "doc_id")).withColumn("__maybe", F.col("__maybe") & F.col("doc_id").isNotNull())
+    looked_at = flagged.where("__maybe").drop("__maybe").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return flagged.where("not __maybe").drop("__maybe").select(docs.columns).union(looked_at.select(docs.columns))
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,19 +63,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not plan.sources:
         return docs
     blocks = mixing.mix_blocks(sized, plan, sized.count())
-    taken = blocks.groupBy(F.col("doc_id").alias("of"), F.col("copy").alias("of_copy")).agg(F.collect_list(F.struct("first", "last", "times")).alias("blocks"))
+    taken = blocks.groupBy(F.col("doc_id").alias("__of"), F.col("copy").alias("__of_copy")).agg(F.collect_list(F.struct("first", "last", "times")).alias("__blocks"))
     size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0))
-    numbered = docs.withColumn("copy", F.lit(1))
+    numbered = docs.withColumn("__copy", F.lit(1))
     ids = sized.where("copy > 1").select("doc_id").distinct()
     if not ids.isEmpty():  # rows that repeat an id are told apart as above
-        numbered = docs.withColumn("size", size).withColumn("copy", copy).drop("size")
-    joined = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("copy") == F.col("of_copy")))
+        own = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "__size"))
+        numbered = docs.withColumn("__size", size).withColumn("__copy", own).drop("__size")
+    joined = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__copy") == F.col("__of_copy")))
     names = docs.columns
 
     def run(batches):
         for part in slices(batches):
             rows, texts = [], []
-            for i, (text, own) in enumerate(zip(text_bytes(part.column("text")), part.column("blocks").to_pylist(), strict=True)):
+            for i, (text, own) in enumerate(zip(text_bytes(part.column("text")), part.column("__blocks").to_pylist(), strict=True)):
                 for times in (1, 2):
                     kept = taken_text(text, [(b["first"], b["last"]) for b in own if b["times"] >= times])
                     if kept:
@@ -85,7 +86,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 picked = part.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else picked.column(c) for c in names], names)
 
-    mixed = joined.select(*names, "blocks").mapInArrow(run, docs.schema)
+    mixed = joined.select(*names, "__blocks").mapInArrow(run, docs.schema)
     if "n_chars" in names:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return mixed.select(names)

@@ -322,7 +322,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["gram", "context", "n", "before", "after"])
 
-    holders = maybe(texts, "text_key", bitmap(places, "text_key")).where("maybe").select("text_key", "text")
+    holders = maybe(texts, "text_key", bitmap(places, "text_key")).where("__maybe").select("text_key", "text")
     fetched = holders.join(wanted, "text_key").select("text", "places").mapInArrow(contexts, "gram long, context long, n long, before binary, after binary")
     found = bucket_spans(fetched)
     sorted_ = hits.where("not one").join(found, ["gram", "context"]).select("text_key", (F.col("at") + F.col("low")).alias("start"), (F.col("at") + F.col("high")).alias("end"))
@@ -343,12 +343,12 @@ def removed_runs(size: int, spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` in two parts: those with repeated strings, with their ``spans``, and the others."""
-    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    spans = repeated_spans(keyed.select("text_key", "text").where(F.octet_length("text") >= SPAN))
-    flagged = maybe(keyed, "text_key", bitmap(spans, "text_key"))
-    joined = flagged.where("maybe").join(spans, "text_key", "left").drop("text_key", "maybe")
-    return joined, flagged.where("not maybe").drop("text_key", "maybe")
+    """``docs`` in two parts: those with repeated strings, with their ``__spans``, and the others."""
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    spans = repeated_spans(keyed.select(F.col("__key").alias("text_key"), "text").where(F.octet_length("text") >= SPAN)).toDF("__key", "__spans")
+    flagged = maybe(keyed, "__key", bitmap(spans, "__key"))
+    joined = flagged.where("__maybe").join(spans, "__key", "left").drop("__key", "__maybe")
+    return joined, flagged.where("not __maybe").drop("__key", "__maybe")
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -373,7 +373,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    done = hit.select("doc_id", "text", "spans").mapInArrow(work, SCHEMA)
+    done = hit.select("doc_id", "text", F.col("__spans").alias("spans")).mapInArrow(work, SCHEMA)
     text = F.coalesce("text", F.lit(""))
     zero = F.lit(0).cast("long")
     return done.union(rest.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long"), zero, zero, F.sha2(text.cast("binary"), 256)))
@@ -400,9 +400,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def work(batches):
         for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([shorter(part.column("text"), part.column("spans")) if c == "text" else part.column(c) for c in names], names)
+            yield pa.RecordBatch.from_arrays([shorter(part.column("text"), part.column("__spans")) if c == "text" else part.column(c) for c in names], names)
 
-    done = hit.select(*names, "spans").mapInArrow(work, docs.schema)
+    done = hit.select(*names, "__spans").mapInArrow(work, docs.schema)
     if "n_chars" in names:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(names).union(rest.select(names))
