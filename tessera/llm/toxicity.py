@@ -102,8 +102,11 @@ class Model(NamedTuple):
     offset: float
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        z = views(subwords(texts), self.weights) @ self.slopes + self.offset
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        s = subwords(texts)
+        z = views(s, self.weights) @ self.slopes + self.offset
+        worded = np.zeros(s.texts, bool)
+        worded[s.segment_text] = True
+        return np.where(worded, 1 / (1 + np.exp(-np.clip(z, -40, 40))), 0.0)  # no words, nothing toxic
 
 
 def constant(rate: float) -> Model:
@@ -219,7 +222,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: i
 def toxicity(docs: DataFrame, model: Model, folds: int = 4, held_out: int = 2, threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every whole text.
 
-    A null, empty or wordless text scores as a segment without subwords, near the least score. Rows with a
+    A null, empty or wordless text scores 0. Rows with a
     null id are scored and never held out; repeated rows give a row each; an empty table gives none.
     """
 
