@@ -57,7 +57,7 @@ def gram_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     word = mixed((sums[end] - sums[begin]) * back[begin]) if len(begin) else np.zeros(0, np.uint64)
     bounds = np.searchsorted(begin, starts)
     grams = np.zeros(len(word), np.uint64)
-    for k in range(words):
+    for k in range(min(words, len(word))):
         grams[: len(word) - k] = grams[: len(word) - k] * q + word[k:]
     grams = mixed(grams)
     out = []

@@ -69,6 +69,15 @@ def test_jaccard_chains_and_common_passages(spark, monkeypatch, common):
     assert got == brute_components(rows)
 
 
+def test_gram_sets_of_lone_texts():
+    texts = [" ".join(f"w{i}" for i in range(n)).encode() for n in range(7)]
+    together = J.gram_sets(texts + [b"a longer text that stands in the same slice"])
+    for text, want in zip(texts, together, strict=False):
+        for words in (3, 4, 5):
+            assert len(J.gram_sets([text], words)) == 1
+        assert J.gram_sets([text])[0].tolist() == want.tolist()
+
+
 def test_spark_hash(spark):
     values = np.array([0, 1, -5, 1 << 40, -(1 << 62)], dtype=np.int64)
     rows = spark.createDataFrame([(int(v),) for v in values], "v long").selectExpr("v", "xxhash64(v) as h").collect()
