@@ -29,6 +29,8 @@ COMMON_DOCUMENTS, COMMON_GRAMS = 3, 1 << 19
 STAR_ROUNDS = 2
 #: Lists up to this length give all their pairs at once.
 SHORT_LIST = 6
+#: Rows of postings that a task holds before it writes out the lists that have ended.
+HELD_ROWS = 400_000
 #: 64-bit words of the bitmap that picks the documents whose sets are fetched.
 BITMAP = 1 << 15
 
@@ -154,7 +156,7 @@ def postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
 def lists_to_pairs(rows: DataFrame) -> DataFrame:
     """From postings sorted by n-gram: ``kind`` 0 for star pairs, 1 for other pairs of short lists, 2 for members of long lists."""
 
-    def emit(gram, n, name, hub):
+    def emit(gram, n, name, hub, going):
         keep = np.r_[True, (gram[1:] != gram[:-1]) | (name[1:] != name[:-1])]
         gram, n, name = gram[keep], n[keep], name[keep]
         first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
@@ -166,6 +168,8 @@ def lists_to_pairs(rows: DataFrame) -> DataFrame:
             same = gram == hub[0]
             hub_n[same], hub_name[same] = hub[1], hub[2]
             long |= same
+        if going:  # more of the list follows, so what is held of it may look short
+            long |= gram == gram[-1]
         out = [(0, hub_name, name, hub_n, n, name != hub_name)]
         for k in range(1, SHORT_LIST):
             if k < len(gram):
@@ -197,7 +201,7 @@ def lists_to_pairs(rows: DataFrame) -> DataFrame:
             going = not last and cut_at == 0  # one n-gram fills all that is held
             if going:
                 cut_at = len(gram)
-            out = emit(gram[:cut_at], n[:cut_at], name[:cut_at], hub) if cut_at else None
+            out = emit(gram[:cut_at], n[:cut_at], name[:cut_at], hub, going) if cut_at else None
             if going:
                 hub = hub if hub is not None and hub[0] == gram[0] else (gram[0], n[0], name[0])
             held = [(gram[cut_at:], n[cut_at:], name[cut_at:])] if cut_at < len(gram) else []
@@ -209,7 +213,7 @@ def lists_to_pairs(rows: DataFrame) -> DataFrame:
                 continue
             held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
             size += batch.num_rows
-            if size >= 400_000:
+            if size >= HELD_ROWS:
                 out = flush(False)
                 if out is not None and out.num_rows:
                     yield out
@@ -222,6 +226,15 @@ def lists_to_pairs(rows: DataFrame) -> DataFrame:
     return rows.repartition("gram").sortWithinPartitions("gram", "n", "name").mapInArrow(run, "kind int, a long, b long, c int")
 
 
+def counted_pairs(rows: DataFrame) -> DataFrame:
+    """``kind, a, b, c`` once each: the n-grams that a pair shares (kinds 0 and 1), the set size of a list's member (kind 2).
+
+    A class whose postings lie on both sides of a flush is a member twice, with one size.
+    """
+    total = F.when(F.col("kind") == 2, F.max("c").cast("long")).otherwise(F.sum("c"))
+    return rows.groupBy("kind", "a", "b").agg(total.alias("c"))
+
+
 def bitmap(names: DataFrame) -> np.ndarray:
     """Bits of the hashed names: ``BITMAP`` rows at most, whatever their number."""
     h = F.xxhash64("name")
@@ -310,7 +323,7 @@ def similar_classes(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """``node, label``: the components of the classes that are linked with another class."""
     common = common_grams(scanned)
     sizes = cut(scanned.where("kind = 0 and n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min("id").alias("id")))
-    found = cut(lists_to_pairs(postings(docs, common)).groupBy("kind", "a", "b").agg(F.sum("c").alias("c")))
+    found = cut(counted_pairs(lists_to_pairs(postings(docs, common))))
     long_ = cut(found.where("kind = 2").groupBy(F.col("b").alias("name")).agg(F.count(F.lit(1)).alias("lists")))
     pairs = found.where("kind < 2").groupBy("a", "b").agg(F.sum("c").alias("c"))
     pairs = cut(possible(pairs, sizes, long_))

@@ -78,6 +78,21 @@ def test_gram_sets_of_lone_texts():
         assert J.gram_sets([text])[0].tolist() == want.tolist()
 
 
+def test_long_lists_over_several_flushes(spark, monkeypatch):
+    monkeypatch.setattr(J, "HELD_ROWS", 8)
+    # One n-gram's list: three classes first, then more, each with copies from several slices.
+    rows = [(7, 20 + name // 4, name) for name in range(1, 13) for _ in range(5)] + [(9, 20, 1), (9, 20, 2)]
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, 4)
+    try:
+        found = J.counted_pairs(J.lists_to_pairs(spark.createDataFrame(rows, "gram long, n int, name long"))).collect()
+    finally:
+        spark.conf.set(batch, before)
+    assert {(r["a"], r["b"]): r["c"] for r in found if r["kind"] == 2} == {(7, name): 20 + name // 4 for name in range(1, 13)}
+    assert {(r["a"], r["b"]) for r in found if r["kind"] == 0} == {(1, name) for name in range(2, 13)}
+
+
 def test_spark_hash(spark):
     values = np.array([0, 1, -5, 1 << 40, -(1 << 62)], dtype=np.int64)
     rows = spark.createDataFrame([(int(v),) for v in values], "v long").selectExpr("v", "xxhash64(v) as h").collect()
