@@ -4,7 +4,8 @@ The words of a source, its documents in a fixed order, are packed into blocks of
 shards draw how many of their slots each source fills from a multinomial over what the sources still owe, so
 that the draws of all shards add up to the sources' targets. A slot's running number within its source goes
 through a pseudorandom permutation of the source's block numbers, another one for each pass over the source,
-and the blocks are joined by source and number. Everything follows from the seed and the data alone.
+and the blocks are joined by source and number. A source's last block is as short as its words are, and of the
+block of its last slot only what is needed is taken, so each source meets its target to the word. Everything follows from the seed and the data alone.
 """
 
 from __future__ import annotations
@@ -109,10 +110,51 @@ def by_source(plan: Plan, values: list, source: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), where.cast("int"))
 
 
+class Draw(NamedTuple):
+    """How a source is drawn: its blocks, the slots it fills, and what is left off the block of its last slot.
+
+    Words of the source from ``low`` to ``high`` (its own numbering) are taken once less than the rest of
+    their block.
+    """
+
+    blocks: int
+    slots: int
+    turns: list[tuple[int, int]]
+    low: int
+    high: int
+
+
+def source_draw(size: int, target: float, seed: int, block_words: int) -> Draw:
+    """As many slots as hold ``target`` words, the short last block at its true size; of the last slot's block what is needed."""
+    blocks = -(-size // block_words)
+    turns = [affine(max(blocks, 1), seed, t) for t in range(LIMIT)]
+    wanted = min(round(target), LIMIT * size)
+    if not wanted:
+        return Draw(blocks, 0, turns, 0, 0)
+    turn, left = divmod(wanted, size)
+    if not left:
+        return Draw(blocks, turn * blocks, turns, 0, 0)
+    factor, shift = turns[turn]
+    lack = blocks * block_words - size
+    # The slot of the pass that draws the short block.
+    short = (blocks - 1 - shift) * pow(factor, -1, blocks) % blocks
+    slots = -(-left // block_words)
+    if short < slots:
+        slots = -(-(left + lack) // block_words)
+    over = slots * block_words - (lack if short < slots else 0) - left
+    block = (factor * (slots - 1) + shift) % blocks
+    high = min((block + 1) * block_words, size)
+    return Draw(blocks, turn * blocks + slots, turns, high - over, high)
+
+
 def mix_blocks(sized: DataFrame, plan: Plan, rows: int, seed: int = 17, block_words: int = BLOCK_WORDS, shards: int = SHARDS) -> DataFrame:
-    """``doc_id, copy, first, last, times``: words ``first`` to ``last`` (from 0, last excluded) of a document lie in a block that is drawn ``times`` times."""
-    blocks = [-(-s // block_words) for s in plan.sizes]
-    needs = np.array([min(LIMIT * b, round(t / block_words)) for t, b in zip(plan.targets, blocks, strict=True)], dtype=np.int64)
+    """``doc_id, copy, first, last, times``: words ``first`` to ``last`` (from 0, last excluded) of a document are taken ``times`` times.
+
+    They lie in one block. Every source gives its target, to the nearest word.
+    """
+    drawing = [source_draw(s, t, seed * 1000 + i, block_words) for i, (s, t) in enumerate(zip(plan.sizes, plan.targets, strict=True))]
+    blocks = [d.blocks for d in drawing]
+    needs = np.array([d.slots for d in drawing], dtype=np.int64)
     draws = shard_draws(needs, shards, seed)
     before = np.cumsum(draws, axis=0) - draws
     spark = sized.sparkSession
@@ -122,7 +164,7 @@ def mix_blocks(sized: DataFrame, plan: Plan, rows: int, seed: int = 17, block_wo
     slots = slots.select("number", "at", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / RUN).cast("int"))).alias("run"))
     start = F.col("at") + F.col("run") * F.lit(RUN)
     slots = slots.select("number", F.explode(F.sequence(start, F.least(start + RUN, F.col("at") + F.col("n")) - 1)).alias("k"))
-    turns = [[affine(max(b, 1), seed * 1000 + i, t) for t in range(LIMIT)] for i, b in enumerate(blocks)]
+    turns = [d.turns for d in drawing]
     table = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("number") + 1)
     m = F.greatest(table(blocks), F.lit(1))
     turn, k = F.floor(F.col("k") / m), F.col("k") % m
@@ -134,9 +176,16 @@ def mix_blocks(sized: DataFrame, plan: Plan, rows: int, seed: int = 17, block_wo
     parts = parts.select("number", "doc_id", "copy", "start", "size", F.explode(F.sequence((F.col("start") / block_words).cast("long"), ((F.col("start") + F.col("size") - 1) / block_words).cast("long"))).alias("block"))
     first = F.greatest(F.col("block") * block_words - F.col("start"), F.lit(0))
     last = F.least((F.col("block") + 1) * block_words - F.col("start"), F.col("size"))
-    parts = parts.select("number", "block", "doc_id", "copy", first.alias("first"), last.alias("last"))
+    parts = parts.select("number", "block", "doc_id", "copy", "start", first.alias("first"), last.alias("last"))
     # The planner takes the slots for small, as it does not see how many rows they become: no broadcast.
-    return parts.join(drawn.hint("merge"), ["number", "block"]).select("doc_id", "copy", "first", "last", "times")
+    met = parts.join(drawn.hint("merge"), ["number", "block"])
+    # What is left off a source's last slot is a part of one block: there words before, within and after it are told apart.
+    low = F.least(F.greatest(table([d.low for d in drawing]) - F.col("start"), F.col("first")), F.col("last"))
+    high = F.least(F.greatest(table([d.high for d in drawing]) - F.col("start"), F.col("first")), F.col("last"))
+    met = met.withColumn("low", low).withColumn("high", high)
+    piece = lambda a, b, less: F.struct(F.col(a).alias("first"), F.col(b).alias("last"), (F.col("times") - less).alias("times"))
+    pieces = F.when(F.col("low") >= F.col("high"), F.array(piece("first", "last", 0))).otherwise(F.array(piece("first", "low", 0), piece("low", "high", 1), piece("high", "last", 0)))
+    return met.select("doc_id", "copy", F.inline(pieces)).where("first < last and times > 0")
 
 
 def mixture(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, shards: int = SHARDS) -> DataFrame:

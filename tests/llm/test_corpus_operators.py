@@ -132,6 +132,37 @@ def test_mixture(spark, odd_docs, no_docs):
     assert X.mixture(no_docs).count() == 0
 
 
+def test_mixture_of_small_sources(spark):
+    sizes = {"a": 16, "b": 33, "c": 70, "d": 5000, "e": 1, "f": 200, "g": 129, None: 10}
+    rows, words = [], 0
+    for source, size in sizes.items():
+        for at in range(0, size, 45):  # documents that cross the blocks
+            rows.append((len(rows), " ".join(f"w{words + k}" for k in range(min(45, size - at))), source))
+            words += min(45, size - at)
+    for seed in (17, 18):
+        out = X.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"), seed).collect()
+        taken, target = defaultdict(int), {}
+        for r in out:
+            assert r["taken"] <= 2 * r["size"]
+            taken[rows[r["doc_id"]][2]] += r["taken"]
+            target[rows[r["doc_id"]][2]] = r["target"]
+        assert dict(taken) == {s: round(t) for s, t in target.items()}
+    assert target["e"] == 2 and target[None] == 20 and sum(taken.values()) == pytest.approx(1.5 * words, abs=8)
+
+
+def test_source_draw():
+    for size in (1, 2, 63, 64, 65, 130, 1000):
+        for target in range(2 * size + 1):
+            d = X.source_draw(size, target, 3, 64)
+            times = np.zeros(size, int)
+            for k in range(d.slots):
+                factor, shift = d.turns[k // d.blocks]
+                block = (factor * (k % d.blocks) + shift) % d.blocks
+                times[64 * block : 64 * block + 64] += 1
+            times[d.low : d.high] -= 1
+            assert times.sum() == target and times.min() >= 0 and times.max() <= 2 and times.max() - times.min() <= 1
+
+
 def brute_rules(text):
     words, again = WORD.findall(text), defaultdict(list)
     for i in range(len(words) - 4):
