@@ -171,12 +171,30 @@ def nested(sequence: list[int], classes: dict[int, int], valid: set[int]) -> set
         if number in valid:
             spans.setdefault(number, [at, at, 0])[1] = at
             spans[number][2] += 1
-    kept: list[tuple[int, int]] = []
+    # The ends of all spans by place; a kept span stands at both of its ends with the place of the other.
+    places = {at: i for i, at in enumerate(sorted({at for low, high, _ in spans.values() for at in (low, high)}))}
+    width = len(places)
+    least, most = [width] * (2 * width), [-1] * (2 * width)
     out = set()
     for number, (low, high, _) in sorted(spans.items(), key=lambda x: (-x[1][2], x[0])):
-        if not any(a < low <= b < high or low < a <= high < b for a, b in kept[:64]):
-            kept.append((low, high))
-            out.add(number)
+        first, last = places[low], places[high]
+        # Of the kept spans with an end strictly inside, the places of the other ends.
+        i, j, before, behind = first + 1 + width, last + width, width, -1
+        while i < j:
+            if i & 1:
+                before, behind, i = min(before, least[i]), max(behind, most[i]), i + 1
+            if j & 1:
+                j -= 1
+                before, behind = min(before, least[j]), max(behind, most[j])
+            i, j = i >> 1, j >> 1
+        if before < first or behind > last:
+            continue
+        out.add(number)
+        for at, other in ((first, last), (last, first)):
+            at += width
+            while at:
+                least[at], most[at] = min(least[at], other), max(most[at], other)
+                at >>= 1
     return out
 
 

@@ -121,6 +121,27 @@ def test_main_text(spark):
     assert H.extract_main_text(empty).count() == 0
 
 
+def test_nested_checks_all_kept_classes():
+    # 100 classes side by side, then a pair that crosses the last of them and one that crosses none.
+    sequence = [k for i in range(100) for k in (3 * i, 3 * i + 1, 3 * i + 2)]
+    classes = {k: k // 3 for k in sequence}
+    sequence[299:299] = [1000]
+    sequence += [1001]
+    classes |= {1000: 500, 1001: 500}
+    assert H.nested(sequence, classes, set(classes.values())) == set(range(100))
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        numbers = rng.integers(0, 90, 250).tolist()
+        classes = {i: n for i, n in enumerate(numbers)}
+        spans = {n: (numbers.index(n), 249 - numbers[::-1].index(n), numbers.count(n)) for n in set(numbers)}
+        kept: list[int] = []
+        for n in sorted(spans, key=lambda n: (-spans[n][2], n)):
+            (low, high, _), others = spans[n], [spans[k] for k in kept]
+            if not any(a < low <= b < high or low < a <= high < b for a, b, _ in others):
+                kept.append(n)
+        assert H.nested(list(range(250)), classes, set(numbers)) == set(kept)
+
+
 def test_token_paths():
     deep = "<div>" * 3000 + "x" + "</span>" * 3000
     assert H.main_text(deep, {}) == "x"
