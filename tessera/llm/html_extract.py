@@ -2,8 +2,9 @@
 
 A page is a sequence of tokens: each start tag with the path of tags that it stands under, and each piece of
 text with its path. Spark gathers, for every token of a host, its occurrence vector over the host's pages (how
-often it occurs in each page) as a fingerprint. Tokens with one vector form an equivalence class; a class is
-kept if it occurs in at least half of the pages and has at least three tokens. In a page a class is valid if
+often it occurs in each page) as a fingerprint; copies of a page count once. Tokens with one vector form an
+equivalence class; a text counts if it is on at least half of the pages that have its element, and a class is
+kept if it occurs in at least three pages and has at least three tokens. In a page a class is valid if
 its tokens occur equally often and in the same order every time; valid classes nest, by the places they
 span, into the template. What the template leaves are slots. Slots in menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments are dropped, and so is text that the template itself holds outside
@@ -19,12 +20,13 @@ import re
 from collections import Counter, defaultdict
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_texts, slices
+from tessera.llm.common import cut, map_texts, slices
 
 LEAST_PAGES, LEAST_TOKENS = 3, 3
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -49,6 +51,7 @@ HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)|^//([^/?
 
 class Token(NamedTuple):
     key: int
+    path: int  # of the element that it stands in; of a start tag, its own
     text: str | None  # of a piece of text, as written
     block: int
     chrome: bool
@@ -95,7 +98,7 @@ def tokens(page: str) -> list[Token]:
     def text(piece: str) -> None:
         if piece:
             top = stack[-1]
-            out.append(Token(_key(top.path, " ".join(piece.split())), piece, block, top.chrome, top.main))
+            out.append(Token(_key(top.path, " ".join(piece.split())), top.path, piece, block, top.chrome, top.main))
 
     while at < n:
         found = TAG.search(page, at)
@@ -140,7 +143,7 @@ def tokens(page: str) -> list[Token]:
                 close = page.find(">", at)
                 at = n if close < 0 else close + 1
             continue
-        out.append(Token(path, None, block, chrome, main))
+        out.append(Token(path, path, None, block, chrome, main))
         if name == "br":
             text(" ")
         if name not in VOID and not attributes.rstrip().endswith("/") or name not in VOID and name in BLOCK:
@@ -219,29 +222,63 @@ def main_text(page: str, classes: dict[int, int]) -> str:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """``host, token, first, second``: each distinct token of each page with two hashes of the page and its number there."""
+    """``host, token, path, first, second``: each distinct token of each distinct page of a host, with its path and two hashes of the page and its number there.
 
-    def work(part: pa.RecordBatch) -> pa.RecordBatch | None:
+    Pages of a host with one content are one page. Token 0 stands for the page as a whole.
+    """
+
+    def pack(part: pa.RecordBatch) -> pa.RecordBatch | None:
         out: list[list] = [[], [], [], []]
-        for page_id, url, page in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-            host = host_of(url)
-            for key, number in Counter(t.key for t in tokens(page or "")).items():
-                mark = xxhash.xxh64_intdigest(f"{page_id} {url} {number}")
-                for column, value in zip(out, (host, key - (1 << 63), mark & 0x7FFFFFFF, mark >> 33), strict=True):
-                    column.append(value)
+        seen = set()
+        for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
+            host, content = host_of(url), xxhash.xxh128((page or "").encode("utf-8", "surrogatepass"))
+            name = (host, content.digest())
+            if name in seen:
+                continue
+            seen.add(name)
+            found = tokens(page or "")
+            counts = Counter(t.key for t in found)
+            at = {0: 0} | {key: i + 1 for i, key in enumerate(counts)}
+            paths = {t.key: at[t.path] for t in found}
+            keys = np.array([0, *counts], np.uint64)
+            rest = np.array([[0, *(paths[k] for k in counts)], [1, *counts.values()]], np.uint32)
+            half = content.intdigest()
+            for column, value in zip(out, (host, (half >> 64) - (1 << 63), (half & ((1 << 64) - 1)) - (1 << 63), keys.tobytes() + rest.tobytes()), strict=True):
+                column.append(value)
         if not out[0]:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(out[0]), *(pa.array(c, pa.int64()) for c in out[1:])], ["host", "token", "first", "second"])
-
-    return map_texts(pages, work, "host string, token long, first long, second long", "html")
+        return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["host", "c1", "c2", "packed"])
+
+    def unpack(batches):
+        for part in slices(batches, "packed"):
+            hosts, keys, paths, marks = [], [], [], []
+            for host, c1, packed in zip(part.column("host").to_pylist(), part.column("c1").to_pylist(), part.column("packed").to_pylist(), strict=True):
+                n = len(packed) // 16
+                own = np.frombuffer(packed, np.uint64, n)
+                rest = np.frombuffer(packed, np.uint32, 2 * n, 8 * n).reshape(2, n)
+                hosts += [host] * n
+                keys.append(own)
+                paths.append(own[rest[0]])
+                numbers, inverse = np.unique(rest[1], return_inverse=True)
+                marks.append(np.array([xxhash.xxh64_intdigest(f"{c1} {k}") for k in numbers], np.uint64)[inverse])
+            key, path, mark = (np.concatenate(x) for x in (keys, paths, marks))
+            shifted = [(x ^ np.uint64(1 << 63)).view(np.int64) for x in (key, path)]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts), *map(pa.array, shifted), pa.array((mark & np.uint64(0x7FFFFFFF)).astype(np.int64)), pa.array((mark >> np.uint64(33)).astype(np.int64))], ["host", "token", "path", "first", "second"])
+
+    packed = map_texts(pages, pack, "host string, c1 long, c2 long, packed binary", "html")
+    return packed.dropDuplicates(["host", "c1", "c2"]).mapInArrow(unpack, "host string, token long, path long, first long, second long")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, tokens, numbers``: the classes of each host that has enough pages."""
-    vectors = page_tokens(pages).groupBy("host", "token").agg(F.sum("first").alias("v1"), F.sum("second").alias("v2"), F.count(F.lit(1)).alias("pages"))
-    # The host's pages: the greatest number of pages that any of its tokens is in (all have the first tag).
-    most = vectors.groupBy("host").agg(F.max("pages").alias("of")).where(F.col("of") >= LEAST_PAGES)
-    often = vectors.where(F.col("pages") >= LEAST_PAGES).join(most, "host").where(2 * F.col("pages") >= F.col("of"))
+    """``host, tokens, numbers``: the classes of each host that has enough pages.
+
+    A layout is told by the paths of its elements: a text is supported by at least half of the pages that have
+    its element, however few of the host's pages these are.
+    """
+    vectors = page_tokens(pages).groupBy("host", "token").agg(F.first("path").alias("path"), F.sum("first").alias("v1"), F.sum("second").alias("v2"), F.count(F.lit(1)).alias("pages"))
+    vectors = cut(vectors.where(F.col("pages") >= LEAST_PAGES))
+    layouts = vectors.where(F.col("token") == F.col("path")).select("host", "path", F.col("pages").alias("of"))
+    often = vectors.where(F.col("token") != -(1 << 63)).join(layouts, ["host", "path"]).where(2 * F.col("pages") >= F.col("of"))
     classes = often.groupBy("host", "v1", "v2", "pages").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
     return classes.groupBy("host").agg(F.collect_list(F.struct("tokens")).alias("classes"))
 

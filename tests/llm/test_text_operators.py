@@ -121,6 +121,23 @@ def test_main_text(spark):
     assert H.extract_main_text(empty).count() == 0
 
 
+def test_templates_of_copies_and_layouts(spark):
+    article = "<html><body><div><p>One line</p><p>Two lines</p><p>Three lines</p></div></body></html>"
+    rows = [(i, f"http://copies.org/{i}", article) for i in range(9)]
+    for i in range(24):  # four layouts, each on a quarter of the pages
+        k = i % 4
+        menu = "".join(f"<a>Menu {k} {word}</a>" for word in ("home", "news", "about"))
+        rows.append((100 + i, f"http://layouts.org/{i}", f'<html><body><div class="top{k}">{menu}</div><div class="body{k}"><p>Own words {i}</p></div></body></html>'))
+    # Three near copies on a host of many pages with one layout are no template of it.
+    for i in range(20):
+        body = "".join(f"<p>{'shared' if i < 3 else f'own {i}'} line {j}</p>" for j in range(4))
+        rows.append((200 + i, f"http://near.org/{i}", f"<html><body><div>{body}<p>Page {i}</p></div></body></html>"))
+    got = {r["page_id"]: r["text"] for r in H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(9)} == {"One line\n\nTwo lines\n\nThree lines"}
+    assert all(got[100 + i] == f"Own words {i}" for i in range(24))
+    assert all("shared line 3" in got[200 + i] for i in range(3))
+
+
 def test_nested_checks_all_kept_classes():
     # 100 classes side by side, then a pair that crosses the last of them and one that crosses none.
     sequence = [k for i in range(100) for k in (3 * i, 3 * i + 1, 3 * i + 2)]
