@@ -183,6 +183,53 @@ def test_quality_rules(odd_docs, no_docs):
     assert quality_rules.quality_rules(no_docs).count() == 0
 
 
+def prose(rng, letters, rows, words=120):
+    """Texts over an alphabet whose letters follow each other by fixed rules."""
+    after = {c: rng.choice(list(letters), 3) for c in letters}
+    out = []
+    for _ in range(rows):
+        text, c = [], letters[0]
+        for _ in range(words):
+            word = []
+            for _ in range(int(rng.integers(3, 9))):
+                c = after[c][int(rng.integers(3))]
+                word.append(c)
+            text.append("".join(word))
+        out.append(" ".join(text))
+    return out
+
+
+def test_every_language_has_its_own_model(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(30):  # more than the 24 languages of a lot's tables; lots forced small
+        for text in prose(rng, "abcdefghijklmnopqrstuvwxyz", 12):
+            rows.append((len(rows), text, f"l{k:02d}"))
+    # Texts that no model learns from, for their symbols: under their own language and under another.
+    extra = [(10_000 * (1 + d) + k, rows[12 * k + 3][1] + " #" * 15, f"l{(k + d) % 30:02d}") for k in range(30) for d in (0, 1)]
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string")
+    whole = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert {r["lang_group"] for r in whole.values()} == {f"l{k:02d}" for k in range(30)}
+    assert all(whole[20_000 + k]["log_perplexity"] > whole[10_000 + k]["log_perplexity"] for k in range(30))
+    assert len(quality_rules.lots([("a", 5), ("b", 4), ("c", 1), ("d", 9)], 9)) == 3
+    real = quality_rules.lots
+    monkeypatch.setattr(quality_rules, "lots", lambda sizes, most: real(sizes, 20_000))
+    parts = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert parts.keys() == whole.keys()
+    assert all(parts[i]["log_perplexity"] == pytest.approx(whole[i]["log_perplexity"]) and parts[i]["kept"] == whole[i]["kept"] for i in whole)
+
+
+@pytest.mark.parametrize("letters", ["абвгдежзийклмнопрстуфхцчшщъыьэюя", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "".join(map(chr, range(0x4E00, 0x4E60)))])
+def test_shuffled_letters_of_other_scripts_are_rejected(spark, letters):
+    rng = np.random.default_rng(7)
+    texts = prose(rng, letters, 60)
+    bad = [" ".join("".join(rng.permutation(list("".join(t.split()))))[i : i + 5] for i in range(0, 500, 5)) for t in texts[:6]]
+    rows = [(i, t, "xx") for i, t in enumerate(texts)] + [(100 + i, t, "xx") for i, t in enumerate(bad)]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(got[i]["base_failed"] for i in got)
+    assert all(got[i]["kept"] for i in range(60)) and not any(got[100 + i]["kept"] for i in range(6))
+
+
 def test_kneser_ney_sums_to_one():
     codes = np.unique(np.random.default_rng(1).integers(0, 32**4, 5000).astype(np.uint32))
     model = quality_rules.kneser_ney(codes, np.random.default_rng(2).geometric(0.4, len(codes)))
