@@ -16,10 +16,12 @@ SLICE_BYTES = 4 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
+    """Use the folder in ``spark.checkpoint.dir``; where that is unset and all runs in one process (tests), one of our own."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         there = spark.conf.get("spark.checkpoint.dir", None)
+        if not there and not jsc.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(there or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
 
 

@@ -1,19 +1,24 @@
 """N-gram Jaccard join by vertical partitioning.
 
-A document is its set of distinct word n-grams, as 64-bit hashes; documents with one set are one class, named
-by the set's fingerprint. The global order of n-grams is by hash, with a bounded set of very common n-grams
-(found by counting every document) put last; any order gives exact results, this one keeps common passages
-out of the way. Two sets that are similar enough share an n-gram in their prefixes, so the classes that share
-one are candidates. For candidates the order is cut into fragments; the overlap is counted in each fragment
-separately and summed per pair.
-
-Long candidate lists are first joined as stars, class to one class of the list. Once the verified links'
-components are known, only pairs from different components are left to look at, so the classes of a large
-group of near copies are never paired with each other, and yet no link that matters for a component is lost.
+A document is its set of distinct word n-grams, as 64-bit hashes; documents with one set are one class. The
+global order of n-grams is by hash, with those last that many documents hold (found by counting every document;
+kept as a bitmap of a fixed size). Any order gives exact results, this one keeps common passages out of the way.
+Two sets that are similar enough share an n-gram in their prefixes, so the classes that share one are
+candidates. For candidates the order is cut into fragments; the overlap is counted in each fragment separately
+and summed per pair.
+
+N-grams travel as blobs of whole hash ranges ("buckets"), so that rows stay few. A short list of classes that
+share an n-gram gives all its pairs; the members of longer lists are kept as rows. Those members whose counts
+leave no room for a link go. The others meet their lists' hub first, then only pairs of different components
+are left to look at: a large group of near copies is never paired with itself, yet no link that matters for a
+component is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,18 +26,21 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, joined_bytes, map_texts, slices, text_bytes
 from tessera.llm.components import components
+from tessera.llm.membership import bitmap, maybe
 
 WORDS, PERCENT, FRAGMENTS = 5, 75, 4
-#: An n-gram is common when a task finds it in so many of its documents; at most so many are kept.
-COMMON_DOCUMENTS, COMMON_GRAMS = 3, 1 << 19
-#: Rounds in which classes of long lists meet the list's hub before all pairs of components are looked at.
-STAR_ROUNDS = 2
+#: An n-gram is common from so many documents on. At most so many go last in the order, those of most documents.
+COMMON_DOCUMENTS, COMMON_GRAMS = 4, 1 << 22
+#: Places of the common n-grams' bitmap, as a power of two (16 MB).
+COMMON_BITS = 27
+#: N-grams of a bucket on average, and n-grams or postings that a task holds before it writes them out.
+BUCKET_GRAMS, HELD_GRAMS, HELD_POSTINGS = 2_000_000, 4_000_000, 1_000_000
+#: An n-gram of so many documents has its postings dealt to several buckets; with more than 2^20 such n-grams, a larger count.
+HOT_DOCUMENTS = 20_000
 #: Lists up to this length give all their pairs at once.
 SHORT_LIST = 6
-#: Rows of postings that a task holds before it writes out the lists that have ended.
-HELD_ROWS = 400_000
-#: 64-bit words of the bitmap that picks the documents whose sets are fetched.
-BITMAP = 1 << 15
+#: Rounds in which classes of long lists meet a hub before all pairs of different components are looked at.
+STAR_ROUNDS = 2
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -77,185 +85,254 @@ def gram_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def fingerprint(grams: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    if not len(grams):
-        return 0
-    crossed = np.bitwise_xor.reduce(mixed(grams * np.uint64(3) + np.uint64(1)), keepdims=True)
-    return int((crossed + grams.sum(dtype=np.uint64, keepdims=True) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)[0])
-
-
-def prefix(grams: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first n-grams in the global order, as many as a set can lose without losing the similarity, and one."""
-    size = len(grams) - -(-percent * len(grams) // 100) + 1
-    if not len(common):
-        return grams[:size]
-    at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-    late = common[at] == grams
-    return np.concatenate([grams[~late][:size], grams[late][: max(0, size - int((~late).sum()))]])
-
+def fingerprints(sets: list[np.ndarray], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of each set: classes go by the first, the second tells when it stands for two sets."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros((2, len(sets)), np.uint64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        grams, starts = np.concatenate(sets), (np.cumsum(sizes) - sizes)[full]
+        for k in (0, 1):
+            each = mixed(grams * np.uint64(3 + 2 * k) + np.uint64(2 * seed + k + 1))
+            crossed = np.bitwise_xor.reduceat(each, starts)
+            out[k, full] = mixed(crossed + np.add.reduceat(each, starts) * np.uint64(0x9E3779B97F4A7C15))
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
+class Order(NamedTuple):
+    """The global order of n-grams, and how they are dealt into buckets."""
+
+    bits: int  # 2^bits buckets by the hash's first bits
+    common: np.ndarray  # packed bits of the n-grams that go last, by their first COMMON_BITS bits; empty for none
+    hot: np.ndarray  # first bits + 32 bits of n-grams with more than one bucket, ascending
+    parts: np.ndarray  # how many buckets each has
+
+    def late(self, grams: np.ndarray) -> np.ndarray:
+        if not len(self.common):
+            return np.zeros(len(grams), bool)
+        at = grams >> np.uint64(64 - COMMON_BITS)
+        return (self.common[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    def buckets(self, grams: np.ndarray, names: np.ndarray) -> np.ndarray:
+        out = (grams >> np.uint64(64 - self.bits)).astype(np.int64)
+        if len(self.hot):
+            key = grams >> np.uint64(32 - self.bits)
+            at = np.minimum(np.searchsorted(self.hot, key), len(self.hot) - 1)
+            is_hot = np.flatnonzero(self.hot[at] == key)
+            first = (1 << self.bits) + np.cumsum(self.parts) - self.parts
+            out[is_hot] = first[at[is_hot]] + (names[is_hot].view(np.uint64) % self.parts[at[is_hot]].astype(np.uint64)).astype(np.int64)
+        return out
+
+
+def prefixes(sets: list[np.ndarray], order: Order, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The first n-grams of all sets in the global order, as many as a set can lose without losing the similarity, and one; and their set's number."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    grams, of = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes)
+    size = sizes + (-percent * sizes) // 100 + 1
+    late = order.late(grams)
+    before = np.r_[0, np.cumsum(~late)]
+    start = (np.cumsum(sizes) - sizes)[of]
+    early_rank = before[:-1] - before[start]
+    early = before[np.cumsum(sizes)] - before[np.cumsum(sizes) - sizes]
+    rank = np.where(late, early[of] + (np.arange(len(grams)) - start) - early_rank, early_rank)
+    kept = rank < size[of]
+    return grams[kept], of[kept]
+
+
+def scan(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """``id, n, name, other`` of each document: set size and two names of its set."""
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = gram_sets(text_bytes(part.column("text")))
+        name, other = fingerprints(sets, seed)
+        return pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(name), pa.array(other)], ["id", "n", "name", "other"])
+
+    return map_texts(docs.select("doc_id", "text"), work, "id long, n long, name long, other long")
+
+
+def distinct_sets(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The sets with n-grams and their names, of about ``held`` n-grams together; in one such lot every set once."""
+    sets, names, size, seen = [], [], 0, set()
+    for part in slices(batches):
+        some = gram_sets(text_bytes(part.column("text")))
+        for s, name in zip(some, fingerprints(some)[0].tolist(), strict=True):
+            if len(s) and name not in seen:
+                seen.add(name)
+                sets.append(s)
+                names.append(name)
+                size += len(s)
+        if size >= held:
+            yield sets, np.array(names, np.int64)
+            sets, names, size, seen = [], [], 0, set()
+    if sets:
+        yield sets, np.array(names, np.int64)
+
+
+def blobs(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each bucket, with its part of every column as bytes; ``bucket`` ascends."""
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    last = np.r_[first[1:], len(bucket)]
+    out = [pa.array(bucket[first], pa.int64())]
+    for values in columns.values():
+        out.append(pa.array([values[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()))
+    return pa.RecordBatch.from_arrays(out, ["bucket", *columns])
+
+
+def gathered(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> Iterator[tuple]:
+    """Of rows sorted by bucket: each bucket's number and its columns, put together again."""
+    at, held = None, []
+    for batch in batches:
+        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and bucket != at:
+                yield at, *(np.frombuffer(b"".join(x), k) for x, k in zip(zip(*held, strict=True), kinds, strict=True))
+                held = []
+            at = bucket
+            held.append(row)
+    if held:
+        yield at, *(np.frombuffer(b"".join(x), k) for x, k in zip(zip(*held, strict=True), kinds, strict=True))
+
+
+def common_order(docs: DataFrame, total: int, seed: int = 0) -> Order:
+    """Counts every n-gram of all documents and puts the common ones last.
+
+    To the driver come at most ``COMMON_GRAMS`` places of the bitmap (16 MB) and 2^20 hot n-grams. An n-gram goes
+    by 32 bits beside its bucket's: where two coincide their counts add up, which changes the work, not the result.
+    """
+    bits = min(24, max(1, int(total // BUCKET_GRAMS).bit_length()))
+    hot_documents = max(HOT_DOCUMENTS, total >> 20)
+
+    def count(batches):
+        for sets, _ in distinct_sets(batches, HELD_GRAMS):
+            grams, times = np.unique(np.concatenate(sets), return_counts=True)
+            yield blobs((grams >> np.uint64(64 - bits)).astype(np.int64), {"rest": (grams >> np.uint64(32 - bits)).astype(np.uint32), "times": np.minimum(times, 65535).astype(np.uint16)})
+
+    def add_up(batches):
+        for bucket, rest, times in gathered(batches, [np.uint32, np.uint16]):
+            by = np.argsort(rest, kind="stable")
+            rest = rest[by]
+            first = np.flatnonzero(np.r_[True, rest[1:] != rest[:-1]])
+            rest, n = rest[first].astype(np.uint64), np.add.reduceat(times[by].astype(np.int64), first)
+            key = (np.uint64(bucket) << np.uint64(32)) | rest
+            place = (key >> np.uint64(32 + bits - COMMON_BITS)).astype(np.uint32)
+            level = np.where(n >= COMMON_DOCUMENTS, np.log2(n).astype(np.int32), -1)
+            rows = [(int(k), len(p := np.unique(place[level == k])), p.tobytes(), b"") for k in np.unique(level[level >= 0])]
+            if len(h := np.flatnonzero(n > hot_documents)):
+                rows.append((-1, len(h), key[h].tobytes(), n[h].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["level", "n", "keys", "counts"])
+
+    counts = docs.select("text").mapInArrow(count, "bucket long, rest binary, times binary")
+    found = cut(counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "level int, n long, keys binary, counts binary"))
+    left, least = COMMON_GRAMS, None
+    for row in found.where("level >= 0").groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
+        left -= row["n"]
+        if left < 0:
+            break
+        least = row["level"]
+    common = np.zeros(0, np.uint8)
+    if least is not None:
+        places = np.zeros(1 << COMMON_BITS, bool)
+        for keys in found.where(F.col("level") >= least).select("keys").toArrow().column("keys").to_pylist():
+            places[np.frombuffer(keys, np.uint32)] = True
+        common = np.packbits(places, bitorder="little")
+    hot = found.where("level = -1").select("keys", "counts").toArrow().to_pylist()
+    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in hot)])
+    parts = np.concatenate([np.zeros(0, np.int64), *(-(-np.frombuffer(r["counts"], np.int64) // hot_documents) for r in hot)])
+    by = np.argsort(keys)
+    return Order(bits, common, keys[by], parts[by])
+
+
+def postings(docs: DataFrame, order: Order, seed: int = 0) -> DataFrame:
+    """The n-grams of the prefix of every document's set, by bucket: ``bucket, gram, name, n``."""
 
-def scan(docs: DataFrame) -> DataFrame:
-    """For each document ``kind`` 0, id, set size and fingerprint; ``kind`` 1 rows have n-grams common in a task and their counts."""
+    def run(batches):
+        for sets, names in distinct_sets(batches, HELD_POSTINGS * 100 // (100 - PERCENT)):
+            gram, of = prefixes(sets, order)
+            name, n = fingerprints(sets, seed)[0][of], np.array([len(s) for s in sets], np.int32)[of]
+            bucket = order.buckets(gram, name)
+            by = np.argsort(bucket, kind="stable")
+            yield blobs(bucket[by], {"gram": gram[by], "name": name[by], "n": n[by]})
+
+    return docs.select("text").mapInArrow(run, "bucket long, gram binary, name binary, n binary")
+
+
+def lists(gram: np.ndarray, name: np.ndarray, n: np.ndarray, all_long: bool = False) -> tuple[np.ndarray, ...]:
+    """From a bucket's postings: ``kind`` 0 for pairs of short lists and how many n-grams they share, 1 for members of long lists and their sizes."""
+    by = np.lexsort((name, gram))
+    gram, name, n = gram[by], name[by], n[by]
+    keep = np.r_[True, (gram[1:] != gram[:-1]) | (name[1:] != name[:-1])][: len(gram)]
+    gram, name, n = gram[keep], name[keep], n[keep]
+    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]][: len(gram)])
+    count = np.diff(np.r_[first, len(gram)])
+    of = np.repeat(count, count)
+    some = (of > 1) | all_long
+    gram, name, n, of = gram[some], name[some], n[some], of[some]
+    long = (of > SHORT_LIST) | all_long
+    a, b = [], []
+    for k in range(1, SHORT_LIST):
+        if k < len(gram):
+            ok = (gram[:-k] == gram[k:]) & ~long[k:]
+            ok &= 100 * np.minimum(n[:-k], n[k:]).astype(np.int64) >= PERCENT * np.maximum(n[:-k], n[k:]).astype(np.int64)
+            a.append(name[:-k][ok])  # names ascend in a list
+            b.append(name[k:][ok])
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+    shared = np.diff(np.r_[at, len(a)])
+    kind = np.repeat(np.array([0, 1], np.int32), [len(at), int(long.sum())])
+    return kind, np.concatenate([a[at], gram[long].view(np.int64)]), np.concatenate([b[at], name[long]]), np.concatenate([shared, n[long]]).astype(np.int64)
+
+
+def pairs_and_members(rows: DataFrame, order: Order) -> DataFrame:
+    """``kind, a, b, c`` of all buckets, see ``lists``; a pair may come from several buckets."""
+    whole = 1 << order.bits
 
     def run(batches):
-        counts, held = [], 0
-        common: dict[int, int] = {}
-
-        def flush() -> None:
-            nonlocal held
-            if counts:
-                gram, n = np.unique(np.concatenate(counts), return_counts=True)
-                for g, c in zip(gram[n >= 3].tolist(), n[n >= 3].tolist(), strict=True):
-                    common[g] = common.get(g, 0) + c
-            counts.clear()
-            held = 0
-
-        for part in slices(batches):
-            sets = gram_sets(text_bytes(part.column("text")))
-            counts += sets
-            held += sum(map(len, sets))
-            if held > 4_000_000:
-                flush()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], ["kind", "id", "n", "name"])
-        flush()
-        kept = [(g, c) for g, c in common.items() if c >= COMMON_DOCUMENTS]
-        if kept:
-            gram = np.array([g for g, _ in kept], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(kept), np.int32)), pa.array(gram), pa.array([c for _, c in kept], pa.int64()), pa.array(np.zeros(len(kept), np.int64))], ["kind", "id", "n", "name"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, id long, n long, name long")
-
-
-def common_grams(scanned: DataFrame) -> np.ndarray:
-    """The commonest n-grams, at most ``COMMON_GRAMS`` (4 MB): which ones they are changes the work, never the result."""
-    rows = scanned.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(COMMON_GRAMS).select("id").toArrow()
-    return np.sort(rows.column("id").to_numpy().astype(np.int64).view(np.uint64))
-
-
-def postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """``gram, n, name`` of the prefix of every document's set."""
+        for bucket, gram, name, n in gathered(batches, [np.uint64, np.int64, np.int32]):
+            out = lists(gram, name, n, bucket >= whole)
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["kind", "a", "b", "c"])
 
-    def work(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        gram, size, name, seen = [], [], [], set()
-        for s in gram_sets(text_bytes(part.column("text"))):
-            own = fingerprint(s)
-            if len(s) and own not in seen:  # copies in a slice count once
-                seen.add(own)
-                p = prefix(s, common)
-                gram.append(p)
-                size.append(np.full(len(p), len(s), np.int32))
-                name.append(np.full(len(p), own, np.int64))
-        if not gram:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(gram).view(np.int64)), pa.array(np.concatenate(size)), pa.array(np.concatenate(name))], ["gram", "n", "name"])
-
-    return map_texts(docs.select("doc_id", "text"), work, "gram long, n int, name long")
-
-
-def lists_to_pairs(rows: DataFrame) -> DataFrame:
-    """From postings sorted by n-gram: ``kind`` 0 for star pairs, 1 for other pairs of short lists, 2 for members of long lists."""
-
-    def emit(gram, n, name, hub, going):
-        keep = np.r_[True, (gram[1:] != gram[:-1]) | (name[1:] != name[:-1])]
-        gram, n, name = gram[keep], n[keep], name[keep]
-        first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        count = np.diff(np.r_[first, len(gram)])
-        of = np.repeat(first, count)
-        hub_name, hub_n = name[of].copy(), n[of].copy()
-        long = np.repeat(count, count) > SHORT_LIST
-        if hub is not None:  # the list goes on from earlier rows
-            same = gram == hub[0]
-            hub_n[same], hub_name[same] = hub[1], hub[2]
-            long |= same
-        if going:  # more of the list follows, so what is held of it may look short
-            long |= gram == gram[-1]
-        out = [(0, hub_name, name, hub_n, n, name != hub_name)]
-        for k in range(1, SHORT_LIST):
-            if k < len(gram):
-                out.append((1, name[:-k], name[k:], n[:-k], n[k:], (gram[:-k] == gram[k:]) & ~long[k:] & (of[:-k] != np.arange(len(gram) - k))))
-        pieces = []
-        for kind, a, b, na, nb, ok in out:
-            ok = ok & (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb).astype(np.int64))
-            pieces.append((np.full(int(ok.sum()), kind, np.int32), np.minimum(a, b)[ok], np.maximum(a, b)[ok], np.zeros(int(ok.sum()), np.int32)))
-        m = long
-        pieces.append((np.full(int(m.sum()), 2, np.int32), gram[m], name[m], n[m].astype(np.int32)))
-        kind, a, b, c = (np.concatenate(x) for x in zip(*pieces, strict=True))
-        if len(kind):
-            order = np.lexsort((b, a, kind))
-            kind, a, b, c = kind[order], a[order], b[order], c[order]
-            new = np.r_[True, (kind[1:] != kind[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-            at = np.flatnonzero(new)
-            times = np.diff(np.r_[at, len(kind)]).astype(np.int32)
-            kind, a, b = kind[at], a[at], b[at]
-            c = np.where(kind == 2, c[at], times)
-        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b), pa.array(c.astype(np.int32))], ["kind", "a", "b", "c"])
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "kind int, a long, b long, c long")
 
-    def run(batches):
-        held, size, hub = [], 0, None
-
-        def flush(last: bool):
-            nonlocal held, size, hub
-            gram, n, name = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut_at = len(gram) if last else int(np.searchsorted(gram, gram[-1]))
-            going = not last and cut_at == 0  # one n-gram fills all that is held
-            if going:
-                cut_at = len(gram)
-            out = emit(gram[:cut_at], n[:cut_at], name[:cut_at], hub, going) if cut_at else None
-            if going:
-                hub = hub if hub is not None and hub[0] == gram[0] else (gram[0], n[0], name[0])
-            held = [(gram[cut_at:], n[cut_at:], name[cut_at:])] if cut_at < len(gram) else []
-            size = len(gram) - cut_at
-            return out
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
-            size += batch.num_rows
-            if size >= HELD_ROWS:
-                out = flush(False)
-                if out is not None and out.num_rows:
-                    yield out
-        if held:
-            out = flush(True)
-            if out.num_rows:
-                yield out
-
-    # Sorted as signed longs on both sides; the task sees each n-gram's classes by size.
-    return rows.repartition("gram").sortWithinPartitions("gram", "n", "name").mapInArrow(run, "kind int, a long, b long, c int")
-
-
-def counted_pairs(rows: DataFrame) -> DataFrame:
-    """``kind, a, b, c`` once each: the n-grams that a pair shares (kinds 0 and 1), the set size of a list's member (kind 2).
-
-    A class whose postings lie on both sides of a flush is a member twice, with one size.
+def possible(pairs: DataFrame, sizes: DataFrame, weights: DataFrame) -> DataFrame:
+    """The pairs (``a, b, c``) that may be similar, by the n-grams that their prefixes can share.
+
+    Shared n-grams up to the end of the prefix that ends first are in both prefixes; beyond it there are at most
+    what the set has left. ``c`` counts those of short lists; of long ones two sets share at most as many as
+    either is in.
     """
-    total = F.when(F.col("kind") == 2, F.max("c").cast("long")).otherwise(F.sum("c"))
-    return rows.groupBy("kind", "a", "b").agg(total.alias("c"))
+    of = sizes.select("name", "n").join(weights.select("name", "lists"), "name", "left").select("name", "n", F.coalesce("lists", F.lit(0)).alias("lists"))
+    pairs = pairs.join(of.toDF("a", "na", "ma"), "a").join(of.toDF("b", "nb", "mb"), "b")
+    rest = F.greatest(F.ceil(F.col("na") * PERCENT / 100), F.ceil(F.col("nb") * PERCENT / 100)) - 1
+    shared = F.col("c") + F.least("ma", "mb") + rest
+    return pairs.where((100 + PERCENT) * shared >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b", "c")
 
 
-def bitmap(names: DataFrame) -> np.ndarray:
-    """Bits of the hashed names: ``BITMAP`` rows at most, whatever their number."""
-    h = F.xxhash64("name")
-    rows = names.groupBy(F.pmod(h, F.lit(BITMAP)).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(name), 20), 64) as int))")).alias("bits")).toArrow()
-    out = np.zeros(BITMAP, np.int64)
-    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
-    return out
+def open_to_links(members: DataFrame, weights: DataFrame) -> DataFrame:
+    """The members (``gram, name, n, lists``) that may be similar to another class of the list, by the same bound.
+
+    What a set can share with another is least short of what it needs where their sizes differ most, so the
+    smallest and the largest size of the list decide.
+    """
+    span = members.groupBy("gram").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    rows = members.join(weights, "name").join(span, "gram")
+    low, high = F.greatest("low", F.ceil(F.col("n") * PERCENT / 100)), F.least("high", F.floor(F.col("n") * 100 / PERCENT))
+    rest = lambda other: F.greatest(F.ceil(F.col("n") * PERCENT / 100), F.ceil(other * PERCENT / 100))
+    room = lambda other: (100 + PERCENT) * (F.col("shared") + rest(other)) >= PERCENT * (F.col("n") + other)
+    return rows.where(room(low) | room(high)).select("gram", "name", "n", "lists")
 
 
-def fetched_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
+def fetched_sets(docs: DataFrame, names: DataFrame, seed: int = 0) -> DataFrame:
     """``name, fragment, grams``: the sets of the classes (``name, id``: one document of each), by fragment."""
-    bits = bitmap(names)
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch | None:
         out: list[list] = [[], [], [], []]
         sets = gram_sets(text_bytes(part.column("text")))
-        own = [fingerprint(s) for s in sets]
-        h = spark_xxhash64(np.array(own, np.int64))
-        hit = (bits[(h % BITMAP + BITMAP) % BITMAP] >> ((h >> 20) % 64)) & 1
-        for doc_id, name, s, ok in zip(part.column("doc_id").to_pylist(), own, sets, hit, strict=True):
-            if ok and len(s):
+        for doc_id, name, s in zip(part.column("doc_id").to_pylist(), fingerprints(sets, seed)[0].tolist(), sets, strict=True):
+            if len(s):
                 cuts = np.searchsorted(s, [np.uint64((1 << 64) // FRAGMENTS * f) for f in range(1, FRAGMENTS)])
                 for f, piece in enumerate(np.split(s, cuts)):
                     for column, value in zip(out, (doc_id, name, f, piece.tobytes()), strict=True):
@@ -265,125 +342,106 @@ def fetched_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "name", "fragment", "grams"])
 
-    got = map_texts(docs.select("doc_id", "text"), work, "doc_id long, name long, fragment int, grams binary")
-    return got.join(names.select("name", F.col("id").alias("of")), "name").where(F.col("doc_id").eqNullSafe(F.col("of"))).select("name", "fragment", "grams")
-
-
-def spark_xxhash64(values: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of longs, seed 42."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    rotate = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-    with np.errstate(over="ignore"):
-        h = np.full(len(values), np.uint64(42) + p5 + np.uint64(8))
-        h ^= rotate(values.view(np.uint64) * p2, 31) * p1
-        h = rotate(h, 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-        return (h ^ (h >> np.uint64(32))).view(np.int64)
+    wanted = maybe(docs.select("doc_id", "text"), "doc_id", bitmap(names.select(F.col("id").alias("doc_id")), "doc_id")).where("__maybe")
+    got = map_texts(wanted.select("doc_id", "text"), work, "doc_id long, name long, fragment int, grams binary")
+    got = got.join(names.select("name", F.col("id").alias("of")), "name").where(F.col("doc_id").eqNullSafe(F.col("of")))
+    return got.groupBy("name", "fragment").agg(F.first("grams").alias("grams"))  # rows that repeat an id
 
 
-def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
     """The pairs (``a, b``) whose summed fragment overlaps make them similar enough."""
-    names = pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct()
-    sets = fetched_sets(docs, cut(names.join(sizes.select("name", "id"), "name")))
 
     def overlap(batches):
         for batch in batches:
-            a, b = batch.column("ga").to_pylist(), batch.column("gb").to_pylist()
-            n = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("fragment"), pa.array(n, pa.int64())], ["a", "b", "fragment", "shared"])
-
-    left = pairs.join(sets.select(F.col("name").alias("b"), "fragment", F.col("grams").alias("gb")), "b")
+            n = []
+            for x, y in zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist(), strict=True):
+                both = np.frombuffer(x + y, np.uint64).copy()
+                both.sort()
+                n.append(int((both[1:] == both[:-1]).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64())], ["a", "b", "shared"])
+
+    left = pairs.select("a", "b").join(sets.select(F.col("name").alias("b"), "fragment", F.col("grams").alias("gb")), "b")
     both = left.join(sets.select(F.col("name").alias("a"), "fragment", F.col("grams").alias("ga")), ["a", "fragment"])
-    counted = both.select("a", "b", "fragment", "ga", "gb").mapInArrow(overlap, "a long, b long, fragment int, shared long")
-    # Rows that repeat an id give a fragment more than once.
-    summed = counted.groupBy("a", "b", "fragment").agg(F.max("shared").alias("shared")).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    summed = both.select("a", "b", "ga", "gb").mapInArrow(overlap, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     na = sizes.select(F.col("name").alias("a"), F.col("n").alias("na"))
     nb = sizes.select(F.col("name").alias("b"), F.col("n").alias("nb"))
     return summed.join(na, "a").join(nb, "b").where(100 * F.col("shared") >= PERCENT * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
-def possible(pairs: DataFrame, sizes: DataFrame, long_: DataFrame | None) -> DataFrame:
-    """The pairs (``a, b, c``) that may be similar, by the n-grams that their prefixes can share.
+def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The members of lists whose classes are of several components, with their ``label``."""
+    if labels is None:
+        return members.withColumn("label", F.col("name"))
+    rows = members.join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("label", F.coalesce("label", "name"))
+    several = rows.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
+    return rows.join(several, "gram")
 
-    Common n-grams up to the end of the prefix that ends first are in both prefixes; beyond it there are at most
-    what the set has left. ``c`` counts the shared n-grams of short lists; of long lists (``name, lists``) two
-    sets share at most as many as either is in.
-    """
-    of = sizes.select("name", "n") if long_ is None else sizes.select("name", "n").join(long_, "name", "left")
-    lists = F.lit(0) if long_ is None else F.coalesce("lists", F.lit(0))
-    of = of.select("name", "n", lists.alias("lists"))
-    pairs = pairs.join(of.toDF("a", "na", "ma"), "a").join(of.toDF("b", "nb", "mb"), "b")
-    rest = F.greatest(F.ceil(F.col("na") * PERCENT / 100), F.ceil(F.col("nb") * PERCENT / 100)) - 1
-    shared = F.col("c") + F.least("ma", "mb") + rest
-    return pairs.where((100 + PERCENT) * shared >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b", "c")
 
+def hub_pairs(members: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """For each class the pair (``a, b, c``) with the hub that it meets in most lists: of a list, the class that is in most lists and not ``used``."""
+    could = members if used is None else members.join(used, "name", "left_anti")
+    hubs = could.groupBy("gram").agg(F.max_by(F.struct(F.col("name").alias("hub"), F.col("n").alias("hn"), F.col("label").alias("hl")), F.struct("lists", "name")).alias("h")).select("gram", "h.hub", "h.hn", "h.hl")
+    sized = F.least("n", "hn") * 100 >= F.greatest("n", "hn") * PERCENT
+    met = members.join(hubs, "gram").where((F.col("label") != F.col("hl")) & sized).groupBy("name", "hub").agg(F.count(F.lit(1)).alias("c"))
+    best = met.groupBy("name").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+    return best.select(F.least("name", "hub").alias("a"), F.greatest("name", "hub").alias("b"), "hub").distinct()
 
-def similar_classes(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+
+def similar_classes(docs: DataFrame, sizes: DataFrame, total: int, seed: int = 0) -> DataFrame:
     """``node, label``: the components of the classes that are linked with another class."""
-    common = common_grams(scanned)
-    sizes = cut(scanned.where("kind = 0 and n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min("id").alias("id")))
-    found = cut(counted_pairs(lists_to_pairs(postings(docs, common))))
-    long_ = cut(found.where("kind = 2").groupBy(F.col("b").alias("name")).agg(F.count(F.lit(1)).alias("lists")))
-    pairs = found.where("kind < 2").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    pairs = cut(possible(pairs, sizes, long_))
-    # Of the pairs that a class is in, the one with most shared n-grams goes first; the rest follow where still needed.
-    one_way = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
-    other_way = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select("a", "b")
-    best = cut(one_way.union(other_way).distinct())
-    links = cut(verified(docs, best, sizes))
-    labels = components(links)
-    # Of long lists each class then meets the list's most connected class, while lists have classes of several components.
-    lists = found.where("kind = 2").select(F.col("a").alias("gram"), "b", F.col("c").alias("n"))
-    for _ in range(STAR_ROUNDS):
-        hubs = cut(hub_pairs(cut(open_members(lists, labels)), long_))
-        hubs = cut(possible(hubs, sizes, long_).select("a", "b").join(best, ["a", "b"], "left_anti"))
-        if hubs.isEmpty():
+    order = common_order(docs, total, seed)
+    found = cut(pairs_and_members(postings(docs, order, seed), order))
+    pairs = cut(found.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c")))
+    members = found.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("name"), F.col("c").alias("n"))
+    most = pairs.select(F.explode(F.array("a", "b")).alias("name"), "c").groupBy("name").agg(F.max("c").alias("c"))
+    weights = members.groupBy("name").agg(F.count(F.lit(1)).alias("lists")).join(most, "name", "left")
+    weights = cut(weights.select("name", "lists", (F.col("lists") + F.coalesce("c", F.lit(0))).alias("shared")))
+    members = cut(open_to_links(members, weights))
+    short = cut(possible(pairs, sizes, weights))
+    shared = lambda more: more.join(pairs, ["a", "b"], "left").select("a", "b", F.coalesce("c", F.lit(0)).alias("c"))
+    names = short.select(F.explode(F.array("a", "b")).alias("name")).union(members.select("name")).distinct()
+    sets = cut(fetched_sets(docs, cut(names.join(sizes.select("name", "id"), "name")), seed))
+    tested = links = labels = used = None
+    for turn in range(STAR_ROUNDS):
+        hubs = cut(hub_pairs(labelled(members, labels), used))
+        fresh = possible(shared(hubs.select("a", "b")), sizes, weights).select("a", "b")
+        fresh = fresh.union(short.select("a", "b")).distinct() if not turn else fresh.join(tested, ["a", "b"], "left_anti")
+        fresh = cut(fresh)
+        if turn and fresh.isEmpty():
             break
-        best = cut(best.union(hubs))
-        links = cut(links.union(verified(docs, hubs, sizes)))
+        tested = fresh if tested is None else cut(tested.union(fresh))
+        used = hubs.select(F.col("hub").alias("name")).distinct() if used is None else used.union(hubs.select("hub")).distinct()
+        new = cut(verified(fresh, sets, sizes))
+        links = new if links is None else cut(links.union(new))
         labels = components(links)
-    # What is left: pairs of different components. All long lists that such a pair shares are open.
-    la, lb = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
-    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    rest, members = cut(rest), cut(open_members(lists, labels))
-    other = members.select("gram", F.col("b").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    sized = F.least("n", "na") * 100 >= F.greatest("n", "na") * PERCENT
-    across = members.join(other, "gram").where((F.col("label") < F.col("la")) & sized).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("more"))
-    short = found.where("kind < 2").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    across = possible(cut(across).join(short, ["a", "b"], "left").select("a", "b", (F.col("more") + F.coalesce("c", F.lit(0))).alias("c")), sizes, None).select("a", "b")
-    rest = cut(rest.union(across).distinct().join(best, ["a", "b"], "left_anti"))
+    # What is left: pairs of different components in a long list.
+    left = cut(labelled(members, labels))
+    other = left.select("gram", F.col("name").alias("other"), F.col("n").alias("on"), F.col("label").alias("ol"))
+    sized = F.least("n", "on") * 100 >= F.greatest("n", "on") * PERCENT
+    across = left.join(other, "gram").where((F.col("label") < F.col("ol")) & sized).select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b"))
+    # Here the lists that a pair shares are counted: those of two components are all among these.
+    across = across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("more")).join(pairs, ["a", "b"], "left").select("a", "b", (F.col("more") + F.coalesce("c", F.lit(0))).alias("c"))
+    rest = cut(possible(across, sizes, weights.select("name", F.lit(0).alias("lists"))).select("a", "b").join(tested, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return labels
-    return components(links.union(cut(verified(docs, rest, sizes))))
-
-
-def open_members(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """``gram, b, n, label`` of the long lists whose classes are of several components."""
-    members = lists.join(labels.select(F.col("node").alias("b"), "label"), "b", "left").select("gram", "b", "n", F.coalesce("label", "b").alias("label"))
-    several = members.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
-    return members.join(several, "gram")
-
-
-def hub_pairs(members: DataFrame, long_: DataFrame) -> DataFrame:
-    """For each class the pair (``a, b, c``) with the hub that it meets in most lists: of a list, the class that is in most lists."""
-    weighed = members.join(long_.withColumnRenamed("name", "b"), "b")
-    hubs = weighed.groupBy("gram").agg(F.max_by(F.struct(F.col("b").alias("hub"), F.col("n").alias("hn"), F.col("label").alias("hl")), F.struct("lists", "b")).alias("h")).select("gram", "h.hub", "h.hn", "h.hl")
-    sized = F.least("n", "hn") * 100 >= F.greatest("n", "hn") * PERCENT
-    met = members.join(hubs, "gram").where((F.col("label") != F.col("hl")) & sized).groupBy("b", "hub").agg(F.count(F.lit(1)).alias("c"))
-    best = met.groupBy("b").agg(F.max_by(F.struct("hub", "c"), F.struct("c", "hub")).alias("h"))
-    return best.select(F.least("b", "h.hub").alias("a"), F.greatest("b", "h.hub").alias("b"), F.col("h.c").alias("c")).distinct()
+    return components(links.union(cut(verified(rest, sets, sizes))))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row for each row of ``docs``.
 
     A null, empty or blank text has no n-grams and is linked with nothing; equal sets are linked, repeated
-    rows too. A null id takes part in links but is never the smallest of a component unless alone.
+    rows too. A null id takes part in links but is never the smallest of a component unless alone. An empty
+    table gives no rows; other columns of ``docs`` play no part.
     """
-    scanned = cut(scan(docs))
-    rows = scanned.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "name")
-    labels = similar_classes(docs, scanned).select(F.col("node").alias("name"), "label")
+    for seed in range(9):
+        scanned = cut(scan(docs, seed))
+        sizes = cut(scanned.where("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min("id").alias("id"), F.min("other").alias("low"), F.max("other").alias("high")))
+        if sizes.where("low <> high").isEmpty():  # else two sets have one name: others are given
+            break
+    total = scanned.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    rows = scanned.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "name")
+    labels = similar_classes(docs, sizes, total, seed).select(F.col("node").alias("name"), "label")
     rows = rows.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
     least = rows.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     rows = rows.join(least, "label", "left")

@@ -51,7 +51,7 @@ def test_jaccard_components(odd_docs, no_docs):
     assert J.jaccard_components(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("common", [0, 1])
+@pytest.mark.parametrize("common", [4, 1 << 20])
 def test_jaccard_chains_and_common_passages(spark, monkeypatch, common):
     rng = np.random.default_rng(2)
     base = [f"w{i}" for i in range(60)]
@@ -62,8 +62,7 @@ def test_jaccard_chains_and_common_passages(spark, monkeypatch, common):
     for i in range(40):
         own = " ".join(f"q{i}_{k}" for k in range(int(rng.integers(3, 60))))
         rows.append((100 + i, own + " " + passage))
-    if common:
-        monkeypatch.setattr(J, "COMMON_DOCUMENTS", 3)
+    monkeypatch.setattr(J, "COMMON_DOCUMENTS", common)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in J.jaccard_components(docs).collect())
     assert got == brute_components(rows)
@@ -78,26 +77,41 @@ def test_gram_sets_of_lone_texts():
         assert J.gram_sets([text])[0].tolist() == want.tolist()
 
 
-def test_long_lists_over_several_flushes(spark, monkeypatch):
-    monkeypatch.setattr(J, "HELD_ROWS", 8)
-    # One n-gram's list: three classes first, then more, each with copies from several slices.
-    rows = [(7, 20 + name // 4, name) for name in range(1, 13) for _ in range(5)] + [(9, 20, 1), (9, 20, 2)]
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(batch)
-    spark.conf.set(batch, 4)
-    try:
-        found = J.counted_pairs(J.lists_to_pairs(spark.createDataFrame(rows, "gram long, n int, name long"))).collect()
-    finally:
-        spark.conf.set(batch, before)
-    assert {(r["a"], r["b"]): r["c"] for r in found if r["kind"] == 2} == {(7, name): 20 + name // 4 for name in range(1, 13)}
-    assert {(r["a"], r["b"]) for r in found if r["kind"] == 0} == {(1, name) for name in range(2, 13)}
-
-
-def test_spark_hash(spark):
-    values = np.array([0, 1, -5, 1 << 40, -(1 << 62)], dtype=np.int64)
-    rows = spark.createDataFrame([(int(v),) for v in values], "v long").selectExpr("v", "xxhash64(v) as h").collect()
-    want = {r["v"]: r["h"] for r in rows}
-    assert [want[int(v)] for v in values] == J.spark_xxhash64(values).tolist()
+def test_lists_of_a_bucket():
+    # Five copies of each posting, as from several slices: a long list, a short one, a lone posting.
+    rows = [(7, 20 + name // 4, name) for name in range(1, 13) for _ in range(5)] + [(9, 20, 1), (9, 20, 2), (9, 20, 1), (11, 20, 3), (8, 20, 2), (8, 20, 1), (8, 40, 3)]
+    gram, n, name = (np.array(x) for x in zip(*rows, strict=True))
+    found = list(zip(*(x.tolist() for x in J.lists(gram.astype(np.uint64), name, n)), strict=True))
+    assert [f for f in found if f[0] == 0] == [(0, 1, 2, 2)]  # sizes of 20 and 40 cannot be similar
+    assert {f[1:] for f in found if f[0] == 1} == {(7, name, 20 + name // 4) for name in range(1, 13)}
+    assert len(J.lists(gram[:0].astype(np.uint64), name[:0], n[:0])[0]) == 0
+
+
+def test_common_ngrams_go_last():
+    order = J.Order(1, np.zeros(1 << (J.COMMON_BITS - 3), np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    grams = np.arange(1, 21, dtype=np.uint64) << np.uint64(64 - J.COMMON_BITS)
+    order.common[0] |= 0b10  # the first n-gram is common
+    kept, of = J.prefixes([grams, grams[:0], grams[:1]], order)
+    assert kept[of == 0].tolist() == grams[1:7].tolist() and kept[of == 2].tolist() == grams[:1].tolist()
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Hubs, hot n-grams dealt to several buckets, and several buckets, against brute force."""
+    monkeypatch.setattr(J, "HOT_DOCUMENTS", 20)
+    monkeypatch.setattr(J, "BUCKET_GRAMS", 500)
+    monkeypatch.setattr(J, "HELD_GRAMS", 700)
+    monkeypatch.setattr(J, "HELD_POSTINGS", 300)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for k in rng.integers(0, 80, int(rng.integers(0, 9))):
+            words[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in J.jaccard_components(docs).collect())
+    assert got == brute_components(rows)
 
 
 def test_components(spark):
