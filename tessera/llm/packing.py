@@ -8,10 +8,11 @@ expanded gap most tightly replace it, if they fill it better.
 
 from __future__ import annotations
 
-import re
+import json
 import unicodedata
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,63 +23,203 @@ from tokenizers import Tokenizer
 
 from tessera.llm.common import map_texts, text_bytes
 
-CAPACITY, GROUP_PIECES, MEMO = 2048, 8192, 500_000
+CAPACITY, GROUP_PIECES, MEMO = 2048, 8192, 1_000_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 
 
-#: What the tokenizer makes of ASCII text, lower-cased: contractions, runs of letters, single digits, runs of other marks.
-ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-#: A word of Latin letters whose case has one form each way, and the marks after it.
-LATIN_PARTS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+)([.,;:!?#$%&*]*)")
+#: Classes of bytes: white space, letters, digits, other marks, and what only the tokenizer itself cuts.
+WHITE, LETTER, DIGIT, MARK, ODD = range(5)
+CLASS = np.full(256, ODD, np.uint8)
+CLASS[33:127] = MARK
+CLASS[[32, *range(9, 14)]] = WHITE
+CLASS[48:58] = DIGIT
+CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: For the letters from U+00C0 to U+017F, by their two bytes: the lower-case one's, or 0 where only the tokenizer knows.
+LEADS = (0xC3, 0xC4, 0xC5)
+
+
+def _two_byte_letters() -> np.ndarray:
+    out = np.zeros((len(LEADS), 64, 2), np.uint8)
+    for i, lead in enumerate(LEADS):
+        for trail in range(64):
+            one = bytes([lead, 0x80 + trail]).decode()
+            low = one.lower()
+            if unicodedata.category(one)[0] == "L" and len(low) == 1 and len(low.encode()) == 2 and unicodedata.is_normalized("NFC", one):
+                out[i, trail] = list(low.encode())
+    return out
+
+
+TWO_BYTES = _two_byte_letters()
+#: The tokenizer's contractions: an apostrophe that begins a run of marks, and these letters.
+SHORT_ENDS, LONG_ENDS = b"stmd", (b"re", b"ve", b"ll")
+#: Parts of up to this many bytes stand for themselves as two numbers.
+NARROW = 16
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for a byte: the printable ones of Latin-1 as they are, others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)} | {32: " "}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 class WordEncoder:
-    """Ids by words: the tokenizer drops white space and looks at nothing across it, so words are independent.
+    """Ids by parts of words: the tokenizer drops white space and looks at nothing across it, so words are independent.
 
-    Words are cut further, where that is certain to be the tokenizer's own cut, so that a word counts once
-    whatever its case and the marks after it. Each distinct part goes through the tokenizer once.
+    Words are cut further where that is certain to be the tokenizer's own cut: into runs of letters, single digits,
+    runs of other marks and contractions. Each distinct part, lower-cased, goes through the tokenizer once; the ids
+    of a slice are gathered with numpy. A word with other bytes than ASCII and Latin letters, or with the
+    beginning of a special string, goes through the tokenizer whole.
     """
 
     def __init__(self, file: str):
         self.tokenizer = Tokenizer.from_file(file)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        # The same merges without the steps that whole texts need, for parts that are cut and in lower case already.
+        own = json.loads(self.tokenizer.to_str())
+        own |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(own))
+        vocabulary = own["model"]["vocab"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith(own["model"]["end_of_word_suffix"])
+        self.forget()
+
+    def forget(self) -> None:
+        self.key, self.low, self.high = (np.zeros(0, np.uint64) for _ in range(3))  # parts by their key, ascending
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)  # their ids in ``ids``
+        self.ids = np.zeros(1, np.uint32)  # the first is the id 0 that ends a text
+        self.wide: dict[bytes, tuple[int, int]] = {}
+
+    def learn(self, parts: list[bytes], cut: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of some parts are, and how many; ``cut``: they are the tokenizer's own parts in lower case."""
+        if cut:
+            rows = [b" ".join(parts[i : i + 100]).decode("latin-1").translate(BYTE_LETTERS) for i in range(0, len(parts), 100)]
+            found = [e.ids for e in self.merges.encode_batch_fast(rows, add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(found), np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(parts):
+                count = np.diff(last, prepend=-1)
+                first = len(self.ids) + np.cumsum(count) - count
+                self.ids = np.concatenate([self.ids, ids])
+                return first, count
+        found = []
+        for i in range(0, len(parts), 20_000):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts[i : i + 20_000]], add_special_tokens=False)]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        first = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum()))])
+        return first, count
 
     @staticmethod
-    def cut(word: bytes) -> list[bytes]:
-        if word.isascii():
-            return [word] if b"<|" in word else ASCII_PARTS.findall(word.lower())
-        found = LATIN_PARTS.fullmatch(text := word.decode())
-        if not found:
-            return [word]
-        return [p.encode() for p in (found[1].lower(), found[2]) if p] if unicodedata.is_normalized("NFC", text) else [word]
-
-    def learn(self, words: list[bytes]) -> None:
-        cuts = [self.cut(w) for w in words]
-        fresh = list({p for parts in cuts for p in parts} - self.parts.keys())
-        if len(self.parts) + len(fresh) > MEMO:
-            self.parts = {}
-            fresh = list({p for parts in cuts for p in parts})
-        for i in range(0, len(fresh), 20_000):
-            some = fresh[i : i + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
-                self.parts[p] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.parts.__getitem__
-        for w, parts in zip(words, cuts, strict=True):
-            self.words[w] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
+    def cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts that end with line feeds: the bytes in lower case, where parts begin and end, and which are for the tokenizer alone."""
+        kind, data = CLASS[data], data.copy()
+        leads = np.flatnonzero((data >= LEADS[0]) & (data <= LEADS[-1]))
+        if len(leads):
+            low = TWO_BYTES[data[leads] - LEADS[0], data[leads + 1] - 0x80]
+            known = low[:, 0] > 0
+            leads, low = leads[known], low[known]
+            data[leads], data[leads + 1] = low[:, 0], low[:, 1]
+            kind[leads] = kind[leads + 1] = LETTER
+        original, data = data, LOWER[data]
+        special = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        kind[special] = ODD
+        white = kind == WHITE
+        begin = np.r_[True, white[:-1]] & ~white
+        word = np.cumsum(begin) - 1
+        odd_word = np.zeros(int(word[-1]) + 2, bool)  # the last is for white space before any word
+        odd_word[word[kind == ODD]] = True
+        before = np.r_[np.uint8(WHITE), kind[:-1]]
+        start = (kind != before) | (kind == DIGIT)
+        mark = np.flatnonzero((data == ord("'")) & (before != MARK))
+        ahead = np.r_[data, np.uint8(10), np.uint8(10)]
+        one, two = ahead[mark + 1], ahead[mark + 2]
+        short = np.isin(one, np.frombuffer(SHORT_ENDS, np.uint8))
+        long = np.zeros(len(mark), bool)
+        for end in LONG_ENDS:
+            long |= (one == end[0]) & (two == end[1])
+        for at, size in ((mark[short], 2), (mark[long], 3)):
+            for k in range(1, size):
+                start[at + k] = False
+            start[at + size] = True
+        odd = odd_word[word] & ~white
+        start = np.where(odd, begin, start & ~white)
+        begin = np.flatnonzero(start)
+        # A part ends where the next begins or white space does.
+        stop = np.flatnonzero(start | (white & ~np.r_[True, white[:-1]]))
+        stop = stop[np.searchsorted(stop, begin, side="right")] if len(begin) else stop[:0]
+        alone = odd[begin]
+        if alone.any():  # the tokenizer sees these as they were written
+            inside = np.flatnonzero(odd)
+            data[inside] = original[inside]
+        return data, begin, stop, alone
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers, with an id 0 at the end."""
-        words = [t.split() for t in texts]
-        distinct = set().union(*words)
-        fresh = distinct - self.words.keys()
-        if len(self.words) + len(fresh) > MEMO:
-            self.words = {}
-            fresh = distinct
-        self.learn(list(fresh))
-        get, end = self.words.__getitem__, b"\0\0\0\0"
-        return [np.frombuffer(b"".join(map(get, ws)) + end, "<u4") for ws in words]
+        if not texts:
+            return []
+        raw = b"\n".join(texts) + b"\n"
+        data, begin, stop, alone = self.cut(np.frombuffer(raw, np.uint8))
+        size = stop - begin
+        whole = np.concatenate([data, np.zeros(NARROW, np.uint8)])
+        eight = np.ndarray(len(data) + 8, "<u8", whole.data, strides=(1,))
+        low = eight[begin] & _MASKS[np.minimum(size, 8)]
+        high = eight[begin + 8 * (size > 8)] & _MASKS[np.clip(size - 8, 0, 8)]
+        first, count = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        if len(self.key) + len(self.wide) > MEMO:
+            self.forget()
+        narrow = np.flatnonzero((size <= NARROW) & ~alone)
+        if len(narrow):
+            key = part_keys(low[narrow], high[narrow])
+            fresh, at, back = np.unique(key, return_index=True, return_inverse=True)
+            at = narrow[at]
+            if (low[at][back] != low[narrow]).any() or (high[at][back] != high[narrow]).any():
+                alone = np.ones(len(begin), bool)  # two parts with one key: none goes by its key
+            else:
+                place = np.minimum(np.searchsorted(self.key, fresh), max(0, len(self.key) - 1))
+                known = self.key[place] == fresh if len(self.key) else np.zeros(len(fresh), bool)
+                if ((self.low[place[known]] != low[at[known]]) | (self.high[place[known]] != high[at[known]])).any():
+                    alone = np.ones(len(begin), bool)
+                else:
+                    new = at[~known]
+                    if len(new):
+                        lowered = whole.tobytes()
+                        where, many = self.learn([lowered[a:b] for a, b in zip(begin[new].tolist(), stop[new].tolist(), strict=True)], True)
+                        columns = zip((self.key, self.low, self.high, self.first, self.count), (fresh[~known], low[new], high[new], where, many), strict=True)
+                        columns = [np.concatenate(c) for c in columns]
+                        by = np.argsort(columns[0])
+                        self.key, self.low, self.high, self.first, self.count = (c[by] for c in columns)
+                    place = np.searchsorted(self.key, fresh)[back]
+                    first[narrow], count[narrow] = self.first[place], self.count[place]
+        other = np.flatnonzero((size > NARROW) | alone)
+        if len(other):
+            lowered = whole.tobytes()
+            parts = [lowered[a:b] for a, b in zip(begin[other].tolist(), stop[other].tolist(), strict=True)]
+            if fresh := list(set(parts) - self.wide.keys()):
+                for p, a, n in zip(fresh, *(x.tolist() for x in self.learn(fresh, False)), strict=True):
+                    self.wide[p] = (a, n)
+            found = np.array([self.wide[p] for p in parts], np.int64)
+            first[other], count[other] = found[:, 0], found[:, 1]
+        # An id 0 after the parts of each text.
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        after = np.searchsorted(begin, ends)
+        first, count = np.insert(first, after, 0), np.insert(count, after, 1)
+        total = np.cumsum(count)
+        ids = self.ids[np.repeat(first - total + count, count) + np.arange(int(total[-1]))]
+        return np.split(ids, total[after + np.arange(len(texts))][:-1])
+
+
+def part_keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """One number for the two that a part is; a coincidence is found and costs time only."""
+    x = (low ^ (low >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + (high ^ (high >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
 @lru_cache(maxsize=2)
@@ -160,9 +301,9 @@ def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     return sequence, offset
 
 
-def pack(rows: DataFrame, n_rows: int, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """``rows`` (pieces) with ``sequence_id`` and ``offset``; groups by a hash of the document and piece."""
-    groups = max(1, -(-n_rows // group_pieces))
+def pack(rows: DataFrame, most: int, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """``rows`` (pieces, ``most`` at most) with ``sequence_id`` and ``offset``; groups by a hash of the document and piece."""
+    groups = max(1, -(-most // group_pieces))
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         number = np.int64(group["grp"].iloc[0])
@@ -178,6 +319,8 @@ def packed(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
     """Every piece of every document, and its place.
 
     A null or empty text is the single id 0. Repeated rows are packed each on their own; an empty table
-    gives no rows; a null id is kept.
+    gives no rows; a null id is kept. A text has no more tokens than bytes and one, by which the groups are
+    so many that none holds much more than ``GROUP_PIECES`` pieces, however long the texts are.
     """
-    return pack(pieces(docs, tokenizer_file, capacity), docs.select("doc_id").count(), capacity)
+    most = docs.select(F.coalesce(F.sum(F.lit(1) + F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / capacity)), F.lit(0)).alias("n")).first()["n"]
+    return pack(pieces(docs, tokenizer_file, capacity), most, capacity)

@@ -86,6 +86,44 @@ def test_packing(odd_docs, no_docs):
     assert P.packed(no_docs, WORDS).count() == 0
 
 
+def test_word_encoder_against_the_library():
+    import random
+
+    tokenizer, rng = Tokenizer.from_file(WORDS), random.Random(1)
+    texts = ["don't we'RE x''s 's 'select 'r 've'll 12'd3 !'s 'sé 'É's", "'s", "a'", "\u0141\u00d3D\u0179 \u0178\u00ff\u0130\u0131\u0149 \u1e9e\u00df E\u0301 a\u0338", "<|endoftext|> <|end a<|startoftext|>b <", "\x1c\x1f \x00 \x7f", "x" * 100 + " " + "\u00e9" * 40 + "'" * 30, "a\u00a0b\u0085c\u200b"]
+    letters = list("aAbZ sStTdDmMrRvVeElL'''' 019!.,<|>#\n\t\u00c9\u00e9\u00df\u0141\u0142\u0130\u0153\u0301\u00a0\u65e5")
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    want = [e.ids + [0] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    encoder = P.WordEncoder(WORDS)
+    assert [g.tolist() for t in texts[:300] for g in encoder.encode([t.encode()])] == want[:300]
+    for _ in range(2):  # with nothing known, and with all parts known
+        assert [g.tolist() for g in encoder.encode([t.encode() for t in texts])] == want
+
+
+def two_fit_by_trying(lengths, capacity):
+    """What ``best_two_fit`` promises, by trying every pair: the lengths of each sequence."""
+    stock, out = sorted(lengths, reverse=True), []
+    while stock:
+        gap, own = capacity, []
+        while fit := [x for x in stock if x <= gap]:
+            own.append(fit[0])
+            stock.remove(fit[0])
+            gap -= fit[0]
+        if gap:
+            wide = gap + min(own)
+            pairs = [(stock[i] + stock[j], stock[i], stock[j]) for i in range(len(stock)) for j in range(i) if stock[i] + stock[j] <= wide]
+            if pairs and max(pairs)[0] > min(own):
+                stock.append(min(own))
+                own.remove(min(own))
+                two = next(p for p in sorted(pairs, key=lambda p: (-p[0], min(p[1:]))))
+                for x in two[1:]:
+                    own.append(x)
+                    stock.remove(x)
+                stock.sort(reverse=True)
+        out.append(sorted(own))
+    return out
+
+
 def test_best_two_fit():
     rng = np.random.default_rng(3)
     for _ in range(100):
@@ -97,6 +135,7 @@ def test_best_two_fit():
             own = own[np.argsort(offset[own])]
             assert lengths[own].sum() <= capacity
             assert (offset[own] == np.cumsum(lengths[own]) - lengths[own]).all()
+        assert [sorted(lengths[sequence == s].tolist()) for s in range(sequence.max() + 1)] == two_fit_by_trying(lengths.tolist(), capacity)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header>
