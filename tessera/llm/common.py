@@ -59,11 +59,11 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text_column: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text_column: str = "text", size: int = SLICE_BYTES) -> DataFrame:
     """``work`` on every slice of ``df``; memory is bounded by a slice and the longest text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_column):
+        for part in slices(batches, text_column, size):
             out = work(part)
             if out is not None and out.num_rows:
                 yield out

@@ -12,17 +12,17 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, label`` (the smallest node that can be reached) for the nodes of ``edges`` (``a, b``, longs).
 
     Labels go along edges and then jump to their label's label, so the rounds are few even for long chains;
-    every round is written to the shared checkpoint folder.
+    every round is written to the shared checkpoint folder. Repeated edges and edges from a node to itself change
+    nothing; without edges there are no nodes. An edge with a null end is left out.
     """
+    edges = edges.where("a is not null and b is not null")
     links = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        seen = links.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
-        best = seen.union(labels).groupBy("node").agg(F.min("label").alias("label"))
+    labels = links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    labels = cut(labels.withColumn("moved", F.lit(True)))
+    while not labels.where("moved").isEmpty():
+        seen = links.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        best = seen.union(labels.select("node", "label", F.col("label").alias("old"))).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        best = best.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"))
-        best = cut(best)
-        changed = best.join(labels.select("node", F.col("label").alias("old")), "node").where("label <> old").limit(1).count()
-        labels = best
-        if not changed:
-            return labels
+        best = best.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old")
+        labels = cut(best.select("node", "label", (F.col("label") < F.col("old")).alias("moved")))
+    return labels.select("node", "label")

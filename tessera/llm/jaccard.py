@@ -9,9 +9,9 @@ and summed per pair.
 
 N-grams travel as blobs of whole hash ranges ("buckets"), so that rows stay few. A short list of classes that
 share an n-gram gives all its pairs; the members of longer lists are kept as rows. Those members whose counts
-leave no room for a link go. The others meet their lists' hub first, then only pairs of different components
-are left to look at: a large group of near copies is never paired with itself, yet no link that matters for a
-component is lost.
+leave no room for a link go. The others meet their lists' hubs first, then only pairs of different components
+are left to look at, for which a class looks into no more of its lists than needed: a large group of near copies
+is never paired with itself, yet no link that matters for a component is lost.
 """
 
 from __future__ import annotations
@@ -21,14 +21,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import cut, joined_bytes, map_texts, slices, text_bytes
 from tessera.llm.components import components
 from tessera.llm.membership import bitmap, maybe
 
-WORDS, PERCENT, FRAGMENTS = 5, 75, 4
+WORDS, PERCENT, FRAGMENTS = 5, 75, 2
 #: An n-gram is common from so many documents on. At most so many go last in the order, those of most documents.
 COMMON_DOCUMENTS, COMMON_GRAMS = 4, 1 << 22
 #: Places of the common n-grams' bitmap, as a power of two (16 MB).
@@ -39,8 +40,10 @@ BUCKET_GRAMS, HELD_GRAMS, HELD_POSTINGS = 2_000_000, 4_000_000, 1_000_000
 HOT_DOCUMENTS = 20_000
 #: Lists up to this length give all their pairs at once.
 SHORT_LIST = 6
-#: Rounds in which classes of long lists meet a hub before all pairs of different components are looked at.
-STAR_ROUNDS = 2
+#: After the first hub: hubs of a list, and those of them that a class is compared with.
+MORE_HUBS = (8, 4)
+#: Of the pairs across components that a class looks for, so many are compared before the others.
+FIRST_PAIRS = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -297,6 +300,12 @@ def pairs_and_members(rows: DataFrame, order: Order) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "kind int, a long, b long, c long")
 
 
+def may_be_similar(shared: Column, one: Column, other: Column) -> Column:
+    """Whether sets of two sizes, whose prefixes share at most so many n-grams, may be similar."""
+    rest = F.greatest(F.ceil(one * PERCENT / 100), F.ceil(other * PERCENT / 100)) - 1
+    return (100 + PERCENT) * (shared + rest) >= PERCENT * (one + other)
+
+
 def possible(pairs: DataFrame, sizes: DataFrame, weights: DataFrame) -> DataFrame:
     """The pairs (``a, b, c``) that may be similar, by the n-grams that their prefixes can share.
 
@@ -306,23 +315,22 @@ def possible(pairs: DataFrame, sizes: DataFrame, weights: DataFrame) -> DataFram
     """
     of = sizes.select("name", "n").join(weights.select("name", "lists"), "name", "left").select("name", "n", F.coalesce("lists", F.lit(0)).alias("lists"))
     pairs = pairs.join(of.toDF("a", "na", "ma"), "a").join(of.toDF("b", "nb", "mb"), "b")
-    rest = F.greatest(F.ceil(F.col("na") * PERCENT / 100), F.ceil(F.col("nb") * PERCENT / 100)) - 1
-    shared = F.col("c") + F.least("ma", "mb") + rest
-    return pairs.where((100 + PERCENT) * shared >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b", "c")
+    return pairs.where(may_be_similar(F.col("c") + F.least("ma", "mb"), F.col("na"), F.col("nb"))).select("a", "b", "c")
 
 
 def open_to_links(members: DataFrame, weights: DataFrame) -> DataFrame:
-    """The members (``gram, name, n, lists``) that may be similar to another class of the list, by the same bound.
+    """The members (``gram, name, n, lists, spare``) that may be similar to another class of the list, by the same bound.
 
     What a set can share with another is least short of what it needs where their sizes differ most, so the
-    smallest and the largest size of the list decide.
+    smallest and the largest size of the list decide. ``spare`` is how many of the n-grams that its prefix shares
+    with any class it can do without.
     """
     span = members.groupBy("gram").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     rows = members.join(weights, "name").join(span, "gram")
     low, high = F.greatest("low", F.ceil(F.col("n") * PERCENT / 100)), F.least("high", F.floor(F.col("n") * 100 / PERCENT))
     rest = lambda other: F.greatest(F.ceil(F.col("n") * PERCENT / 100), F.ceil(other * PERCENT / 100))
-    room = lambda other: (100 + PERCENT) * (F.col("shared") + rest(other)) >= PERCENT * (F.col("n") + other)
-    return rows.where(room(low) | room(high)).select("gram", "name", "n", "lists")
+    spare = lambda other: F.col("shared") + rest(other) - F.ceil(PERCENT * (F.col("n") + other) / (100 + PERCENT))
+    return rows.withColumn("spare", F.greatest(spare(low), spare(high))).where("spare >= 0").select("gram", "name", "n", "lists", "spare")
 
 
 def fetched_sets(docs: DataFrame, names: DataFrame, seed: int = 0) -> DataFrame:
@@ -377,14 +385,45 @@ def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(several, "gram")
 
 
-def hub_pairs(members: DataFrame, used: DataFrame | None = None) -> DataFrame:
-    """For each class the pair (``a, b, c``) with the hub that it meets in most lists: of a list, the class that is in most lists and not ``used``."""
-    could = members if used is None else members.join(used, "name", "left_anti")
-    hubs = could.groupBy("gram").agg(F.max_by(F.struct(F.col("name").alias("hub"), F.col("n").alias("hn"), F.col("label").alias("hl")), F.struct("lists", "name")).alias("h")).select("gram", "h.hub", "h.hn", "h.hl")
-    sized = F.least("n", "hn") * 100 >= F.greatest("n", "hn") * PERCENT
-    met = members.join(hubs, "gram").where((F.col("label") != F.col("hl")) & sized).groupBy("name", "hub").agg(F.count(F.lit(1)).alias("c"))
-    best = met.groupBy("name").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-    return best.select(F.least("name", "hub").alias("a"), F.greatest("name", "hub").alias("b"), "hub").distinct()
+def hub_pairs(members: DataFrame, per_list: int, per_class: int) -> DataFrame:
+    """For each class its pairs (``a, b``) with the ``per_class`` hubs that it meets in most lists: of a list, the ``per_list`` classes that are in most lists."""
+    top = F.row_number().over(Window.partitionBy("gram").orderBy(F.desc("lists"), "name"))
+    hubs = members.withColumn("__top", top).where(F.col("__top") <= per_list).select("gram", F.col("name").alias("hub"), F.col("n").alias("hn"), F.col("label").alias("hl"))
+    met = members.join(hubs, "gram").where((F.col("label") != F.col("hl")) & similar_sizes("n", "hn")).groupBy("name", "hub").agg(F.count(F.lit(1)).alias("c"))
+    best = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("c"), "hub"))
+    return met.withColumn("__best", best).where(F.col("__best") <= per_class).select(F.least("name", "hub").alias("a"), F.greatest("name", "hub").alias("b")).distinct()
+
+
+def similar_sizes(one: str, other: str) -> Column:
+    return F.least(one, other) * 100 >= F.greatest(one, other) * PERCENT
+
+
+def pairs_across(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All pairs (``a, b, c, one``) of different components that may be similar by the ``c`` n-grams of lists that they share.
+
+    Of two classes the one of the smaller component looks for the other. It shares all but ``spare`` of its n-grams
+    with whom it is similar to, so it looks into its ``spare`` + 1 shortest lists only.
+    """
+    spread = members.groupBy("label").agg(F.count_distinct("name").alias("classes"))
+    length = members.groupBy("gram").agg(F.count(F.lit(1)).alias("length"))
+    members = members.join(spread, "label")
+    place = F.row_number().over(Window.partitionBy("name").orderBy("length", "gram"))
+    spare = F.max("spare").over(Window.partitionBy("name"))
+    one = members.join(length, "gram").withColumn("__place", place).withColumn("__spare", spare).where(F.col("__place") <= F.col("__spare") + 1)
+    one = one.select("gram", F.col("name").alias("one"), F.col("n").alias("n1"), F.struct("classes", "label").alias("l1"))
+    two = members.select("gram", F.col("name").alias("two"), F.col("n").alias("n2"), F.struct("classes", "label").alias("l2"))
+    found = one.join(two, "gram").where((F.col("l1") < F.col("l2")) & similar_sizes("n1", "n2")).select("one", "two", "n1", "n2").distinct()
+    lists = members.groupBy("name").agg(F.collect_set("gram").alias("grams"))
+    found = found.join(lists.toDF("one", "g1"), "one").join(lists.toDF("two", "g2"), "two")
+    found = found.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"), F.size(F.array_intersect("g1", "g2")).alias("long"), "one", "n1", "n2")
+    found = found.join(pairs, ["a", "b"], "left").withColumn("c", F.col("long") + F.coalesce("c", F.lit(0)))
+    return found.where(may_be_similar(F.col("c"), F.col("n1"), F.col("n2"))).select("a", "b", "c", "one")
+
+
+def of_several(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose classes are of different components."""
+    la, lb = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
+    return pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb")
 
 
 def similar_classes(docs: DataFrame, sizes: DataFrame, total: int, seed: int = 0) -> DataFrame:
@@ -397,34 +436,34 @@ def similar_classes(docs: DataFrame, sizes: DataFrame, total: int, seed: int = 0
     weights = members.groupBy("name").agg(F.count(F.lit(1)).alias("lists")).join(most, "name", "left")
     weights = cut(weights.select("name", "lists", (F.col("lists") + F.coalesce("c", F.lit(0))).alias("shared")))
     members = cut(open_to_links(members, weights))
-    short = cut(possible(pairs, sizes, weights))
-    shared = lambda more: more.join(pairs, ["a", "b"], "left").select("a", "b", F.coalesce("c", F.lit(0)).alias("c"))
-    names = short.select(F.explode(F.array("a", "b")).alias("name")).union(members.select("name")).distinct()
+    short = possible(pairs, sizes, weights).select("a", "b")
+    hubs = hub_pairs(labelled(members, None), 1, 1).join(pairs, ["a", "b"], "left").select("a", "b", F.coalesce("c", F.lit(0)).alias("c"))
+    tested = cut(short.union(possible(hubs, sizes, weights).select("a", "b")).distinct())
+    names = tested.select(F.explode(F.array("a", "b")).alias("name")).union(members.select("name")).distinct()
     sets = cut(fetched_sets(docs, cut(names.join(sizes.select("name", "id"), "name")), seed))
-    tested = links = labels = used = None
-    for turn in range(STAR_ROUNDS):
-        hubs = cut(hub_pairs(labelled(members, labels), used))
-        fresh = possible(shared(hubs.select("a", "b")), sizes, weights).select("a", "b")
-        fresh = fresh.union(short.select("a", "b")).distinct() if not turn else fresh.join(tested, ["a", "b"], "left_anti")
-        fresh = cut(fresh)
-        if turn and fresh.isEmpty():
-            break
-        tested = fresh if tested is None else cut(tested.union(fresh))
-        used = hubs.select(F.col("hub").alias("name")).distinct() if used is None else used.union(hubs.select("hub")).distinct()
-        new = cut(verified(fresh, sets, sizes))
-        links = new if links is None else cut(links.union(new))
-        labels = components(links)
-    # What is left: pairs of different components in a long list.
+    links = cut(verified(tested, sets, sizes))
+    labels = components(links)
+    # Those that are not linked with the first hub of a list may be with others.
+    left = labelled(members, labels)
+    if left.isEmpty():
+        return labels
+    fresh = cut(hub_pairs(left, *MORE_HUBS).join(tested, ["a", "b"], "left_anti"))
+    tested, links = tested.union(fresh), cut(links.union(verified(fresh, sets, sizes)))
+    labels = components(links)
     left = cut(labelled(members, labels))
-    other = left.select("gram", F.col("name").alias("other"), F.col("n").alias("on"), F.col("label").alias("ol"))
-    sized = F.least("n", "on") * 100 >= F.greatest("n", "on") * PERCENT
-    across = left.join(other, "gram").where((F.col("label") < F.col("ol")) & sized).select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b"))
-    # Here the lists that a pair shares are counted: those of two components are all among these.
-    across = across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("more")).join(pairs, ["a", "b"], "left").select("a", "b", (F.col("more") + F.coalesce("c", F.lit(0))).alias("c"))
-    rest = cut(possible(across, sizes, weights.select("name", F.lit(0).alias("lists"))).select("a", "b").join(tested, ["a", "b"], "left_anti"))
+    if left.isEmpty():
+        return labels
+    # What is left: pairs of different components. First those that share most, then whatever is still needed.
+    place = F.row_number().over(Window.partitionBy("one").orderBy(F.desc("c"), "a", "b"))
+    rest = cut(pairs_across(left, pairs).join(tested, ["a", "b"], "left_anti").withColumn("place", place))
+    if rest.isEmpty():
+        return labels
+    links = cut(links.union(verified(rest.where(F.col("place") <= FIRST_PAIRS), sets, sizes)))
+    labels = components(links)
+    rest = cut(of_several(rest.where(F.col("place") > FIRST_PAIRS).select("a", "b"), labels))
     if rest.isEmpty():
         return labels
-    return components(links.union(cut(verified(rest, sets, sizes))))
+    return components(cut(links.union(verified(rest, sets, sizes))))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

@@ -21,11 +21,15 @@ THRESHOLD = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose toxicity score is below the threshold; the model learns from the labelled ones among ``docs``."""
+    """The documents whose toxicity score is below the threshold; the model learns from the labelled ones among ``docs``.
+
+    Null, empty and wordless texts score 0 and stay, rows without an id are scored like others, repeated rows alike;
+    an empty table stays empty. Every column is kept, whatever its name.
+    """
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, size=toxicity.SCORED_BYTES):
             keep = pa.array(model.scores(text_bytes(part.column("text"))) < THRESHOLD)
             yield part.filter(keep)
 
@@ -33,16 +37,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; of rows that repeat an id one.
+    """Of each group of near-duplicates the document with the smallest id; of rows that repeat an id and a text one.
 
-    Documents without words, and those without an id, stay.
+    Documents without words, and those without an id, stay. An id with several texts goes when all their groups
+    have a smaller one; otherwise all its texts stay. An empty table stays empty.
     """
     groups = cut(jaccard.jaccard_components(docs))
     known = groups.where("doc_id is not null")
-    gone = known.where("doc_id <> component_id").select("doc_id").distinct()
-    twice = known.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    several = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("doc_id") != F.col("component_id")).cast("int")).alias("others"))
+    gone = cut(several.where("others = rows").select("doc_id"))
+    twice = cut(several.where("rows > 1 and others < rows").select("doc_id"))
     flagged = maybe(docs, "doc_id", bitmap(gone.union(twice), "doc_id")).withColumn("__maybe", F.col("__maybe") & F.col("doc_id").isNotNull())
-    looked_at = flagged.where("__maybe").drop("__maybe").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    looked_at = flagged.where("__maybe").drop("__maybe").join(gone, "doc_id", "left_anti")
+    copy = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.to_json(F.struct(*docs.columns))))
+    looked_at = looked_at.withColumn("__copy", copy).where("__copy = 1")
     return flagged.where("not __maybe").drop("__maybe").select(docs.columns).union(looked_at.select(docs.columns))
 
 

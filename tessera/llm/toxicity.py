@@ -15,6 +15,7 @@ subword's vector acts through one number; scoring looks these numbers up, with t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -28,8 +29,10 @@ from tessera.llm.folds import class_totals, fold, labelled_sample
 BITS, DIMENSIONS, SEGMENT, GRAMS = 18, 8, 8, (3, 4, 5, 6, 7)
 #: Words of the segments whose most toxic one a document's logit goes by, besides its mean.
 VIEWS = (1, 8, 64)
-#: Bounds of the training sample: documents of class 0 and 1, and bytes of a document that may be in it.
-PER_CLASS, SAMPLE_BYTES = (1400, 700), 32768
+#: Bounds of the training sample: documents of class 0 and 1, and bytes of their texts together.
+PER_CLASS, SAMPLE_BYTES = (3000, 1500), 16 << 20
+#: Bytes of text that are scored at once.
+SCORED_BYTES = 1 << 20
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 _byte = np.arange(256)
@@ -38,31 +41,31 @@ FOLDED = np.where((_byte >= 128) | np.isin(_byte, [*range(48, 58), *range(97, 12
 
 
 class Subwords(NamedTuple):
-    """Of some texts: a bucket and validity for each place and n, and where words, segments and texts begin."""
+    """Some texts, folded, and where their words, segments and texts begin."""
 
-    buckets: list[np.ndarray]
-    valid: list[np.ndarray]
+    data: np.ndarray
     words: np.ndarray
     word_segment: np.ndarray
     segment_text: np.ndarray
     texts: int
 
+    def by_size(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each n of the n-grams, one after the other: each place's bucket, and whether an n-gram begins there."""
+        n = len(self.data) - max(GRAMS)
+        wide = self.data.astype(np.uint32)
+        hashed, inner = wide[:n].copy(), np.ones(n, bool)
+        for size in range(2, max(GRAMS) + 1):
+            hashed = (hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x01000193) + wide[size - 1 : n + size - 1]
+            if size > 2:
+                inner = inner & (self.data[size - 2 : n + size - 2] != 0)
+            if size in GRAMS:
+                yield (((hashed ^ np.uint32(size)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int32), inner
+
 
 def subwords(texts: list[bytes]) -> Subwords:
     data, starts = joined_bytes([b" " + t + b" " for t in texts])
     data = np.concatenate([FOLDED[data], np.zeros(max(GRAMS), np.uint8)])
     n = len(data) - max(GRAMS)
-    wide = data.astype(np.uint32)
-    hashed, inner = wide[:n], np.ones(n, bool)
-    buckets, valid = [], []
-    for size in range(2, max(GRAMS) + 1):
-        hashed = (hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x01000193) + wide[size - 1 : n + size - 1]
-        if size > 2:
-            inner = inner & (data[size - 2 : n + size - 2] != 0)
-        if size in GRAMS:
-            mixed = (hashed ^ np.uint32(size)) * np.uint32(0x9E3779B1)
-            buckets.append((mixed >> np.uint32(32 - BITS)).astype(np.int32))
-            valid.append(inner)
     is_word = data[:n] != 0
     words = np.flatnonzero(is_word[1:] & ~is_word[:-1])  # the mark before each word
     text = np.searchsorted(starts, words, side="right") - 1
@@ -70,7 +73,7 @@ def subwords(texts: list[bytes]) -> Subwords:
     block = (np.arange(len(words)) - first[text]) // SEGMENT
     fresh = np.ones(len(words), bool)
     fresh[1:] = (text[1:] != text[:-1]) | (block[1:] != block[:-1])
-    return Subwords(buckets, valid, words, np.cumsum(fresh) - 1, text[fresh], len(texts))
+    return Subwords(data, words, np.cumsum(fresh) - 1, text[fresh], len(texts))
 
 
 def views(s: Subwords, weights: np.ndarray) -> np.ndarray:
@@ -78,12 +81,12 @@ def views(s: Subwords, weights: np.ndarray) -> np.ndarray:
     out = np.zeros((s.texts, len(VIEWS) + 1))
     if not len(s.words):
         return out
-    total = np.zeros(len(s.valid[0]), np.float32)
-    count = np.zeros(len(s.valid[0]), np.float32)
-    for buckets, valid in zip(s.buckets, s.valid, strict=True):
+    total = np.zeros(len(s.data) - max(GRAMS), np.float32)
+    count = np.zeros(len(total), np.uint8)
+    for buckets, valid in s.by_size():
         total += np.where(valid, weights[buckets], np.float32(0))
         count += valid
-    each = np.add.reduceat(total, s.words) / np.maximum(np.add.reduceat(count, s.words), 1)
+    each = np.add.reduceat(total, s.words) / np.maximum(np.add.reduceat(count, s.words, dtype=np.int32), 1)
     text = s.segment_text[s.word_segment]
     first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
     number = np.arange(len(text)) - np.repeat(first, np.diff(np.r_[first, len(text)]))
@@ -115,7 +118,7 @@ def constant(rate: float) -> Model:
     return Model(np.zeros(1 << BITS, np.float32), np.zeros(len(VIEWS) + 1), float(np.log(rate / (1 - rate))))
 
 
-def train(texts: list[bytes], labels: np.ndarray, totals: dict[int, int], seed: int = 7, passes: int = 10, min_documents: int = 3, decay: float = 1e-7, rate: float = 0.1, sharpness: float = 10.0, caution: float = 1.0) -> Model:
+def train(texts: list[bytes], labels: np.ndarray, totals: dict[int, int], seed: int = 7, passes: int = 10, min_documents: int = 3, decay: float = 1e-7, rate: float = 0.1, sharpness: float = 20.0, caution: float = 1.0) -> Model:
     """Embeddings and softmax by Adam on shuffled groups of documents, then the logistic map."""
     if not len(texts) or labels.min() == labels.max():
         return constant(float(totals.get(1, 0)) / max(1, sum(totals.values())))
@@ -128,27 +131,33 @@ def train(texts: list[bytes], labels: np.ndarray, totals: dict[int, int], seed:
         s = subwords([texts[i] for i in part])
         if not len(s.words):
             continue
-        span = np.repeat(np.arange(len(s.words)), np.diff(np.r_[s.words, len(s.valid[0])]))
+        places = len(s.data) - max(GRAMS)
+        span = np.repeat(np.arange(len(s.words), dtype=np.int32), np.diff(np.r_[s.words, places]))
         head = int(s.words[0])
-        bucket = np.concatenate([b[head:][v[head:]] for b, v in zip(s.buckets, s.valid, strict=True)])
-        word = np.concatenate([span[v[head:]] for v in s.valid])
-        share = (1 / np.maximum(np.bincount(word, minlength=len(s.words)), 1))[word] / SEGMENT
-        segment = s.word_segment[word]
-        once = np.unique(s.segment_text[segment].astype(np.int64) << BITS | bucket)
+        bucket, word = [], []
+        for b, v in s.by_size():
+            bucket.append(b[head:][v[head:]])
+            word.append(span[v[head:]])
+        bucket, word = np.concatenate(bucket), np.concatenate(word)
+        by = np.argsort(word, kind="stable")
+        bucket, word = bucket[by], word[by]
+        del by, span
+        many = np.bincount(word, minlength=len(s.words))
+        once = np.unique(s.segment_text[s.word_segment[word]].astype(np.int64) << BITS | bucket)
         for c in (0, 1):
             seen[c] += np.bincount(once[labels[part][once >> BITS] == c] & ((1 << BITS) - 1), minlength=1 << BITS)
-        groups.append((bucket, segment.astype(np.int32), share.astype(np.float32), s.segment_text, labels[part], len(part)))
-        del word, once, span, s
+        groups.append((bucket, many, s.word_segment.astype(np.int32), (1 / np.maximum(many, 1) / SEGMENT).astype(np.float32), s.segment_text, labels[part], len(part)))
+        del word, once, s
     if not groups:
         return constant(float(totals.get(1, 0)) / max(1, sum(totals.values())))
     # Subwords of fewer documents keep a zero vector: so few say nothing about them.
     known = np.flatnonzero(seen.sum(0) >= min_documents)
     place = np.full(1 << BITS, -1, np.int32)
     place[known] = np.arange(len(known), dtype=np.int32)
-    for i, (b, g, h, *others) in enumerate(groups):
+    for i, (b, many, *others) in enumerate(groups):
         b = place[b]
-        k = b >= 0
-        groups[i] = (b[k], g[k], h[k], *others)
+        known_of = np.add.reduceat(np.r_[(b >= 0), False].astype(np.int32), np.cumsum(many) - many) if len(many) else many
+        groups[i] = (b[b >= 0], np.where(many > 0, known_of, 0), *others)
     # The vectors start along one direction, by how much likelier toxic documents have the subword, less what chance explains.
     counts, n = seen[:, known], np.bincount(labels[order], minlength=2)
     likelier = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 0.5) / (n[0] + 1))
@@ -161,7 +170,8 @@ def train(texts: list[bytes], labels: np.ndarray, totals: dict[int, int], seed:
     mw, vw, mb, vb = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), 0.0, 0.0
     for _ in range(passes):
         for g in rng.permutation(len(groups)):
-            bucket, segment, share, text, label, n_docs = groups[g]
+            bucket, many, word_segment, word_share, text, label, n_docs = groups[g]
+            segment, share = np.repeat(word_segment, many), np.repeat(word_share, many)
             apart = rows[1] - rows[0]
             z = np.bincount(segment, share * (vectors @ apart)[bucket], minlength=len(text)) + bias
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -210,11 +220,25 @@ def logistic_map(x: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple
     return w[:-1] / scale, float(w[-1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, per_class: tuple[int, int] = PER_CLASS) -> Model:
-    """A model from at most ``per_class[c]`` training documents of class c, none of the held-out fold."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, per_class: tuple[int, int] = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from at most ``per_class[c]`` training documents of class c, none of the held-out fold.
+
+    Documents are learned from whole, whatever their length; those of a class have at most half of ``sample_bytes``
+    together, taken in the order of their ids' hash, and one that no longer fits is left out.
+    """
     training = fold(folds) != held_out
     sample = labelled_sample(labels, "toxic", training, per_class)
-    picked = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(sample), "doc_id")
+    # Of rows that repeat an id the one with the least text.
+    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    sizes = picked.select("doc_id", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("doc_id").alias("at")).collect()
+    chosen, left = [], {0: sample_bytes // 2, 1: sample_bytes // 2}
+    for r in sorted(sizes, key=lambda r: (r["at"], r["doc_id"])):
+        if r["size"] <= left[r["label"]]:
+            left[r["label"]] -= r["size"]
+            chosen.append(r["doc_id"])
+    if len(chosen) < len(sizes):
+        ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
+        picked = picked.join(F.broadcast(ids), "doc_id")
     rows = sorted((r["doc_id"], r["label"], r["text"] or "") for r in picked.collect())
     return train([r[2].encode() for r in rows], np.array([r[1] for r in rows], dtype=np.int64), class_totals(labels, "toxic", training))
 
@@ -230,4 +254,4 @@ def toxicity(docs: DataFrame, model: Model, folds: int = 4, held_out: int = 2, t
         score = model.scores(text_bytes(part.column("text")))
         return pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return map_texts(docs.select("doc_id", "text", F.coalesce(fold(folds) == held_out, F.lit(False)).alias("held_out")), work, SCHEMA)
+    return map_texts(docs.select("doc_id", "text", F.coalesce(fold(folds) == held_out, F.lit(False)).alias("held_out")), work, SCHEMA, size=SCORED_BYTES)
