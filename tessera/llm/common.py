@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker takes from an Arrow batch at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -35,7 +35,7 @@ COMMON_DOCUMENTS, COMMON_GRAMS = 4, 1 << 22
 #: Places of the common n-grams' bitmap, as a power of two (16 MB).
 COMMON_BITS = 27
 #: N-grams of a bucket on average, and n-grams or postings that a task holds before it writes them out.
-BUCKET_GRAMS, HELD_GRAMS, HELD_POSTINGS = 2_000_000, 4_000_000, 1_000_000
+BUCKET_GRAMS, HELD_GRAMS, HELD_POSTINGS = 2_000_000, 2_000_000, 500_000
 #: An n-gram of so many documents has its postings dealt to several buckets; with more than 2^20 such n-grams, a larger count.
 HOT_DOCUMENTS = 20_000
 #: Lists up to this length give all their pairs at once.
@@ -234,10 +234,12 @@ def common_order(docs: DataFrame, total: int, seed: int = 0) -> Order:
         least = row["level"]
     common = np.zeros(0, np.uint8)
     if least is not None:
-        places = np.zeros(1 << COMMON_BITS, bool)
-        for keys in found.where(F.col("level") >= least).select("keys").toArrow().column("keys").to_pylist():
-            places[np.frombuffer(keys, np.uint32)] = True
-        common = np.packbits(places, bitorder="little")
+        keys = found.where(F.col("level") >= least).select("keys").toArrow().column("keys").to_pylist()
+        places = np.unique(np.concatenate([np.frombuffer(k, np.uint32) for k in keys]))
+        byte = places >> np.uint32(3)
+        first = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
+        common = np.zeros(1 << (COMMON_BITS - 3), np.uint8)
+        common[byte[first]] = np.bitwise_or.reduceat(np.uint8(1) << (places & np.uint32(7)).astype(np.uint8), first)
     hot = found.where("level = -1").select("keys", "counts").toArrow().to_pylist()
     keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in hot)])
     parts = np.concatenate([np.zeros(0, np.int64), *(-(-np.frombuffer(r["counts"], np.int64) // hot_documents) for r in hot)])

@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm.common import map_texts, text_bytes
 
-CAPACITY, GROUP_PIECES, MEMO = 2048, 8192, 1_000_000
+CAPACITY, GROUP_PIECES, MEMO = 2048, 8192, 400_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 
@@ -222,7 +222,7 @@ def part_keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(file: str) -> WordEncoder:
     return WordEncoder(file)
 

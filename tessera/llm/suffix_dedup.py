@@ -221,8 +221,9 @@ def spans_of_bucket(lefts: list[bytes], rights: list[bytes], numbers: list[int])
     for i in range(m):
         if numbers[i] > 1:
             add(i, len(lefts[i]), len(rights[i]))
-    order = deep_shallow_order(rights)
-    shared = [common_length(rights[a], rights[b]) for a, b in zip(order, order[1:], strict=False)]
+    known = GRAM if len({r[:GRAM] for r in rights}) == 1 else 0  # the anchor, unless two have one hash
+    order = deep_shallow_order(rights, known + SHALLOW, known)
+    shared = [common_length(rights[a], rights[b], known) for a, b in zip(order, order[1:], strict=False)]
     if m <= PAIRWISE:
         for x in range(m):
             after = SPAN

@@ -30,9 +30,7 @@ BITS, DIMENSIONS, SEGMENT, GRAMS = 18, 8, 8, (3, 4, 5, 6, 7)
 #: Words of the segments whose most toxic one a document's logit goes by, besides its mean.
 VIEWS = (1, 8, 64)
 #: Bounds of the training sample: documents of class 0 and 1, and bytes of their texts together.
-PER_CLASS, SAMPLE_BYTES = (3000, 1500), 16 << 20
-#: Bytes of text that are scored at once.
-SCORED_BYTES = 1 << 20
+PER_CLASS, SAMPLE_BYTES = (3000, 1500), 8 << 20
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 _byte = np.arange(256)
@@ -254,4 +252,4 @@ def toxicity(docs: DataFrame, model: Model, folds: int = 4, held_out: int = 2, t
         score = model.scores(text_bytes(part.column("text")))
         return pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return map_texts(docs.select("doc_id", "text", F.coalesce(fold(folds) == held_out, F.lit(False)).alias("held_out")), work, SCHEMA, size=SCORED_BYTES)
+    return map_texts(docs.select("doc_id", "text", F.coalesce(fold(folds) == held_out, F.lit(False)).alias("held_out")), work, SCHEMA)
