@@ -35,7 +35,7 @@ COMMON_DOCUMENTS, COMMON_GRAMS = 4, 1 << 22
 #: Places of the common n-grams' bitmap, as a power of two (16 MB).
 COMMON_BITS = 27
 #: N-grams of a bucket on average, and n-grams or postings that a task holds before it writes them out.
-BUCKET_GRAMS, HELD_GRAMS, HELD_POSTINGS = 2_000_000, 2_000_000, 500_000
+BUCKET_GRAMS, HELD_GRAMS, HELD_POSTINGS = 1_000_000, 1_500_000, 400_000
 #: An n-gram of so many documents has its postings dealt to several buckets; with more than 2^20 such n-grams, a larger count.
 HOT_DOCUMENTS = 20_000
 #: Lists up to this length give all their pairs at once.
@@ -184,15 +184,19 @@ def blobs(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
 def gathered(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> Iterator[tuple]:
     """Of rows sorted by bucket: each bucket's number and its columns, put together again."""
     at, held = None, []
+
+    def whole() -> tuple:
+        return at, *(np.concatenate([np.frombuffer(x, k) for x in column]) for column, k in zip(zip(*held, strict=True), kinds, strict=True))
+
     for batch in batches:
-        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for i, bucket in enumerate(batch.column(0).to_pylist()):
             if held and bucket != at:
-                yield at, *(np.frombuffer(b"".join(x), k) for x, k in zip(zip(*held, strict=True), kinds, strict=True))
+                yield whole()
                 held = []
             at = bucket
-            held.append(row)
+            held.append([batch.column(1 + k)[i].as_buffer() for k in range(len(kinds))])
     if held:
-        yield at, *(np.frombuffer(b"".join(x), k) for x, k in zip(zip(*held, strict=True), kinds, strict=True))
+        yield whole()
 
 
 def common_order(docs: DataFrame, total: int, seed: int = 0) -> Order:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
-from functools import lru_cache
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import map_texts, text_bytes
+from tessera.llm.common import slices, text_bytes
 
 CAPACITY, GROUP_PIECES, MEMO = 2048, 8192, 400_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -80,17 +80,21 @@ class WordEncoder:
     """
 
     def __init__(self, file: str):
-        self.tokenizer = Tokenizer.from_file(file)
         # The same merges without the steps that whole texts need, for parts that are cut and in lower case already.
-        own = json.loads(self.tokenizer.to_str())
+        with open(file, encoding="utf-8") as f:
+            own = json.load(f)
         own |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
-        self.merges = Tokenizer.from_str(json.dumps(own))
+        self.file, self.merges = file, Tokenizer.from_str(json.dumps(own))
         vocabulary = own["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith(own["model"]["end_of_word_suffix"])
         self.forget()
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_file(self.file)
+
     def forget(self) -> None:
         self.key, self.low, self.high = (np.zeros(0, np.uint64) for _ in range(3))  # parts by their key, ascending
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)  # their ids in ``ids``
@@ -222,17 +226,12 @@ def part_keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-@lru_cache(maxsize=1)
-def encoder(file: str) -> WordEncoder:
-    return WordEncoder(file)
-
-
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
     """Every document's ids, cut into pieces of ``capacity`` where there are more."""
 
-    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+    def pieces_of(part: pa.RecordBatch, encoder: WordEncoder) -> pa.RecordBatch:
         out: list[list] = [[], [], [], [], []]
-        for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder(tokenizer_file).encode(text_bytes(part.column("text"))), strict=True):
+        for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(text_bytes(part.column("text"))), strict=True):
             for number, start in enumerate(range(0, len(ids), capacity)):
                 own = ids[start : start + capacity]
                 for column, value in zip(out, (doc_id, number, start, len(own), zlib.crc32(own.tobytes())), strict=True):
@@ -240,7 +239,13 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_texts(docs.select("doc_id", "text"), work, PIECE_SCHEMA)
+    def run(batches):
+        encoder = None  # one a task, so that idle workers hold none
+        for part in slices(batches):
+            encoder = encoder or WordEncoder(tokenizer_file)
+            yield pieces_of(part, encoder)
+
+    return docs.select("doc_id", "text").mapInArrow(run, PIECE_SCHEMA)
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
