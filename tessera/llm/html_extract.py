@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, map_texts, slices
+from tessera.llm.common import cut, frugal, map_texts, slices
 
 LEAST_PAGES, LEAST_TOKENS = 3, 3
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -266,7 +266,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hosts), *map(pa.array, shifted), pa.array((mark & np.uint64(0x7FFFFFFF)).astype(np.int64)), pa.array((mark >> np.uint64(33)).astype(np.int64))], ["host", "token", "path", "first", "second"])
 
     packed = map_texts(pages, pack, "host string, c1 long, c2 long, packed binary", "html")
-    return packed.dropDuplicates(["host", "c1", "c2"]).mapInArrow(unpack, "host string, token long, path long, first long, second long")
+    return packed.dropDuplicates(["host", "c1", "c2"]).mapInArrow(frugal(unpack), "host string, token long, path long, first long, second long")
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -302,4 +302,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
                 texts.append(main_text(page or "", numbers))
             yield pa.RecordBatch.from_arrays([part.column("page_id").cast(pa.int64()), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "classes").mapInArrow(run, SCHEMA)
+    return joined.select("page_id", "url", "html", "classes").mapInArrow(frugal(run), SCHEMA)

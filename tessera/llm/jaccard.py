@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import cut, joined_bytes, map_texts, slices, text_bytes
+from tessera.llm.common import cut, frugal, joined_bytes, map_texts, slices, text_bytes
 from tessera.llm.components import components
 from tessera.llm.membership import bitmap, maybe
 
@@ -228,8 +228,8 @@ def common_order(docs: DataFrame, total: int, seed: int = 0) -> Order:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["level", "n", "keys", "counts"])
 
-    counts = docs.select("text").mapInArrow(count, "bucket long, rest binary, times binary")
-    found = cut(counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "level int, n long, keys binary, counts binary"))
+    counts = docs.select("text").mapInArrow(frugal(count), "bucket long, rest binary, times binary")
+    found = cut(counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(frugal(add_up), "level int, n long, keys binary, counts binary"))
     left, least = COMMON_GRAMS, None
     for row in found.where("level >= 0").groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
         left -= row["n"]
@@ -262,7 +262,7 @@ def postings(docs: DataFrame, order: Order, seed: int = 0) -> DataFrame:
             by = np.argsort(bucket, kind="stable")
             yield blobs(bucket[by], {"gram": gram[by], "name": name[by], "n": n[by]})
 
-    return docs.select("text").mapInArrow(run, "bucket long, gram binary, name binary, n binary")
+    return docs.select("text").mapInArrow(frugal(run), "bucket long, gram binary, name binary, n binary")
 
 
 def lists(gram: np.ndarray, name: np.ndarray, n: np.ndarray, all_long: bool = False) -> tuple[np.ndarray, ...]:
@@ -303,7 +303,7 @@ def pairs_and_members(rows: DataFrame, order: Order) -> DataFrame:
             if len(out[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["kind", "a", "b", "c"])
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "kind int, a long, b long, c long")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(frugal(run), "kind int, a long, b long, c long")
 
 
 def may_be_similar(shared: Column, one: Column, other: Column) -> Column:
@@ -376,7 +376,7 @@ def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
 
     left = pairs.select("a", "b").join(sets.select(F.col("name").alias("b"), "fragment", F.col("grams").alias("gb")), "b")
     both = left.join(sets.select(F.col("name").alias("a"), "fragment", F.col("grams").alias("ga")), ["a", "fragment"])
-    summed = both.select("a", "b", "ga", "gb").mapInArrow(overlap, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    summed = both.select("a", "b", "ga", "gb").mapInArrow(frugal(overlap), "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     na = sizes.select(F.col("name").alias("a"), F.col("n").alias("na"))
     nb = sizes.select(F.col("name").alias("b"), F.col("n").alias("nb"))
     return summed.join(na, "a").join(nb, "b").where(100 * F.col("shared") >= PERCENT * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")

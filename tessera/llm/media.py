@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import map_texts, slices, text_bytes
+from tessera.llm.common import frugal, map_texts, slices, text_bytes
 
 # Fixed values of the file format.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -341,7 +341,7 @@ def tiff_pages(files: DataFrame, id_column: str = "id", content_column: str = "c
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     picked = files.selectExpr(f"cast(`{id_column}` as long) as id", f"cast(`{content_column}` as binary) as content")
-    return picked.mapInArrow(run, PAGE_SCHEMA)
+    return picked.mapInArrow(frugal(run), PAGE_SCHEMA)
 
 
 ROW_BYTES = 64

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import slices, text_bytes
+from tessera.llm.common import frugal, slices, text_bytes
 
 CAPACITY, GROUP_PIECES, MEMO = 2048, 8192, 400_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -245,7 +245,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
             encoder = encoder or WordEncoder(tokenizer_file)
             yield pieces_of(part, encoder)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECE_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), PIECE_SCHEMA)
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import joined_bytes, map_texts, slices, text_bytes
+from tessera.llm.common import frugal, joined_bytes, map_texts, slices, text_bytes
 from tessera.llm.folds import fold, labelled_sample
 
 BUCKETS, DIMENSIONS, BLOCKS, REACH = 8192, 32, 32, (1, 2)
@@ -101,7 +101,7 @@ def context_table(docs: DataFrame) -> np.ndarray:
 
     texts = docs.select("text")
     parts = texts.rdd.getNumPartitions()
-    rows = texts.mapInArrow(run, "block int, sums binary").withColumn("part", F.spark_partition_id())
+    rows = texts.mapInArrow(frugal(run), "block int, sums binary").withColumn("part", F.spark_partition_id())
     while True:
         rows = rows.withColumn("part", F.expr("cast(part div 64 as int)"))
         rows = rows.groupBy("block", "part").applyInPandas(add, "block int, part int, sums binary")
@@ -205,7 +205,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: in
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("label").cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
     picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    rows = sorted((r["doc_id"], r["label"], r["x"]) for r in picked.mapInArrow(run, "doc_id long, label int, x binary").collect())
+    rows = sorted((r["doc_id"], r["label"], r["x"]) for r in picked.mapInArrow(frugal(run), "doc_id long, label int, x binary").collect())
     totals = {r["c"]: r["count"] for r in labels.where(F.col("quality").isin(0, 1) & (fold(folds) != held_out)).groupBy(F.col("quality").cast("int").alias("c")).count().collect()}
     x = np.array([np.frombuffer(r[2], np.float32) for r in rows], dtype=np.float64).reshape(-1, 2 * DIMENSIONS + 1)
     y = np.array([r[1] for r in rows], dtype=np.int64)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm import jaccard, mixing, packing, suffix_dedup, toxicity
-from tessera.llm.common import cut, slices, text_bytes
+from tessera.llm.common import cut, frugal, slices, text_bytes
 from tessera.llm.membership import bitmap, maybe
 from tessera.sources.tables import table
 
@@ -33,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             keep = pa.array(model.scores(text_bytes(part.column("text"))) < THRESHOLD)
             yield part.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 picked = part.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else picked.column(c) for c in names], names)
 
-    mixed = joined.select(*names, "__blocks").mapInArrow(run, docs.schema)
+    mixed = joined.select(*names, "__blocks").mapInArrow(frugal(run), docs.schema)
     if "n_chars" in names:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return mixed.select(names)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, joined_bytes, slices, text_bytes
+from tessera.llm.common import cut, frugal, joined_bytes, slices, text_bytes
 from tessera.llm.membership import bitmap, maybe
 
 SPAN, GRAM, SLICE = 200, 64, 1 << 20
@@ -199,7 +199,7 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(context), pa.array(np.array(own, np.int64)[text]), pa.array(at.astype(np.int32)), pa.array(np.array(list(number.values()), np.int32)[text])], ["gram", "context", "text_key", "at", "n"])
 
-    return texts.mapInArrow(run, "gram long, context long, text_key long, at int, n int")
+    return texts.mapInArrow(frugal(run), "gram long, context long, text_key long, at int, n int")
 
 
 # ---------------------------------------------------------------- buckets
@@ -292,7 +292,7 @@ def bucket_spans(contexts: DataFrame) -> DataFrame:
             yield batch()
 
     picked = contexts.select("gram", "context", "n", "before", "after").repartition("gram").sortWithinPartitions("gram")
-    return picked.mapInArrow(run, "gram long, context long, low int, high int")
+    return picked.mapInArrow(frugal(run), "gram long, context long, low int, high int")
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -324,7 +324,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["gram", "context", "n", "before", "after"])
 
     holders = maybe(texts, "text_key", bitmap(places, "text_key")).where("__maybe").select("text_key", "text")
-    fetched = holders.join(wanted, "text_key").select("text", "places").mapInArrow(contexts, "gram long, context long, n long, before binary, after binary")
+    fetched = holders.join(wanted, "text_key").select("text", "places").mapInArrow(frugal(contexts), "gram long, context long, n long, before binary, after binary")
     found = bucket_spans(fetched)
     sorted_ = hits.where("not one").join(found, ["gram", "context"]).select("text_key", (F.col("at") + F.col("low")).alias("start"), (F.col("at") + F.col("high")).alias("end"))
     return cut(whole.union(sorted_).groupBy("text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
@@ -374,7 +374,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    done = hit.select("doc_id", "text", F.col("__spans").alias("spans")).mapInArrow(work, SCHEMA)
+    done = hit.select("doc_id", "text", F.col("__spans").alias("spans")).mapInArrow(frugal(work), SCHEMA)
     text = F.coalesce("text", F.lit(""))
     zero = F.lit(0).cast("long")
     return done.union(rest.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long"), zero, zero, F.sha2(text.cast("binary"), 256)))
@@ -403,7 +403,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for part in slices(batches):
             yield pa.RecordBatch.from_arrays([shorter(part.column("text"), part.column("__spans")) if c == "text" else part.column(c) for c in names], names)
 
-    done = hit.select(*names, "__spans").mapInArrow(work, docs.schema)
+    done = hit.select(*names, "__spans").mapInArrow(frugal(work), docs.schema)
     if "n_chars" in names:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(names).union(rest.select(names))
