@@ -35,7 +35,7 @@ COMMON_DOCUMENTS, COMMON_GRAMS = 4, 1 << 22
 #: Places of the common n-grams' bitmap, as a power of two (16 MB).
 COMMON_BITS = 27
 #: N-grams of a bucket on average, and n-grams or postings that a task holds before it writes them out.
-BUCKET_GRAMS, HELD_GRAMS, HELD_POSTINGS = 1_000_000, 1_500_000, 400_000
+BUCKET_GRAMS, HELD_GRAMS, HELD_POSTINGS = 1_000_000, 1_000_000, 250_000
 #: An n-gram of so many documents has its postings dealt to several buckets; with more than 2^20 such n-grams, a larger count.
 HOT_DOCUMENTS = 20_000
 #: Lists up to this length give all their pairs at once.
@@ -368,8 +368,9 @@ def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
     def overlap(batches):
         for batch in batches:
             n = []
-            for x, y in zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist(), strict=True):
-                both = np.frombuffer(x + y, np.uint64).copy()
+            one, other = batch.column("ga"), batch.column("gb")
+            for i in range(batch.num_rows):
+                both = np.concatenate([np.frombuffer(x[i].as_buffer(), np.uint64) for x in (one, other)])
                 both.sort()
                 n.append(int((both[1:] == both[:-1]).sum()))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64())], ["a", "b", "shared"])

@@ -8,22 +8,24 @@ expanded gap most tightly replace it, if they fill it better.
 
 from __future__ import annotations
 
-import json
 import unicodedata
 import zlib
 from functools import cached_property
 from itertools import chain
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from tessera.llm.common import frugal, slices, text_bytes
 
-CAPACITY, GROUP_PIECES, MEMO = 2048, 8192, 400_000
+if TYPE_CHECKING:  # workers that only encode do without it
+    import pandas as pd
+
+CAPACITY, GROUP_PIECES, MEMO = 2048, 8192, 300_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 
@@ -81,14 +83,13 @@ class WordEncoder:
 
     def __init__(self, file: str):
         # The same merges without the steps that whole texts need, for parts that are cut and in lower case already.
-        with open(file, encoding="utf-8") as f:
-            own = json.load(f)
-        own |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
-        self.file, self.merges = file, Tokenizer.from_str(json.dumps(own))
-        vocabulary = own["model"]["vocab"]
+        self.file, self.merges = file, Tokenizer.from_file(file)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary, end = self.merges.get_vocab(), self.merges.model.end_of_word_suffix
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part
         for token, i in vocabulary.items():
-            self.ends[i] = token.endswith(own["model"]["end_of_word_suffix"])
+            self.ends[i] = token.endswith(end)
         self.forget()
 
     @cached_property
@@ -105,8 +106,10 @@ class WordEncoder:
         """Where the ids of some parts are, and how many; ``cut``: they are the tokenizer's own parts in lower case."""
         if cut:
             rows = [b" ".join(parts[i : i + 100]).decode("latin-1").translate(BYTE_LETTERS) for i in range(0, len(parts), 100)]
-            found = [e.ids for e in self.merges.encode_batch_fast(rows, add_special_tokens=False)]
-            ids = np.fromiter(chain.from_iterable(found), np.uint32)
+            found = []
+            for i in range(0, len(rows), 50):
+                found += [np.array(e.ids, np.uint32) for e in self.merges.encode_batch_fast(rows[i : i + 50], add_special_tokens=False)]
+            ids = np.concatenate([np.zeros(0, np.uint32), *found])
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(parts):
                 count = np.diff(last, prepend=-1)
@@ -114,8 +117,8 @@ class WordEncoder:
                 self.ids = np.concatenate([self.ids, ids])
                 return first, count
         found = []
-        for i in range(0, len(parts), 20_000):
-            found += [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts[i : i + 20_000]], add_special_tokens=False)]
+        for i in range(0, len(parts), 5000):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts[i : i + 5000]], add_special_tokens=False)]
         count = np.fromiter(map(len, found), np.int64, len(found))
         first = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum()))])
