@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker takes from an Arrow batch at once.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch while a table is written.
+BATCH_ROWS = 2000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -35,10 +38,24 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile at most ``BATCH_ROWS`` rows go to a worker at once: whole texts make large Arrow buffers, which no heap limit holds."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text_column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice holds about ``size`` bytes of text (a longer text stands alone)."""
     for batch in batches:

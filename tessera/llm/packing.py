@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from tessera.llm.common import frugal, slices, text_bytes
+from tessera.llm.common import cut, frugal, slices, text_bytes
 
 if TYPE_CHECKING:  # workers that only encode do without it
     import pandas as pd
@@ -309,9 +309,9 @@ def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     return sequence, offset
 
 
-def pack(rows: DataFrame, most: int, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """``rows`` (pieces, ``most`` at most) with ``sequence_id`` and ``offset``; groups by a hash of the document and piece."""
-    groups = max(1, -(-most // group_pieces))
+def pack(rows: DataFrame, n_rows: int, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """``rows`` (``n_rows`` pieces) with ``sequence_id`` and ``offset``; groups by a hash of the document and piece."""
+    groups = max(1, -(-n_rows // group_pieces))
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         number = np.int64(group["grp"].iloc[0])
@@ -327,8 +327,8 @@ def packed(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
     """Every piece of every document, and its place.
 
     A null or empty text is the single id 0. Repeated rows are packed each on their own; an empty table
-    gives no rows; a null id is kept. A text has no more tokens than bytes and one, by which the groups are
-    so many that none holds much more than ``GROUP_PIECES`` pieces, however long the texts are.
+    gives no rows; a null id is kept. The pieces are written to the shared folder first: they are counted, and
+    a lost executor costs no second encoding.
     """
-    most = docs.select(F.coalesce(F.sum(F.lit(1) + F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / capacity)), F.lit(0)).alias("n")).first()["n"]
-    return pack(pieces(docs, tokenizer_file, capacity), most, capacity)
+    rows = cut(pieces(docs, tokenizer_file, capacity))
+    return pack(rows, rows.count(), capacity)
