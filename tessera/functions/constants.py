@@ -44,3 +44,5 @@ RERANK_HEAD, GAP_LINES = 20, 16
 SCOPE_FACTOR, UNTRACKED_FACTOR = 3, 2
 PRF_FILES, PRF_TERMS = 3, 5
 HITS_PER_FILE = 2000
+# Bounds of what is asked: bytes of a question, characters of changed text and question together.
+QUESTION_BYTES, DIFF_TEXT = 16_000, 100_000

@@ -33,7 +33,7 @@ def query_terms(question: str) -> list[str]:
     out, seen = [], set()
     for token in regex.split(r"[^\p{L}\p{N}_:.\-/]+", question):
         token = token.strip(".:/-")
-        short = len(token) == 2 and (regex.fullmatch(r"[A-Z]+", token) or regex.search(r"\p{N}", token))
+        short = len(token) == 2 and (regex.fullmatch(r"[A-Z]+", token) or regex.search(r"[0-9]", token))
         if len(token) < 3 and not short or token.lower() in STOP_WORDS:
             continue
         if stem(token) not in seen:

@@ -134,6 +134,11 @@ def is_continuation(line: Column) -> Column:
     return line.rlike(r"^\p{IsWhite_Space}*([)\]}]|[{(\[ \t]+$)")
 
 
+def is_trivial(line: Column) -> Column:
+    """Blank, or brackets and separators only."""
+    return line.rlike(r"^\p{IsWhite_Space}*[(){}\[\];,]*\p{IsWhite_Space}*$")
+
+
 def is_annotation(line: Column) -> Column:
     return line.rlike(r"^\p{IsWhite_Space}*(@|#|//|/\*|\*|--|;;)")
 
@@ -157,8 +162,9 @@ def utf16_length(text: Column) -> Column:
 def classify_error(message: Column) -> Column:
     """The stable name of a failure; the first rule that fits."""
     low = F.lower(message)
-    status = F.regexp_extract(low, r"worker http \s*(\d)\d\d", 1)
-    by_status = F.when(status == "4", "http_4xx").when(status == "5", "http_5xx").otherwise("http_other")
+    status = F.regexp_extract(low, r"worker http \s*(\d+)", 1)
+    hundreds = F.floor(status.try_cast("bigint") / 100)
+    by_status = F.when(hundreds == 4, "http_4xx").when(hundreds == 5, "http_5xx").otherwise("http_other")
     out = F.lit("other")
     for name, needles in reversed(FAILURES):
         if needles is None:

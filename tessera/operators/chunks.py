@@ -4,66 +4,92 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.constants import BUDGET_TOKENS, CHUNK_TOKENS, CHUNKS_PER_FILE, CONTEXT_LINES, ENVELOPE_TOKENS, FLOOR_PERCENT, MMR_LAMBDA, RERANK_HEAD, SAME_PATH_SIMILARITY
-from tessera.functions.text import content_tokens, estimate_tokens, numbered_range
+from tessera.functions.text import content_tokens, estimate_tokens, is_trivial, numbered_range
 
 CHUNK_SCHEMA = "query_id long, path string, start_line int, end_line int, score long, estimated_tokens long, content string"
 
 
+def trimmed(trivial: list[bool], first: int, last: int) -> tuple[int, int]:
+    """A range (from 1) without the trivial lines at its ends; of all-trivial lines the last stays."""
+    while first < last and trivial[first - 1]:
+        first += 1
+    while last > first and trivial[last - 1]:
+        last -= 1
+    return first, last
+
+
+def file_ranges(tokens: list[int], own: int, trivial: list[bool], hits: list[tuple[int, int, int]], blocks: dict[int, tuple[int, int]], cap: int, context: int) -> list[tuple[int, int, int, int]]:
+    """``first, last, score, mask`` of a file's chunks from its hits (line, mask, score).
+
+    A hit's range is its block without trivial ends, if that costs no more than ``cap``; else the widest window
+    around it, its trivial ends left out, that does; without any, the window of no radius. Ranges that meet
+    become one while they still fit. Costs come from running sums.
+    """
+    n, upto = len(tokens), np.concatenate([[0], np.cumsum(tokens)])
+
+    def cost(first: int, last: int) -> int:
+        return int(upto[last] - upto[first - 1]) + own
+
+    ranges = []
+    for line, _, score in sorted(hits, key=lambda h: (-h[2], h[0])):
+        found = trimmed(trivial, *blocks[line]) if line in blocks else None
+        if found is None or cost(*found) > cap:
+            for radius in range(context, -1, -1):
+                found = trimmed(trivial, max(1, line - radius), min(n, line + radius))
+                if cost(*found) <= cap:
+                    break
+        ranges.append((*found, score))
+    merged: list[tuple[int, int, int]] = []
+    for first, last, score in sorted(ranges, key=lambda r: r[0]):
+        if merged and first <= merged[-1][1] + 1 and cost(merged[-1][0], max(merged[-1][1], last)) <= cap:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], last), max(merged[-1][2], score))
+        else:
+            merged.append((first, last, score))
+    return [(a, b, score, int(np.bitwise_or.reduce([0, *(m for line, m, _ in hits if a <= line <= b)]))) for a, b, score in merged]
+
+
 def chunk_candidates(hits: DataFrame, ranked: DataFrame, files: DataFrame, blocks: DataFrame | None = None, budget: int = BUDGET_TOKENS, context: int = CONTEXT_LINES) -> DataFrame:
     """Chunks of the ranked files: each hit's block, or a window around it that fits, merged where they meet and still fit.
 
     ``hits`` (``path, line_no, mask, score``), ``ranked`` (``path, score``, a few dozen rows after the cliff),
-    ``blocks`` (``path, line_no, start_line, end_line``). Merging depends on its order, so it is a fold over a
-    file's ranges; the tokens of a range come from running sums.
+    ``blocks`` (``path, line_no, start_line, end_line``). Merging depends on its order, so the ranges of a file
+    are found in one pass over its hits; everything else is built-in expressions.
     """
     cap = min(budget, CHUNK_TOKENS)
     split = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
     few = files.join(F.broadcast(ranked.select("path", F.col("score").alias("file_score"))), "path").withColumn("lines", split)
     each = F.transform("lines", lambda x, i: estimate_tokens(F.concat((i + 1).cast("string"), F.lit(": "), x)))
-    few = few.withColumn("tok", each).withColumn("own", estimate_tokens(F.col("path")) + ENVELOPE_TOKENS)
-    found = hits.join(few.select("path", "lines", "tok", "own"), "path")
+    few = few.withColumn("own", estimate_tokens(F.col("path")) + ENVELOPE_TOKENS)
     if blocks is not None:
-        found = found.join(blocks.select("path", "line_no", "start_line", "end_line"), ["path", "line_no"], "left")
+        hits = hits.join(blocks.select("path", "line_no", "start_line", "end_line"), ["path", "line_no"], "left")
     else:
-        found = found.withColumn("start_line", F.lit(None).cast("int")).withColumn("end_line", F.lit(None).cast("int"))
-    cost = lambda a, b: F.aggregate(F.slice("tok", a, b - a + 1), F.lit(0).cast("long"), lambda s, x: s + x) + F.col("own")
-    size = F.size("lines")
-    low = lambda r: F.greatest(F.lit(1), F.col("line_no") - r)
-    high = lambda r: F.least(size, F.col("line_no") + r)
-    radius = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), F.lit(context)), lambda r: cost(low(r), high(r)) <= cap)), F.lit(0))
-    snap = F.col("start_line").isNotNull() & (cost(F.coalesce("start_line", F.lit(1)), F.coalesce("end_line", F.lit(1))) <= cap)
-    found = found.withColumn("r", radius)
-    trivial = lambda x: ~x.rlike(r"[^\p{IsWhite_Space}(){}\[\];,]")
-    first, last = F.when(snap, F.col("start_line")).otherwise(low(F.col("r"))), F.when(snap, F.col("end_line")).otherwise(high(F.col("r")))
-    found = found.withColumn("first", first).withColumn("last", last)
-    body = F.filter(F.sequence("first", "last"), lambda n: ~trivial(F.element_at("lines", n)))
-    found = found.withColumn("body", body)
-    found = found.withColumn("first", F.when(F.size("body") > 0, F.element_at("body", 1)).otherwise(F.col("last"))).withColumn("last", F.when(F.size("body") > 0, F.element_at("body", -1)).otherwise(F.col("last")))
-    grouped = found.groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("first").cast("int").alias("start_line"), F.col("last").cast("int").alias("end_line"), F.col("score").cast("long").alias("score"), F.col("line_no").alias("line_no")))).alias("ranges"),
-        F.collect_list(F.struct("line_no", "mask")).alias("hits"),
-    )
-    grouped = grouped.join(few.select("path", "lines", "tok", "own", "file_score"), "path")
-    item = "struct<start_line:int,end_line:int,score:bigint>"
-
-    def fold(done, x):
-        one = F.struct(x["start_line"].alias("start_line"), x["end_line"].alias("end_line"), x["score"].alias("score"))
-        prior = F.try_element_at(done, F.lit(-1))
-        end = F.greatest(prior["end_line"], x["end_line"])
-        joined = F.struct(prior["start_line"].alias("start_line"), end.alias("end_line"), F.greatest(prior["score"], x["score"]).alias("score"))
-        meets = (F.size(done) > 0) & (x["start_line"] <= prior["end_line"] + 1) & (cost(F.coalesce(prior["start_line"], F.lit(1)), F.coalesce(end, F.lit(1))) <= cap)
-        return F.when(meets, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(one)))
-
-    merged = F.aggregate("ranges", F.expr(f"cast(array() as array<{item}>)"), fold)
-    parts = grouped.withColumn("merged", merged).select("path", "lines", "hits", "own", "tok", "file_score", F.explode("merged").alias("m"))
-    mask = F.aggregate(F.filter("hits", lambda h: h["line_no"].between(F.col("m.start_line"), F.col("m.end_line"))), F.lit(0), lambda s, h: s.bitwiseOR(h["mask"]))
-    score = F.col("m.score") * (10 + F.least(F.greatest(F.bit_count(mask) - 1, F.lit(0)), F.lit(3))) + F.floor(F.col("file_score") / 4)
-    return parts.select("path", F.col("m.start_line").alias("start_line"), F.col("m.end_line").alias("end_line"), score.cast("long").alias("score"), cost(F.col("m.start_line"), F.col("m.end_line")).alias("estimated_tokens"), numbered_range(F.col("lines"), F.col("m.start_line"), F.col("m.end_line")).alias("content"), mask.alias("mask"))
+        hits = hits.withColumn("start_line", F.lit(None).cast("int")).withColumn("end_line", F.lit(None).cast("int"))
+    item = F.struct(*[F.col(c).cast("long").alias(c) for c in ("line_no", "mask", "score", "start_line", "end_line")])
+    asked = hits.groupBy("path").agg(F.collect_list(item).alias("hits"))
+    shape = few.join(asked, "path").select("path", F.col("own").cast("long"), each.alias("tokens"), F.transform("lines", is_trivial).alias("trivial"), "hits")
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for path, own, tokens, trivial, found in zip(*(batch.column(c).to_pylist() for c in ("path", "own", "tokens", "trivial", "hits")), strict=True):
+                snaps = {h["line_no"]: (h["start_line"], h["end_line"]) for h in found if h["start_line"] is not None}
+                for row in file_ranges(tokens, own, trivial, [(h["line_no"], h["mask"], h["score"]) for h in found], snaps, cap, context):
+                    for column, value in zip(out, (path, *row), strict=True):
+                        column.append(value)
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["path", "start_line", "end_line", "hit_score", "mask"])
+
+    ranges = shape.mapInArrow(run, "path string, start_line int, end_line int, hit_score long, mask int")
+    parts = ranges.join(few.select("path", "lines", "own", "file_score"), "path")
+    score = F.col("hit_score") * (10 + F.least(F.greatest(F.bit_count("mask") - 1, F.lit(0)), F.lit(3))) + F.floor(F.col("file_score") / 4)
+    content = numbered_range(F.col("lines"), F.col("start_line"), F.col("end_line"))
+    return parts.withColumn("content", content).select("path", "start_line", "end_line", score.cast("long").alias("score"), (estimate_tokens(F.col("content")) + F.col("own")).alias("estimated_tokens"), "content", "mask")
 
 
 def relevance_floor(chunks: DataFrame, percent: int = FLOOR_PERCENT) -> DataFrame:
@@ -113,8 +139,9 @@ def mmr_pack(chunks: DataFrame, budget: int = BUDGET_TOKENS, weight: float = MMR
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return greedy_pack(group, budget, weight).drop(columns="words")
 
-    wordy = chunks.select(*[c.split()[0] for c in CHUNK_SCHEMA.split(", ")], content_tokens(F.col("content")).alias("words"))
-    return wordy.groupBy("query_id").applyInPandas(run, CHUNK_SCHEMA + ", position int")
+    extra = [(c, k) for c, k in (("mask", "int"), ("source", "string")) if c in chunks.columns]
+    wordy = chunks.select(*[c.split()[0] for c in CHUNK_SCHEMA.split(", ")], *[c for c, _ in extra], content_tokens(F.col("content")).alias("words"))
+    return wordy.groupBy("query_id").applyInPandas(run, ", ".join([CHUNK_SCHEMA, *[f"{c} {k}" for c, k in extra], "position int"]))
 
 
 def rerank(chunks: DataFrame, scored: DataFrame, head: int = RERANK_HEAD) -> DataFrame:

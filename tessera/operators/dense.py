@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.constants import DENSE_MARGIN, DENSE_TOP
+from tessera.functions.constants import BUDGET_TOKENS, DENSE_MARGIN, DENSE_TOP
 
 
 def similarities(vectors: DataFrame, query: list[float], keep: int = DENSE_TOP) -> DataFrame:
@@ -58,14 +58,21 @@ def embedded(blocks: DataFrame, embed: Callable[[list[str]], list[list[float]]],
     return blocks.mapInArrow(run, blocks.schema.simpleString()[7:-1].replace(":", " ") + ", embedding array<float>")
 
 
-def dense_fusion(chunks: DataFrame, hits: DataFrame) -> DataFrame:
+def dense_fusion(chunks: DataFrame, hits: DataFrame, budget: int = BUDGET_TOKENS) -> DataFrame:
     """Lexical candidates with at most one dense region per query.
 
     ``chunks`` and ``hits`` have ``query_id, path, start_line, end_line``, with ``score`` and ``similarity``.
     Without lexical candidates all hits come in by rank. Else the nearest hit's file must lead the next file by
-    a relative margin and not be among the two best lexical files' scores; its first region that meets no
-    candidate enters just below the top.
+    a relative margin and have no candidate that reaches the second candidate's score; its first region that meets
+    no candidate enters with that score, below the top. Where hits have ``estimated_tokens`` or ``line_count``,
+    a region over the budget or beyond its file's end does not come in.
     """
+    if "estimated_tokens" in hits.columns:
+        hits = hits.withColumn("fits", F.col("estimated_tokens") <= budget)
+    else:
+        hits = hits.withColumn("fits", F.lit(True))
+    if "line_count" in hits.columns:
+        hits = hits.withColumn("fits", F.col("fits") & (F.col("end_line") <= F.col("line_count")))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "path", "start_line")
     per = Window.partitionBy("query_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(per)).withColumn("head", F.first("path").over(order)).withColumn("best", F.max("similarity").over(per))
@@ -73,9 +80,10 @@ def dense_fusion(chunks: DataFrame, hits: DataFrame) -> DataFrame:
     ranked = ranked.withColumn("other", other)
     sure = (F.col("best") > 0) & ~F.isnan("best") & (F.col("other").isNull() | ((F.col("best") - F.col("other")) / F.col("best") >= DENSE_MARGIN))
     lexical = chunks.groupBy("query_id").agg(F.max("score").alias("top"))
-    second = chunks.groupBy("query_id", "path").agg(F.max("score").alias("file")).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("file"), "path"))).where("place = 2").select("query_id", F.col("file").alias("second"))
-    alone = ranked.join(lexical, "query_id", "left_anti").select("query_id", "path", "start_line", "end_line", F.greatest(F.lit(1), F.col("n") - F.col("rank") + 1).cast("long").alias("score"))
-    head = ranked.where((F.col("path") == F.col("head")) & sure).join(lexical, "query_id").join(second, "query_id", "left")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "start_line"))
+    second = chunks.withColumn("place", place).where("place = 2").select("query_id", F.col("score").alias("second"))
+    alone = ranked.where("fits").join(lexical, "query_id", "left_anti").select("query_id", "path", "start_line", "end_line", F.greatest(F.lit(1), F.col("n") - F.col("rank") + 1).cast("long").alias("score"))
+    head = ranked.where((F.col("path") == F.col("head")) & sure & F.col("fits")).join(lexical, "query_id").join(second, "query_id", "left")
     own = chunks.groupBy("query_id", F.col("path").alias("head")).agg(F.max("score").alias("own"))
     head = head.join(own, ["query_id", "head"], "left").where((F.col("top") > 0) & (F.col("own").isNull() | (F.col("own") < F.coalesce("second", F.col("top")))))
     c = chunks.select(F.col("query_id").alias("cq"), F.col("path").alias("cp"), F.col("start_line").alias("cs"), F.col("end_line").alias("ce"))

@@ -68,3 +68,36 @@ def interleave(hits: DataFrame, ranked: DataFrame) -> DataFrame:
     """``path, line_no, depth, file_rank``: the best hit of every ranked file (``path, file_rank``), then the second ones, and so on."""
     depth = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "line_no"))
     return hits.withColumn("depth", depth).join(ranked, "path").select("path", "line_no", "depth", "file_rank").orderBy("depth", "file_rank")
+
+
+def tokens_at_rank(results: DataFrame) -> DataFrame:
+    """``results`` (``query_id, rank, tokens``) with ``total``: what is read up to each rank."""
+    upto = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    return results.withColumn("total", F.sum("tokens").over(upto))
+
+
+def mean_cost(cases: DataFrame) -> DataFrame:
+    """Mean ``tokens`` and ``latency_ms`` of an evaluation's cases, and their number; zeros without cases."""
+    return cases.agg(F.count(F.lit(1)).alias("cases"), F.round(F.coalesce(F.avg("tokens"), F.lit(0.0)), 6).alias("avg_tokens"), F.round(F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 6).alias("avg_latency_ms"))
+
+
+def distinct_paths(results: DataFrame) -> DataFrame:
+    """``query_id, path, rank``: each path where it first comes, numbered anew."""
+    first = results.groupBy("query_id", "path").agg(F.min("rank").alias("first"))
+    return first.select("query_id", "path", F.row_number().over(Window.partitionBy("query_id").orderBy("first", "path")).alias("rank"))
+
+
+def whole_file_tokens(ranked: DataFrame, files: DataFrame, ks: Sequence[int] = (1, 3, 5)) -> DataFrame:
+    """``k, tokens``: what reading the first k ranked files (``query_id, path, rank``) whole takes, over all queries."""
+    sized = ranked.join(files.select("path", "tokens"), "path").where(F.col("rank") <= max(ks))
+    rows = sized.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("rank <= k")
+    return rows.groupBy("k").agg(F.sum("tokens").alias("tokens"))
+
+
+def drift(before: DataFrame, after: DataFrame, keys: Sequence[str], value: str, slack: float = 1e-9) -> DataFrame:
+    """The rows of two reports that differ: ``keys, before, after, kind`` (``gone``, ``new`` or ``changed``)."""
+    one, two = before.select(*keys, F.col(value).alias("before"), F.lit(True).alias("__one")), after.select(*keys, F.col(value).alias("after"), F.lit(True).alias("__two"))
+    rows = one.join(two, list(keys), "full")
+    same = F.col("before").eqNullSafe(F.col("after")) | F.coalesce(F.abs(F.col("before") - F.col("after")) <= slack, F.lit(False))
+    kind = F.when(F.col("__two").isNull(), "gone").when(F.col("__one").isNull(), "new").when(~same, "changed")
+    return rows.withColumn("kind", kind).where("kind is not null").select(*keys, "before", "after", "kind")

@@ -19,3 +19,9 @@ def feedback_terms(files: DataFrame, ranked: DataFrame, searched: list[str], lea
     rows = counted.crossJoin(head.agg(F.count(F.lit(1)).alias("n")))  # one row
     rows = rows.where("n < 2 or documents < n").drop("n")
     return rows.orderBy(F.desc("frequency"), "documents", F.octet_length("token"), "token").limit(limit)
+
+
+def evidence_is_weak(hits: DataFrame, terms: int) -> bool:
+    """Whether no line but a file's first holds three or more terms that are at least half of all: else feedback would bury a precise match."""
+    met = F.bit_count("mask")
+    return hits.where((F.col("line_no") > 1) & (met >= 3) & (met * 2 >= terms)).isEmpty()

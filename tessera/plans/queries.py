@@ -10,10 +10,11 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 from tessera.functions.constants import BINARY_EXTENSIONS, FAILURES, METADATA_NAMES, PROSE_EXTENSIONS, PROSE_STEMS
-from tessera.operators import assist, chunks, dense, evaluation, feedback, lexical, metrics, scope, structure
-from tessera.plans.retrieve import Options, retrieve
+from tessera.operators import assembly, assist, chunks, dense, dense_index, evaluation, feedback, lexical, metrics, scope, structure
+from tessera.plans.retrieve import Options, Retrieved, retrieve, retrieved
 from tessera.sources import carriers
-from tessera.sources.files import diff_hunks, glob_filter, glob_pattern
+from tessera.sources import files as files_source
+from tessera.sources.files import diff_hunks, glob_filter, glob_pattern, visible
 from tessera.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -261,53 +262,65 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query(f"WITH {FILES}, {LINES}, ranges AS (SELECT path, 2 AS start_line, 5 AS end_line FROM files WHERE doc_id % 3 = 0) SELECT path, start_line, end_line, content_tokens, content_tokens + {_SQL_TOKENS.format('path')} + 40 AS tokens FROM (SELECT r.path, r.start_line, r.end_line, CAST(sum({_SQL_TOKENS.format('(CAST(line_no AS VARCHAR) || chr(58) || chr(32) || line)')}) AS BIGINT) AS content_tokens FROM ranges r JOIN lines l ON l.path = r.path AND line_no BETWEEN start_line AND end_line GROUP BY r.path, r.start_line, r.end_line)")
+_SQL_RANGE = f"""sum({_SQL_TOKENS.format('(CAST(line_no AS VARCHAR) || chr(58) || chr(32) || line)')})"""
+
+
+@query(f"WITH {FILES}, {LINES} SELECT path, 1 AS start_line, CAST(max(line_no) AS INTEGER) AS end_line, CAST({_SQL_RANGE} AS BIGINT) AS content_tokens, CAST({_SQL_RANGE} AS BIGINT) + {_SQL_TOKENS.format('path')} + 40 AS tokens FROM lines GROUP BY path")
 def range_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, lines = _files(spark, sf_dir)
-    ranges = files.where("doc_id % 3 = 0").select("path", F.lit(2).alias("start_line"), F.lit(5).alias("end_line"))
+    ranges = files.select("path", F.lit(1).alias("start_line"), F.col("line_count").alias("end_line"))
     return structure.range_tokens(ranges, structure.line_tokens(lines))
 
 
+@query(f"WITH {FILES}, {LINES} SELECT path, CAST({_SQL_RANGE} AS BIGINT) + {_SQL_TOKENS.format('path')} + 40 AS tokens FROM lines GROUP BY path")
+def whole_file_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.whole_files(carriers.files(spark, sf_dir))
+
+
 @query(f"WITH {FILES}, {LINES} SELECT path, CAST(min(line_no) AS INTEGER) AS start_line, CAST(max(line_no) AS INTEGER) AS end_line FROM lines GROUP BY path, (line_no - 1) // 8 HAVING bool_or(trim(line) <> '')")
 def fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, lines = _files(spark, sf_dir)
     return structure.fixed_windows(lines, 8)
 
 
-_INDENTED = "shaped AS (SELECT path, line_no, 2 * ((line_no * 7 + doc_id) % 3) AS indent FROM lines WHERE trim(line) <> '')"
+_SHAPED = """shaped AS (SELECT path, line_no, CASE WHEN trim(line) = '' THEN '' ELSE repeat(' ', CAST(2 * ((line_no * 7 + doc_id) % 3) AS INTEGER)) || CASE WHEN strlen(line) % 7 = 0 THEN '# ' WHEN strlen(line) % 5 = 0 THEN ') ' ELSE '' END || line END AS line FROM lines),
+f AS (SELECT path, line_no, CASE WHEN line = '' THEN NULL ELSE strlen(line) - strlen(regexp_replace(line, '^ +', '')) END AS indent, regexp_matches(line, '^ *[)\\]}]') OR regexp_matches(line, '^[{(\\[ \t]+$') AS continues, regexp_matches(line, '^ *(@|#|//|/\\*|\\*|--|;;)') AS notes FROM shaped)"""
 
 
 @query(
-    f"""WITH {FILES}, {LINES}, {_INDENTED},
-own AS (SELECT path, line_no, indent FROM shaped WHERE line_no % 4 = 0),
-header AS (SELECT o.path, o.line_no, max(s.line_no) AS header FROM own o JOIN shaped s ON s.path = o.path AND s.line_no < o.line_no AND s.indent < o.indent GROUP BY ALL),
-deep AS (SELECT h.*, s.indent AS hi FROM header h JOIN shaped s ON s.path = h.path AND s.line_no = h.header),
-stop AS (SELECT d.path, d.line_no, d.header, min(s.line_no) AS stop FROM deep d LEFT JOIN shaped s ON s.path = d.path AND s.line_no > d.line_no AND s.indent <= d.hi GROUP BY ALL),
-last AS (SELECT path, max(line_no) AS last FROM shaped GROUP BY path)
-SELECT o.path, CAST(o.line_no AS INTEGER) AS line_no, CAST(header AS INTEGER) AS start_line, CAST(coalesce(stop - 1, last) AS INTEGER) AS end_line
-FROM (SELECT DISTINCT path, line_no FROM lines WHERE line_no % 4 = 0) o LEFT JOIN (SELECT * FROM stop JOIN last USING (path) WHERE coalesce(stop - 1, last) - header + 1 <= 48) s ON s.path = o.path AND s.line_no = o.line_no"""
+    f"""WITH {FILES}, {LINES}, {_SHAPED},
+own AS (SELECT path, line_no, indent FROM f WHERE indent IS NOT NULL),
+header AS (SELECT o.path, o.line_no, max(s.line_no) AS header FROM own o JOIN f s ON s.path = o.path AND s.line_no < o.line_no AND s.indent < o.indent GROUP BY ALL),
+deep AS (SELECT h.*, s.indent AS hi, s.continues FROM header h JOIN f s ON s.path = h.path AND s.line_no = h.header),
+stop AS (SELECT d.path, d.line_no, min(s.line_no) AS stop FROM deep d JOIN f s ON s.path = d.path AND s.line_no > d.line_no AND s.indent <= d.hi GROUP BY ALL),
+ends AS (SELECT d.path, d.line_no, d.header, d.hi, d.continues, max(s.line_no) AS end_line FROM deep d LEFT JOIN stop USING (path, line_no) JOIN f s ON s.path = d.path AND s.indent IS NOT NULL AND (stop IS NULL OR s.line_no < stop) GROUP BY ALL),
+climbed AS (SELECT e.path, e.line_no, e.hi, e.end_line, CASE WHEN e.continues THEN coalesce(max(s.line_no), 0) + 1 ELSE e.header END AS sig FROM ends e LEFT JOIN f s ON s.path = e.path AND s.line_no < e.header AND (s.indent IS NULL OR s.indent < e.hi) GROUP BY e.path, e.line_no, e.hi, e.end_line, e.continues, e.header),
+noted AS (SELECT c.path, c.line_no, c.end_line, coalesce(max(s.line_no), 0) + 1 AS start_line FROM climbed c LEFT JOIN f s ON s.path = c.path AND s.line_no < c.sig AND (s.indent IS NULL OR NOT s.notes OR s.indent <> c.hi) GROUP BY c.path, c.line_no, c.end_line)
+SELECT l.path, CAST(l.line_no AS INTEGER) AS line_no, CAST(n.start_line AS INTEGER) AS start_line, CAST(n.end_line AS INTEGER) AS end_line
+FROM lines l LEFT JOIN (SELECT * FROM noted WHERE end_line - start_line < 48) n ON n.path = l.path AND n.line_no = l.line_no"""
 )
 def enclosing_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every text is a hit; texts here have no indent, so each line gets one, and some a mark, by its place and length."""
     _, lines = _files(spark, sf_dir)
     pad = F.repeat(F.lit(" "), (2 * ((F.col("line_no") * 7 + F.col("doc_id")) % 3)).cast("int"))
-    plain = F.when(F.trim("line") != "", F.concat(pad, F.lit("x"))).otherwise("")
-    shaped = lines.withColumn("line", plain)
-    return structure.enclosing_block(shaped, shaped.where("line_no % 4 = 0"))
+    mark = F.when(F.octet_length("line") % 7 == 0, "# ").when(F.octet_length("line") % 5 == 0, ") ").otherwise("")
+    shaped = lines.withColumn("line", F.when(F.trim("line") != "", F.concat(pad, mark, "line")).otherwise(""))
+    return structure.enclosing_block(shaped, shaped)
 
 
-_RANGES = "ranges AS (SELECT path, line_no AS start_line, line_no + (line_no + doc_id) % 3 AS end_line FROM lines WHERE (line_no * 5 + doc_id) % 11 = 0)"
+_RANGES = "ranges AS (SELECT path, line_no * 25 AS start_line, line_no * 25 + strlen(line) % 20 AS end_line FROM lines)"
 
 
 @query(
     f"""WITH {FILES}, {LINES}, {_RANGES},
 m AS (SELECT *, max(end_line) OVER (PARTITION BY path ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ranges),
-i AS (SELECT *, sum(CASE WHEN before IS NULL OR start_line > before + 3 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY start_line, end_line) AS island FROM m)
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR start_line > before + 17 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY start_line, end_line) AS island FROM m)
 SELECT path, CAST(min(start_line) AS INTEGER) AS start_line, CAST(max(end_line) AS INTEGER) AS end_line FROM i GROUP BY path, island"""
 )
 def merge_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, lines = _files(spark, sf_dir)
-    ranges = lines.where("(line_no * 5 + doc_id) % 11 = 0").select("path", F.col("line_no").alias("start_line"), (F.col("line_no") + (F.col("line_no") + F.col("doc_id")) % 3).cast("int").alias("end_line"))
-    return structure.merge_with_gap(ranges, 2)
+    start = F.col("line_no") * 25
+    return structure.merge_with_gap(lines.select("path", start.alias("start_line"), (start + F.octet_length("line") % 20).cast("int").alias("end_line")))
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -484,8 +497,8 @@ def _sql_failure() -> str:
     out = "CASE"
     for name, needles in FAILURES:
         if needles is None:
-            status = "regexp_extract(low, 'worker http \\s*(\\d)\\d\\d', 1)"
-            out += f" WHEN {status} = '4' THEN 'http_4xx' WHEN {status} = '5' THEN 'http_5xx' WHEN {status} <> '' THEN 'http_other'"
+            status = "regexp_extract(low, 'worker http \\s*(\\d+)', 1)"
+            out += f" WHEN TRY_CAST({status} AS BIGINT) // 100 = 4 THEN 'http_4xx' WHEN TRY_CAST({status} AS BIGINT) // 100 = 5 THEN 'http_5xx' WHEN {status} <> '' THEN 'http_other'"
         else:
             out += f" WHEN {' OR '.join(f"contains(low, '{x}')" for x in needles)} THEN '{name}'"
     return out + " ELSE 'other' END"
@@ -545,6 +558,99 @@ def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.interleave(hits, ranked)
 
 
+# ---------------------------------------------------------------- assembly, index and reports
+
+
+def _answer(spark: SparkSession, sf_dir: str) -> Retrieved:
+    return retrieved(carriers.files(spark, sf_dir), QUESTION, Options(why=True, prf=True))
+
+
+@query()
+def retrieve_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(spark, sf_dir).chunks.select("path", "start_line", "end_line", "score", "position", "source", F.array_join("matched_terms", "|").alias("matched_terms"))
+
+
+@query()
+def retrieve_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(spark, sf_dir).summary.withColumn("query_terms", F.array_join("query_terms", "|"))
+
+
+@query()
+def retrieve_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(spark, sf_dir).documents.select("path", "bytes", "line_count", "numbered_content", F.size("allowed_ranges").alias("ranges"))
+
+
+@query("SELECT doc_id % 50 AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, n_chars AS tokens, CAST(sum(n_chars) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM documents WINDOW w AS (PARTITION BY doc_id % 50 ORDER BY doc_id)")
+def tokens_at_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("query_id"), "doc_id", F.col("n_chars").alias("tokens")).withColumn("rank", rank)
+    return evaluation.tokens_at_rank(rows.drop("doc_id"))
+
+
+@query("SELECT count(*) AS cases, round(avg(n_chars), 6) AS avg_tokens, round(avg(doc_id), 6) AS avg_latency_ms FROM documents")
+def mean_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.mean_cost(table(spark, sf_dir, "documents").select(F.col("n_chars").alias("tokens"), F.col("doc_id").alias("latency_ms")))
+
+
+@query("SELECT query_id, path, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first, path) AS INTEGER) AS rank FROM (SELECT l_orderkey AS query_id, l_returnflag AS path, min(l_linenumber) AS first FROM lineitem GROUP BY ALL)")
+def distinct_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.distinct_paths(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_returnflag").alias("path"), F.col("l_linenumber").alias("rank")))
+
+
+_USAGE = "SELECT event_id % 100 AS call_id, CASE WHEN event_id % 100 = 7 THEN NULL ELSE event_id % 11 END AS prompt_tokens, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 5 END AS completion_tokens, event_id AS total_tokens, CAST(event_id % 4 AS DOUBLE) / 4 AS cost FROM events"
+
+
+@query(f"SELECT call_id, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, sum(cost) AS cost FROM ({_USAGE}) GROUP BY call_id")
+def merged_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").selectExpr("event_id % 100 AS call_id", "CASE WHEN event_id % 100 = 7 THEN NULL ELSE event_id % 11 END AS prompt_tokens", "CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 5 END AS completion_tokens", "event_id AS total_tokens", "CAST(event_id % 4 AS DOUBLE) / 4 AS cost")
+    return assembly.merged_usage(rows)
+
+
+@query(
+    """WITH b AS (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS v FROM orders WHERE o_orderstatus <> 'P'), a AS (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) + CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS v FROM orders WHERE o_orderstatus <> 'F')
+SELECT o_orderkey, b.v AS before, a.v AS after, CASE WHEN a.v IS NULL THEN 'gone' WHEN b.v IS NULL THEN 'new' ELSE 'changed' END AS kind FROM b FULL JOIN a USING (o_orderkey) WHERE b.v IS DISTINCT FROM a.v"""
+)
+def report_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("v", F.col("o_totalprice").cast("double"))
+    after = orders.where("o_orderstatus <> 'F'").withColumn("v", F.col("v") + F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0))
+    return evaluation.drift(orders.where("o_orderstatus <> 'P'"), after, ["o_orderkey"], "v")
+
+
+@query(
+    f"""WITH {FILES}, {LINES}, listed AS (SELECT path FROM files ORDER BY path LIMIT 4000),
+w AS (SELECT path, CAST(min(line_no) AS INTEGER) AS start_line, CAST(max(line_no) AS INTEGER) AS end_line, string_agg(line, chr(10) ORDER BY line_no) AS text FROM lines JOIN listed USING (path) GROUP BY path, (line_no - 1) // 80 HAVING bool_or(trim(line) <> '')),
+n AS (SELECT path, coalesce(sum(count(*)) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w GROUP BY path)
+SELECT path, start_line, end_line, text, sha256(text) AS key FROM w JOIN n USING (path) WHERE before < 6000"""
+)
+def index_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense_index.index_blocks(dense_index.listed_files(carriers.files(spark, sf_dir)))
+
+
+@query(f"SELECT path, CAST(row_number() OVER (ORDER BY min(rank)) AS INTEGER) AS place FROM (SELECT 'f' || vec_id % 7 AS path, row_number() OVER (ORDER BY s DESC, 'f' || vec_id % 7, vec_id) AS rank FROM ({_NEAR}) QUALIFY rank <= 24) GROUP BY path")
+def recalled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("f"), (F.col("vec_id") % 7).cast("string")).alias("path"), F.col("vec_id").alias("start_line"), F.col("vec_id").alias("end_line"), "embedding")
+    return dense_index.recalled_files(dense_index.recall(rows, _question_vector(spark, sf_dir)))
+
+
+_RULES = ["# comment", "", "*.md", "src1/", "!src1/doc_5*", "/src2/doc_1?.py", "doc_77.rs"]
+
+
+@query(
+    f"""WITH {FILES} SELECT path FROM files WHERE NOT coalesce(CASE WHEN regexp_matches(path, '(^|/)doc_77[.]rs$') THEN TRUE WHEN regexp_matches(path, '^src2/doc_1[^/][.]py$') THEN TRUE WHEN regexp_matches(path, '^src1/doc_5[^/]*$') THEN FALSE WHEN regexp_matches(path, '(^|/)src1/') THEN TRUE WHEN regexp_matches(path, '[.]md$') THEN TRUE END, FALSE)"""
+)
+def visible_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = carriers.files(spark, sf_dir)
+    return files.where(visible(F.col("path"), _RULES)).select("path")
+
+
+@query(f"WITH {FILES} SELECT path, FALSE AS whole_file, 1 AS start_line, CAST(length(text) % 9 + 1 AS INTEGER) AS end_line, text FROM files WHERE starts_with(path, 'src1/') UNION ALL SELECT path, TRUE, 1, 2147483647, text FROM files WHERE NOT starts_with(path, 'src1/')")
+def all_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one source as changed, all others as untracked; every text is under the bound."""
+    files = carriers.files(spark, sf_dir)
+    tracked = files.where("startswith(path, 'src1/')").select("path", F.lit(1).alias("start_line"), (F.length("text") % 9 + 1).cast("int").alias("end_line"), "text")
+    return files_source.all_changes(tracked, files_source.untracked_changes(files.where("not startswith(path, 'src1/')").select("path", F.col("text").cast("binary").alias("content"))))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

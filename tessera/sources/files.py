@@ -40,6 +40,40 @@ def glob_filter(path: Column, globs: Sequence[str] = ()) -> Column:
     return wanted & ~path.rlike("|".join(exclude))
 
 
+def ignore_pattern(rule: str) -> str:
+    """An ignore rule as a regular expression over paths: with a slash before its end it holds from the root, else anywhere; what is below an ignored folder is ignored."""
+    folder = rule.endswith("/")
+    bare = rule.strip("/") if folder else rule.lstrip("/")
+    anchored = "/" in rule.rstrip("/")
+    body = glob_pattern(bare if anchored or "/" in bare else "**/" + bare)[1:-1]
+    return f"^{body}{'/.*' if folder else '(?:/.*)?'}$"
+
+
+def visible(path: Column, rules: Sequence[str] = ()) -> Column:
+    """Not hidden, and not ignored: of the rules that fit a path the last one decides, ``!`` brings it back; empty ones and comments say nothing."""
+    ignored = F.lit(False)
+    for rule in rules:
+        rule = rule.strip()
+        if rule and not rule.startswith("#"):
+            back = rule.startswith("!")
+            ignored = F.when(path.rlike(ignore_pattern(rule[back:])), F.lit(not back)).otherwise(ignored)
+    return ~path.rlike(r"(^|/)\.") & ~ignored
+
+
+def untracked_changes(files: DataFrame, most_bytes: int = 64_000) -> DataFrame:
+    """``path, whole_file, start_line, end_line, text`` of files (``path, content``) that no commit has: changed as a whole.
+
+    Of the text the first ``most_bytes`` bytes are read, as far as they are UTF-8; what cannot be read is empty.
+    """
+    text = F.coalesce(F.decode(F.substring("content", 1, most_bytes), "UTF-8"), F.lit(""))
+    return files.select("path", F.lit(True).alias("whole_file"), F.lit(1).alias("start_line"), F.lit(2**31 - 1).alias("end_line"), text.alias("text"))
+
+
+def all_changes(tracked: DataFrame, untracked: DataFrame) -> DataFrame:
+    """The hunks of tracked files (``path, start_line, end_line, text``) and the untracked files, in one table."""
+    return tracked.select("path", F.lit(False).alias("whole_file"), "start_line", "end_line", "text").unionByName(untracked)
+
+
 def read_text_files(spark: SparkSession, root: str, globs: Sequence[str] = (), max_bytes: int = 512_000) -> DataFrame:
     """``path, bytes, line_count, lines`` of the text files under ``root``: not too long, no NUL early on, valid UTF-8."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
