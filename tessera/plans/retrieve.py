@@ -52,6 +52,11 @@ class Retrieved(NamedTuple):
     documents: DataFrame
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """A few rows (``max_hits`` or ``MAX_FILES`` at most), computed now: what follows reads these and not the corpus again."""
+    return rows.sparkSession.createDataFrame(rows.toArrow(), rows.schema)
+
+
 def searched_question(question: str, change: Change | None, expansion: Sequence[str] = ()) -> str:
     """Changed text first, for it ranks hits in a review; all cut to a bound; related terms last."""
     whole = question if change is None else f"{change.text}\n{question}"[:DIFF_TEXT]
@@ -94,16 +99,17 @@ def retrieved(
             hits = lexical.overfull_spread(lexical.search(wanted, lines, terms), options.max_hits)
     if change is not None:
         hits = scope.scope_hits(hits, change.ranges)
-    top = lexical.diverse_hits(hits, options.max_hits)
+    top = bounded(lexical.diverse_hits(hits, options.max_hits))
     if change is None and untracked is not None:
         top = scope.untracked_boost(top, untracked)
-    ranked = lexical.concentration_cliff(lexical.file_ranking(top))
-    few = lines.join(F.broadcast(ranked.select("path")), "path", "left_semi")
+    ranked = bounded(lexical.concentration_cliff(lexical.file_ranking(top)))
+    paths = [r["path"] for r in ranked.select("path").collect()]  # MAX_FILES at most
+    few = wanted.where(F.col("path").isin(*paths) if paths else F.lit(False))
     kept = top.join(F.broadcast(ranked.select("path")), "path", "left_semi")
-    blocks = structure.enclosing_block(few, kept, options.max_block_lines)
-    found = chunks.chunk_candidates(kept, ranked, wanted, blocks, options.budget_tokens, options.context_lines)
+    blocks = structure.enclosing_block(lines_of(few), kept, options.max_block_lines)
+    found = chunks.chunk_candidates(kept, ranked, few, blocks, options.budget_tokens, options.context_lines)
     found = found.withColumn("query_id", F.lit(0).cast("long")).withColumn("source", F.lit("lexical"))
-    read = wanted.join(F.broadcast(ranked.select("path")), "path", "left_semi")
+    read = few
     if dense_hits is not None:
         found = _fused(found, dense_hits, wanted, options.budget_tokens)
         read = wanted.join(F.broadcast(ranked.select("path").union(dense_hits.select("path")).distinct()), "path", "left_semi")
