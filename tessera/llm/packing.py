@@ -25,7 +25,9 @@ from tessera.llm.common import cut, frugal, slices, text_bytes
 if TYPE_CHECKING:  # workers that only encode do without it
     import pandas as pd
 
-CAPACITY, GROUP_PIECES, MEMO = 2048, 8192, 300_000
+CAPACITY, GROUP_PIECES, MEMO = 2048, 8192, 100_000
+#: Bytes of text that are encoded at once.
+ENCODED_BYTES = 1 << 18
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 
@@ -209,9 +211,11 @@ class WordEncoder:
         if len(other):
             lowered = whole.tobytes()
             parts = [lowered[a:b] for a, b in zip(begin[other].tolist(), stop[other].tolist(), strict=True)]
-            if fresh := list(set(parts) - self.wide.keys()):
-                for p, a, n in zip(fresh, *(x.tolist() for x in self.learn(fresh, False)), strict=True):
-                    self.wide[p] = (a, n)
+            for cut in (True, False):  # long parts, and words for the tokenizer alone
+                wanted = {p for p, whole_word in zip(parts, alone[other].tolist(), strict=True) if whole_word != cut}
+                if fresh := list(wanted - self.wide.keys()):
+                    for p, a, n in zip(fresh, *(x.tolist() for x in self.learn(fresh, cut)), strict=True):
+                        self.wide[p] = (a, n)
             found = np.array([self.wide[p] for p in parts], np.int64)
             first[other], count[other] = found[:, 0], found[:, 1]
         # An id 0 after the parts of each text.
@@ -244,7 +248,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
 
     def run(batches):
         encoder = None  # one a task, so that idle workers hold none
-        for part in slices(batches):
+        for part in slices(batches, size=ENCODED_BYTES):
             encoder = encoder or WordEncoder(tokenizer_file)
             yield pieces_of(part, encoder)
 

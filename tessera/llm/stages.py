@@ -97,7 +97,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = joined.select(*names, "__blocks").mapInArrow(frugal(run), docs.schema)
     if "n_chars" in names:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return mixed.select(names)
+    return cut(mixed.select(names))  # written with small Arrow batches: rows that are taken twice carry their text
 
 
 def taken_text(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
