@@ -56,6 +56,12 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], **kinds: pa.DataType) -> DataFrame:
+    """A few rows of the driver as a table, through Arrow: rows as Python objects would start workers of another kind on every executor."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table({name: pa.array(values, kind) for (name, kind), values in zip(kinds.items(), columns, strict=True)}))
+
+
 def slices(batches: Iterable[pa.RecordBatch], text_column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice holds about ``size`` bytes of text (a longer text stands alone)."""
     for batch in batches:

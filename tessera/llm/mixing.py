@@ -13,10 +13,13 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.common import cut, small_table
+
 #: Fixed values of the contract: the words of a text, the weights by turns, the share of all words, the limit.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, LIMIT = (5, 2, 1), 1.5, 2
@@ -159,7 +162,7 @@ def mix_blocks(sized: DataFrame, plan: Plan, rows: int, seed: int = 17, block_wo
     before = np.cumsum(draws, axis=0) - draws
     spark = sized.sparkSession
     slots = [(s, int(before[k, s]), int(draws[k, s])) for k in range(shards) for s in range(len(blocks)) if draws[k, s]]
-    slots = spark.createDataFrame(slots, "number int, at long, n long").repartition(max(1, min(len(slots), int(needs.sum()) // 200_000)))
+    slots = small_table(spark, slots, number=pa.int32(), at=pa.int64(), n=pa.int64()).repartition(max(1, min(len(slots), int(needs.sum()) // 200_000)))
     # Slots by runs of bounded length, then one row a slot.
     slots = slots.select("number", "at", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / RUN).cast("int"))).alias("run"))
     start = F.col("at") + F.col("run") * F.lit(RUN)
@@ -194,7 +197,6 @@ def mixture(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, sha
     A null or blank text has size 0 and nothing taken. Repeated rows of one id are told apart by number and
     each takes its own words. A null source is a source of its own, the last. No rows give no rows.
     """
-    from tessera.llm.common import cut
 
     sized = sized_documents(docs)
     # Repeats of an id are rare; numbering them needs the rows of one id only.

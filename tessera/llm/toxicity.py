@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import joined_bytes, map_texts, text_bytes
+from tessera.llm.common import joined_bytes, map_texts, small_table, text_bytes
 from tessera.llm.folds import class_totals, fold, labelled_sample
 
 BITS, DIMENSIONS, SEGMENT, GRAMS = 18, 8, 8, (3, 4, 5, 6, 7)
@@ -235,7 +235,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: i
             left[r["label"]] -= r["size"]
             chosen.append(r["doc_id"])
     if len(chosen) < len(sizes):
-        ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
+        ids = small_table(docs.sparkSession, [(i,) for i in chosen], doc_id=pa.int64())
         picked = picked.join(F.broadcast(ids), "doc_id")
     rows = sorted((r["doc_id"], r["label"], r["text"] or "") for r in picked.collect())
     return train([r[2].encode() for r in rows], np.array([r[1] for r in rows], dtype=np.int64), class_totals(labels, "toxic", training))
