@@ -8,6 +8,7 @@ expanded gap most tightly replace it, if they fill it better.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from functools import cached_property
@@ -25,9 +26,9 @@ from tessera.llm.common import cut, frugal, slices, text_bytes
 if TYPE_CHECKING:  # workers that only encode do without it
     import pandas as pd
 
-CAPACITY, GROUP_PIECES, MEMO = 2048, 8192, 100_000
+CAPACITY, GROUP_PIECES, MEMO = 2048, 8192, 200_000
 #: Bytes of text that are encoded at once.
-ENCODED_BYTES = 1 << 18
+ENCODED_BYTES = 1 << 19
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 
@@ -85,6 +86,8 @@ class WordEncoder:
 
     def __init__(self, file: str):
         # The same merges without the steps that whole texts need, for parts that are cut and in lower case already.
+        # A task has one core; more threads would also each keep memory of their own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.file, self.merges = file, Tokenizer.from_file(file)
         self.merges.normalizer = normalizers.Sequence([])
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
