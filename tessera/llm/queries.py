@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import html_extract, jaccard, media, mixing, packing, quality_model, quality_rules, suffix_dedup, token_counts, toxicity
+from tessera.llm import chat_format, html_extract, jaccard, media, mixing, packing, quality_model, quality_rules, suffix_dedup, token_counts, toxicity
 from tessera.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,9 +55,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_digests(chat_format.format_chats(chat_format.with_trap(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_html_extraction, op3_token_counts, op4_source_mixing, op5_media_columns, op6_ngram_jaccard_join, op7_best_fit_packing, op8_quality_classifier, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_html_extraction, op3_token_counts, op4_source_mixing, op5_media_columns, op6_ngram_jaccard_join, op7_best_fit_packing, op8_quality_classifier, op9_quality_rules, op10_toxicity, op11_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_chat_formatting": chat_format.SQL}
