@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat_format, html_extract, jaccard, media, mixing, packing, quality_model, quality_rules, suffix_dedup, token_counts, toxicity, whitening
+from tessera.llm import alignment, chat_format, html_extract, jaccard, media, mixing, packing, quality_model, quality_rules, suffix_dedup, token_counts, toxicity, whitening
 from tessera.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,13 +59,17 @@ def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.format_chats(chat_format.with_trap(table(spark, sf_dir, "conversations"))))
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return whitening.whitened(vectors, whitening.fit_whitening(vectors))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_html_extraction, op3_token_counts, op4_source_mixing, op5_media_columns, op6_ngram_jaccard_join, op7_best_fit_packing, op8_quality_classifier, op9_quality_rules, op10_toxicity, op11_chat_formatting, op13_embedding_whitening)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_html_extraction, op3_token_counts, op4_source_mixing, op5_media_columns, op6_ngram_jaccard_join, op7_best_fit_packing, op8_quality_classifier, op9_quality_rules, op10_toxicity, op11_chat_formatting, op12_cross_tokenizer_alignment, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
