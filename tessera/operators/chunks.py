@@ -59,11 +59,14 @@ def chunk_candidates(hits: DataFrame, ranked: DataFrame, files: DataFrame, block
 
     ``hits`` (``path, line_no, mask, score``), ``ranked`` (``path, score``, a few dozen rows after the cliff),
     ``blocks`` (``path, line_no, start_line, end_line``). Merging depends on its order, so the ranges of a file
-    are found in one pass over its hits; everything else is built-in expressions.
+    are found in one pass over its hits; everything else is built-in expressions. With a ``query_id`` in ``hits``
+    and ``ranked`` they are the chunks of many questions, and have it too.
     """
     cap = min(budget, CHUNK_TOKENS)
+    keys = ["query_id", "path"] if "query_id" in ranked.columns else ["path"]
     split = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
-    few = files.join(F.broadcast(ranked.select("path", F.col("score").alias("file_score"))), "path").withColumn("lines", split)
+    leaders = ranked.select(*keys, F.col("score").alias("file_score"))
+    few = files.join(leaders if len(keys) > 1 else F.broadcast(leaders), "path").withColumn("lines", split)
     each = F.transform("lines", lambda x, i: estimate_tokens(F.concat((i + 1).cast("string"), F.lit(": "), x)))
     few = few.withColumn("own", estimate_tokens(F.col("path")) + ENVELOPE_TOKENS)
     if blocks is not None:
@@ -71,25 +74,27 @@ def chunk_candidates(hits: DataFrame, ranked: DataFrame, files: DataFrame, block
     else:
         hits = hits.withColumn("start_line", F.lit(None).cast("int")).withColumn("end_line", F.lit(None).cast("int"))
     item = F.struct(*[F.col(c).cast("long").alias(c) for c in ("line_no", "mask", "score", "start_line", "end_line")])
-    asked = hits.groupBy("path").agg(F.collect_list(item).alias("hits"))
-    shape = few.join(asked, "path").select("path", F.col("own").cast("long"), each.alias("tokens"), F.transform("lines", is_trivial).alias("trivial"), "hits")
+    asked = hits.groupBy(*keys).agg(F.collect_list(item).alias("hits"))
+    shape = few.join(asked, keys).select(F.struct(*keys).alias("key"), F.col("own").cast("long"), each.alias("tokens"), F.transform("lines", is_trivial).alias("trivial"), "hits")
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for path, own, tokens, trivial, found in zip(*(batch.column(c).to_pylist() for c in ("path", "own", "tokens", "trivial", "hits")), strict=True):
+            chosen, out = [], [[], [], [], []]
+            for place, (own, tokens, trivial, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("own", "tokens", "trivial", "hits")), strict=True)):
                 snaps = {h["line_no"]: (h["start_line"], h["end_line"]) for h in found if h["start_line"] is not None}
                 for row in file_ranges(tokens, own, trivial, [(h["line_no"], h["mask"], h["score"]) for h in found], snaps, cap, context):
-                    for column, value in zip(out, (path, *row), strict=True):
+                    chosen.append(place)
+                    for column, value in zip(out, row, strict=True):
                         column.append(value)
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["path", "start_line", "end_line", "hit_score", "mask"])
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(chosen, pa.int64())), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["key", "start_line", "end_line", "hit_score", "mask"])
 
-    ranges = shape.mapInArrow(run, "path string, start_line int, end_line int, hit_score long, mask int")
-    parts = ranges.join(few.select("path", "lines", "own", "file_score"), "path")
+    kind = shape.schema["key"].dataType.simpleString()
+    ranges = shape.mapInArrow(run, f"key {kind}, start_line int, end_line int, hit_score long, mask int").select("key.*", "start_line", "end_line", "hit_score", "mask")
+    parts = ranges.join(few.select(*keys, "lines", "own", "file_score"), keys)
     score = F.col("hit_score") * (10 + F.least(F.greatest(F.bit_count("mask") - 1, F.lit(0)), F.lit(3))) + F.floor(F.col("file_score") / 4)
     content = numbered_range(F.col("lines"), F.col("start_line"), F.col("end_line"))
-    return parts.withColumn("content", content).select("path", "start_line", "end_line", score.cast("long").alias("score"), (estimate_tokens(F.col("content")) + F.col("own")).alias("estimated_tokens"), "content", "mask")
+    return parts.withColumn("content", content).select(*keys, "start_line", "end_line", score.cast("long").alias("score"), (estimate_tokens(F.col("content")) + F.col("own")).alias("estimated_tokens"), "content", "mask")
 
 
 def relevance_floor(chunks: DataFrame, percent: int = FLOOR_PERCENT) -> DataFrame:

@@ -12,8 +12,16 @@ from tessera.operators.lexical import mask_of
 
 
 def first_ranks(results: DataFrame, expected: DataFrame) -> DataFrame:
-    """``query_id, rank`` of the first result (``query_id, path, rank``) that is expected; null where none is."""
-    hit = results.join(expected.select("query_id", "path").distinct(), ["query_id", "path"]).groupBy("query_id").agg(F.min("rank").alias("rank"))
+    """``query_id, rank`` of the first result (``query_id, path, rank``) that is expected; null where none is.
+
+    Where both have ``start_line`` and ``end_line`` the ranges must meet too; an expected path without a range is met anywhere.
+    """
+    ranged = {"start_line", "end_line"} <= set(results.columns) & set(expected.columns)
+    targets = expected.select("query_id", "path", *([F.col("start_line").alias("first"), F.col("end_line").alias("last")] if ranged else [])).distinct()
+    met = results.join(targets, ["query_id", "path"])
+    if ranged:
+        met = met.where(F.col("first").isNull() | (F.col("start_line") <= F.col("last")) & (F.col("first") <= F.col("end_line")))
+    hit = met.groupBy("query_id").agg(F.min("rank").alias("rank"))
     return expected.select("query_id").distinct().join(hit, "query_id", "left")
 
 

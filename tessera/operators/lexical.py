@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -135,17 +135,17 @@ def diverse_hits(hits: DataFrame, limit: int = MAX_HITS) -> DataFrame:
     return ranked.orderBy("later", F.desc("score"), "path", "line_no").limit(limit).drop("later")
 
 
-def overfull_spread(hits: DataFrame, limit: int = MAX_HITS) -> DataFrame:
-    """A file with more than ``limit`` hits keeps its strongest half of the limit, then hits spread evenly over its lines, then strong ones."""
+def overfull_spread(hits: DataFrame, limit: int = MAX_HITS, by: Sequence[str] = ("path",)) -> DataFrame:
+    """A file (``by``) with more than ``limit`` hits keeps its strongest half of the limit, then hits spread evenly over its lines, then strong ones."""
     half = -(-limit // 2)
     spread = limit - half
-    by_score = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "line_no"))
-    by_line = F.row_number().over(Window.partitionBy("path").orderBy("line_no", F.desc("score")))
-    rows = hits.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("path"))).withColumn("rs", by_score).withColumn("rl", by_line)
+    by_score = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "line_no"))
+    by_line = F.row_number().over(Window.partitionBy(*by).orderBy("line_no", F.desc("score")))
+    rows = hits.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by))).withColumn("rs", by_score).withColumn("rl", by_line)
     slots = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(max(spread - 1, 0))), lambda s: (F.floor(s * (F.col("n") - 1) / max(spread - 1, 1)) if spread > 1 else F.col("n") - 1) + 1))
     in_slot = F.array_contains(slots, F.col("rl").cast("long")) if spread else F.lit(False)
     class_ = F.when(F.col("rs") <= half, 0).when(in_slot, 1).otherwise(2)
-    kept = F.row_number().over(Window.partitionBy("path").orderBy("class", F.when(F.col("class") == 1, F.col("rl")).otherwise(F.col("rs"))))
+    kept = F.row_number().over(Window.partitionBy(*by).orderBy("class", F.when(F.col("class") == 1, F.col("rl")).otherwise(F.col("rs"))))
     rows = rows.withColumn("class", class_).withColumn("place", kept)
     return rows.where((F.col("n") <= limit) | (F.col("place") <= limit)).select(hits.columns)
 

@@ -651,6 +651,10 @@ def all_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_source.all_changes(tracked, files_source.untracked_changes(files.where("not startswith(path, 'src1/')").select("path", F.col("text").cast("binary").alias("content"))))
 
 
+# The queries over tables of questions use the pieces above, and register themselves.
+from tessera.plans import batch_queries  # noqa: E402, F401
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
