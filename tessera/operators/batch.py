@@ -111,6 +111,11 @@ def _mask(forms: Column, holds) -> Column:
     return F.aggregate(bits, F.lit(0), lambda s, b: s + b)
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that are computed once a row: the optimizer would move them into lambdas, which run for every element."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def batch_search(files: DataFrame, lines: DataFrame, terms: DataFrame, posted: DataFrame | None = None, hits_per_file: int = HITS_PER_FILE) -> DataFrame:
     """``query_id, path, line_no, mask, score``: every hit of every question, penalised, files that only their name finds too.
 
@@ -121,13 +126,11 @@ def batch_search(files: DataFrame, lines: DataFrame, terms: DataFrame, posted: D
     coverage = hits.groupBy("query_id", "path").agg(F.expr("bit_or(mask)").alias("coverage"))
     weights = batch_weights(terms, coverage)
     w, path = F.col("weights"), F.col("path")
-    parents = F.slice(F.split(F.lower(path), "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
-    bare = F.regexp_replace(file_name(path), r"(.)\.[^.]*$", "$1")
-    folder_mask = _mask(F.col("forms"), lambda f: F.exists(parents, lambda p: p.contains(f)))
-    exact_mask = _mask(F.col("forms"), lambda f: bare == f)
-    largest = F.array_max(F.transform(w, lambda x, i: F.when(F.getbit(exact_mask, i) == 1, x).otherwise(F.lit(0).cast("long"))))
-    part = F.floor(coverage_weight(F.col("coverage"), w) / 2) + F.floor(set_bits_sum(folder_mask, w) * NAME_FACTOR / 2) + largest * EXACT_NAME_FACTOR
-    parts = coverage.join(weights, "query_id").select("query_id", "path", "weights", part.alias("file_part"))
+    placed = once(coverage.join(weights, "query_id"), parents=F.slice(F.split(F.lower(path), "/"), F.lit(1), F.size(F.split(path, "/")) - 1), bare=F.regexp_replace(file_name(path), r"(.)\.[^.]*$", "$1"))
+    placed = once(placed, folder=_mask(F.col("forms"), lambda f: F.exists("parents", lambda p: p.contains(f))), exact=_mask(F.col("forms"), lambda f: F.col("bare") == f))
+    largest = F.array_max(F.transform(w, lambda x, i: F.when(F.getbit("exact", i) == 1, x).otherwise(F.lit(0).cast("long"))))
+    part = F.floor(coverage_weight(F.col("coverage"), w) / 2) + F.floor(set_bits_sum(F.col("folder"), w) * NAME_FACTOR / 2) + largest * EXACT_NAME_FACTOR
+    parts = placed.select("query_id", "path", "weights", part.alias("file_part"))
     score = (set_bits_sum(F.col("mask"), w) * LINE_WEIGHT + F.col("file_part")).cast("long")
     scored = hits.join(parts, ["query_id", "path"]).select("query_id", "path", "line_no", "mask", score.alias("score"))
     named = filename_masks(files, terms).join(coverage, ["query_id", "path"], "left_anti").join(weights, "query_id")
