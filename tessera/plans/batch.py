@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_binary
-from tessera.operators import batch, chunks, evaluation, lexical, structure
-from tessera.plans.retrieve import Options
+from tessera.operators import batch, chunks, evaluation, lexical
+from tessera.plans.retrieve import Options, blocks_around
 from tessera.sources.carriers import lines as lines_of
 from tessera.sources.files import glob_filter
 
@@ -40,7 +40,7 @@ def retrieve_batch(files: DataFrame, questions: DataFrame, options: Options = Op
     ranked = batch.batch_cliff(top)
     kept = top.join(ranked.select("query_id", "path"), ["query_id", "path"], "left_semi")
     few = files.join(ranked.select("path").distinct(), "path", "left_semi")
-    blocks = structure.enclosing_block(lines_of(few), kept, options.max_block_lines)
+    blocks = blocks_around(few, kept, options)
     found = chunks.chunk_candidates(kept, ranked, few, blocks, options.budget_tokens, options.context_lines)
     return chunks.mmr_pack(chunks.relevance_floor(found, options.min_score_percent), options.budget_tokens, options.mmr_lambda)
 

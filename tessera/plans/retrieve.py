@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.constants import BLOCK_LINES, BUDGET_TOKENS, CONTEXT_LINES, DIFF_TEXT, ENVELOPE_TOKENS, FLOOR_PERCENT, MAX_HITS, MMR_LAMBDA, QUESTION_BYTES
 from tessera.functions.text import estimate_tokens, is_binary, numbered_range
-from tessera.operators import assembly, chunks, dense, feedback, lexical, scope, structure
+from tessera.operators import assembly, chunks, definitions, dense, feedback, lexical, scope, structure
 from tessera.sources.carriers import lines as lines_of
 from tessera.sources.files import glob_filter
 
@@ -29,6 +29,8 @@ class Options:
     globs: tuple[str, ...] = field(default=())
     prf: bool = False
     why: bool = False
+    #: Blocks by definition (functions, classes) where the language is known, else by indent; or by indent alone.
+    by_definition: bool = False
 
     def __post_init__(self) -> None:
         if self.budget_tokens <= 0 or not 1 <= self.max_hits <= 5000 or self.context_lines > 500:
@@ -106,7 +108,7 @@ def retrieved(
     paths = [r["path"] for r in ranked.select("path").collect()]  # MAX_FILES at most
     few = wanted.where(F.col("path").isin(*paths) if paths else F.lit(False))
     kept = top.join(F.broadcast(ranked.select("path")), "path", "left_semi")
-    blocks = structure.enclosing_block(lines_of(few), kept, options.max_block_lines)
+    blocks = blocks_around(few, kept, options)
     found = chunks.chunk_candidates(kept, ranked, few, blocks, options.budget_tokens, options.context_lines)
     found = found.withColumn("query_id", F.lit(0).cast("long")).withColumn("source", F.lit("lexical"))
     read = few
@@ -121,6 +123,13 @@ def retrieved(
     return Retrieved(out, summary, assembly.evidence_documents(packed, read))
 
 
+def blocks_around(files: DataFrame, hits: DataFrame, options: Options) -> DataFrame:
+    """``path, line_no, start_line, end_line`` of the block around each hit, as the options have it."""
+    if options.by_definition:
+        return definitions.enclosing_definition(files, lines_of(files), hits, options.max_block_lines)
+    return structure.enclosing_block(lines_of(files), hits, options.max_block_lines)
+
+
 def _fused(found: DataFrame, dense_hits: DataFrame, files: DataFrame, budget: int) -> DataFrame:
     """The candidates and the region that comes in by meaning, with its content."""
     split = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
