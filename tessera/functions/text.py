@@ -148,7 +148,8 @@ def numbered_range(lines: Column, start: Column, end: Column) -> Column:
 
 
 def shell_quoted(path: Column) -> Column:
-    return F.when(path.rlike(r"^[A-Za-z0-9_./-]+$"), path).otherwise(F.concat(F.lit("'"), F.replace(path, F.lit("'"), F.lit("'\\''")), F.lit("'")))
+    """As it is where no shell could misread it; one that begins with a dash never is."""
+    return F.when(path.rlike(r"^[\p{L}\p{N}_./][\p{L}\p{N}_./-]*$"), path).otherwise(F.concat(F.lit("'"), F.replace(path, F.lit("'"), F.lit("'\\''")), F.lit("'")))
 
 
 def verify_hint(path: Column, start: Column, end: Column) -> Column:

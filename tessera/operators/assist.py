@@ -14,13 +14,14 @@ from tessera.operators.structure import merge_with_gap
 SUMMARY_UNITS = 2000
 
 
-def findings_validation(findings: DataFrame, excerpts: DataFrame) -> DataFrame:
+def findings_validation(findings: DataFrame, excerpts: DataFrame, by: Sequence[str] = ("path",)) -> DataFrame:
     """``findings`` with ``reason`` (null: kept) and ``verify_hint``.
 
-    ``excerpts`` are the ranges (``path, start_line, end_line``) that were shown; near ones count as one range.
+    ``excerpts`` are the ranges (``path, start_line, end_line``) that were shown; near ones count as one range. Where
+    each reply was shown others, ``by`` names its column besides ``path``.
     """
-    allowed = merge_with_gap(excerpts).groupBy("path").agg(F.collect_list(F.struct("start_line", "end_line")).alias("allowed"))
-    rows = findings.join(allowed, "path", "left")
+    allowed = merge_with_gap(excerpts, by=by).groupBy(*by).agg(F.collect_list(F.struct("start_line", "end_line")).alias("allowed"))
+    rows = findings.join(allowed, list(by), "left")
     inside = F.exists("allowed", lambda a: (a["start_line"] <= F.col("start_line")) & (F.col("end_line") <= a["end_line"]))
     reason = (
         F.when(utf16_length(F.col("summary")) > SUMMARY_UNITS, "summary_too_long")

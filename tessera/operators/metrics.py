@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from contextlib import suppress
+from datetime import UTC, datetime
+from typing import TypeVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import classify_error
+
+T = TypeVar("T")
+
 METRIC_SCHEMA = "timestamp timestamp, operation string, success boolean, model string, duration_ms bigint, input_bytes bigint, files bigint, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint, cost double, fallback boolean, error_kind string, baseline_bytes bigint, delivered_tokens bigint"
 
 
@@ -17,6 +27,31 @@ def append_metrics(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def record_run(spark: SparkSession, path: str, operation: str, work: Callable[[], tuple[T, dict]], model: str | None = None) -> T:
+    """Does ``work`` and appends one line about it: how long it took, and what it says of itself, or the kind of its failure.
+
+    ``work`` returns its result and some of the log's columns (sizes, tokens, cost, ``model``, ``fallback``). A failure
+    is logged by a fixed name, never by its message, and goes on to the caller; what cannot be logged is not an error.
+    """
+    began, at = time.monotonic(), datetime.now(UTC)
+    facts: dict = {"input_bytes": 0, "files": 0, "baseline_bytes": 0, "delivered_tokens": 0, "fallback": False}
+    message = None
+    try:
+        result, own = work()
+        facts |= own
+        return result
+    except Exception as error:
+        message = str(error)
+        facts |= {"fallback": "fallback exhausted" in message}
+        raise
+    finally:
+        facts |= {"timestamp": at, "operation": operation, "success": message is None, "model": facts.get("model") or model, "duration_ms": int((time.monotonic() - began) * 1000)}
+        names = [c.split()[0] for c in METRIC_SCHEMA.split(", ")]
+        with suppress(Exception):
+            row = spark.createDataFrame([tuple(facts.get(n) for n in names)], METRIC_SCHEMA)
+            append_metrics(row.withColumn("error_kind", F.when(F.lit(message is not None), classify_error(F.lit(message or "")))), path)
+
+
 def metrics_summary(metrics: DataFrame) -> DataFrame:
     """One row: runs, failures, fallbacks, tokens, cost and what delivery saved against whole files."""
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")

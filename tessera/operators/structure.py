@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,10 +114,10 @@ def enclosing_block(lines: DataFrame, hits: DataFrame, max_span: int = BLOCK_LIN
     return files.mapInArrow(run, "path string, line_no int, start_line int, end_line int")
 
 
-def merge_with_gap(ranges: DataFrame, gap: int = GAP_LINES) -> DataFrame:
-    """Ranges of a path that are at most ``gap`` lines apart become one."""
-    order = Window.partitionBy("path").orderBy("start_line", "end_line")
+def merge_with_gap(ranges: DataFrame, gap: int = GAP_LINES, by: Sequence[str] = ("path",)) -> DataFrame:
+    """Ranges of a path (``by``) that are at most ``gap`` lines apart become one."""
+    order = Window.partitionBy(*by).orderBy("start_line", "end_line")
     before = F.max("end_line").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(before.isNull() | (F.col("start_line") > before + gap + 1), 1).otherwise(0)
     islands = ranges.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order))
-    return islands.groupBy("path", "island").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")).drop("island")
+    return islands.groupBy(*by, "island").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")).drop("island")

@@ -63,9 +63,9 @@ def visible(path: Column, rules: Sequence[str] = ()) -> Column:
 def untracked_changes(files: DataFrame, most_bytes: int = 64_000) -> DataFrame:
     """``path, whole_file, start_line, end_line, text`` of files (``path, content``) that no commit has: changed as a whole.
 
-    Of the text the first ``most_bytes`` bytes are read, as far as they are UTF-8; what cannot be read is empty.
+    Of the text the first ``most_bytes`` bytes are read; where these are no UTF-8, or end inside a character, it is empty.
     """
-    text = F.coalesce(F.decode(F.substring("content", 1, most_bytes), "UTF-8"), F.lit(""))
+    text = F.coalesce(F.try_validate_utf8(F.substring("content", 1, most_bytes).cast("string")), F.lit(""))
     return files.select("path", F.lit(True).alias("whole_file"), F.lit(1).alias("start_line"), F.lit(2**31 - 1).alias("end_line"), text.alias("text"))
 
 
