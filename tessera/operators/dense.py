@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,31 +14,37 @@ from pyspark.sql.window import Window
 from tessera.functions.constants import BUDGET_TOKENS, DENSE_MARGIN, DENSE_TOP
 
 
-def similarities(vectors: DataFrame, query: list[float], keep: int = DENSE_TOP) -> DataFrame:
-    """``vec_id, similarity`` (cosine) of each task's nearest ``keep`` vectors; 0 for zero vectors and other lengths."""
-    q = np.asarray(query, dtype=np.float64)
-    q_norm = float(np.linalg.norm(q))
+def cosines(column: pa.Array, q: np.ndarray) -> np.ndarray:
+    """The cosine of each vector with ``q``; 0 for zero vectors, nulls and other lengths."""
+    n, flat = len(column), np.zeros((len(column), len(q)))
+    same = np.asarray(column.value_lengths().fill_null(0)) == len(q)
+    body = np.nan_to_num(np.asarray(column.values.to_numpy(zero_copy_only=False), dtype=np.float64))
+    if same.any():
+        flat[same] = body[np.asarray(column.offsets)[:-1][same][:, None] + np.arange(len(q))]
+    norm = np.linalg.norm(flat, axis=1) * float(np.linalg.norm(q))
+    return np.divide(flat @ q, norm, out=np.zeros(n), where=norm > 0)
+
+
+def nearest(vectors: DataFrame, query: list[float], keep: int, ties: dict[str, str]) -> DataFrame:
+    """The columns ``ties`` (name and kind) and ``similarity`` of each task's nearest ``keep`` vectors; equal ones in order of those columns."""
+    q, order = np.asarray(query, dtype=np.float64), [("similarity", "descending"), *((c, "ascending") for c in ties)]
 
     def run(batches):
-        ids, values = np.zeros(0, np.int64), np.zeros(0)
+        best = None
         for batch in batches:
-            column = batch.column("embedding")
-            n, flat = len(column), np.zeros((len(column), len(q)))
-            lengths = np.asarray(column.value_lengths().fill_null(0))
-            same = lengths == len(q)
-            offsets = np.asarray(column.offsets)[:-1][same]
-            body = np.nan_to_num(np.asarray(column.values.to_numpy(zero_copy_only=False), dtype=np.float64))
-            flat[same] = body[offsets[:, None] + np.arange(len(q))] if same.any() else 0
-            norm = np.linalg.norm(flat, axis=1) * q_norm
-            value = np.divide(flat @ q, norm, out=np.zeros(n), where=norm > 0)
-            ids = np.concatenate([ids, batch.column("vec_id").to_numpy(zero_copy_only=False)])
-            values = np.concatenate([values, value])
-            best = np.lexsort((ids, -values))[:keep]
-            ids, values = ids[best], values[best]
-        if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values)], ["vec_id", "similarity"])
-
-    return vectors.select("vec_id", "embedding").where("vec_id is not null").mapInArrow(run, "vec_id long, similarity double")
+            here = pa.table({c: batch.column(c) for c in ties}).append_column("similarity", pa.array(cosines(batch.column("embedding"), q)))
+            best = here if best is None else pa.concat_tables([best, here])
+            best = best.take(pc.sort_indices(best, sort_keys=order)[:keep])
+        if best is not None:
+            yield from best.combine_chunks().to_batches()
+
+    kinds = ", ".join(f"{c} {k}" for c, k in ties.items())
+    return vectors.select(*[F.col(c).cast(k).alias(c) for c, k in ties.items()], "embedding").mapInArrow(run, f"{kinds}, similarity double")
+
+
+def similarities(vectors: DataFrame, query: list[float], keep: int = DENSE_TOP) -> DataFrame:
+    """``vec_id, similarity`` (cosine) of each task's nearest ``keep`` vectors."""
+    return nearest(vectors.where("vec_id is not null"), query, keep, {"vec_id": "long"})
 
 
 def dense_topk(vectors: DataFrame, query: list[float], keep: int = DENSE_TOP) -> DataFrame:

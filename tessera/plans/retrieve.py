@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.constants import BLOCK_LINES, BUDGET_TOKENS, CONTEXT_LINES, DIFF_TEXT, ENVELOPE_TOKENS, FLOOR_PERCENT, MAX_HITS, MMR_LAMBDA, QUESTION_BYTES
 from tessera.functions.text import estimate_tokens, is_binary, numbered_range
-from tessera.operators import assembly, chunks, definitions, dense, feedback, lexical, scope, structure
+from tessera.operators import assembly, chunks, definitions, dense, dense_index, feedback, lexical, scope, structure
 from tessera.sources.carriers import lines as lines_of
 from tessera.sources.files import glob_filter
 
@@ -114,7 +114,7 @@ def retrieved(
     read = few
     if dense_hits is not None:
         found = _fused(found, dense_hits, wanted, options.budget_tokens)
-        read = wanted.join(F.broadcast(ranked.select("path").union(dense_hits.select("path")).distinct()), "path", "left_semi")
+        read = dense_index.with_recalled(few, wanted.join(F.broadcast(dense_hits.select("path").distinct()), "path", "left_semi"))
     candidates = chunks.rerank(found, opinions(found)) if opinions is not None else found
     floored = chunks.relevance_floor(candidates, options.min_score_percent)
     packed = chunks.mmr_pack(floored, options.budget_tokens, options.mmr_lambda)
