@@ -13,19 +13,16 @@ import unicodedata
 import zlib
 from functools import cached_property
 from itertools import chain
-from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from tessera.llm.common import cut, frugal, slices, text_bytes
 
-if TYPE_CHECKING:  # workers that only encode do without it
-    import pandas as pd
-
 CAPACITY, GROUP_PIECES, MEMO = 2048, 8192, 200_000
 #: Bytes of text that are encoded at once.
 ENCODED_BYTES = 1 << 19
@@ -320,14 +317,16 @@ def pack(rows: DataFrame, n_rows: int, capacity: int = CAPACITY, group_pieces: i
     """``rows`` (``n_rows`` pieces) with ``sequence_id`` and ``offset``; groups by a hash of the document and piece."""
     groups = max(1, -(-n_rows // group_pieces))
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        number = np.int64(group["grp"].iloc[0])
-        group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+    def work(group: pa.Table) -> pa.Table:
+        # Arrow keeps ids whole beside null ones, which pandas would turn to doubles.
+        order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+        group = group.take(pc.sort_indices(group, sort_keys=order))
         sequence, offset = best_two_fit(group["length"].to_numpy(), capacity)
-        return group.assign(sequence_id=(number << np.int64(32)) + sequence, offset=offset).drop(columns="grp")
+        number = np.int64(group["grp"][0].as_py()) << np.int64(32)
+        return group.drop_columns(["grp"]).append_column("sequence_id", pa.array(number + sequence)).append_column("offset", pa.array(offset))
 
     dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
-    return dealt.groupBy("grp").applyInPandas(work, SCHEMA)
+    return dealt.groupBy("grp").applyInArrow(work, SCHEMA)
 
 
 def packed(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:

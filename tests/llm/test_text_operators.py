@@ -86,6 +86,11 @@ def test_packing(odd_docs, no_docs):
     assert P.packed(no_docs, WORDS).count() == 0
 
 
+def test_large_ids_beside_null_ones(spark):
+    docs = spark.createDataFrame([(None, "one two"), (2**53 + 1, "three"), (2**63 - 1, "four"), (None, "one two")], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in P.packed(docs, WORDS).collect()) == sorted([str(2**53 + 1), str(2**63 - 1), "None", "None"])
+
+
 def test_word_encoder_against_the_library():
     import random
 
