@@ -62,23 +62,21 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes: a row for a document's words that are taken, another for those taken twice.
 
-    Runs of words are kept as they stand and joined by line feeds. Documents of which nothing is taken go.
+    Runs of words are kept as they stand and joined by line feeds. Documents of which nothing is taken go. A
+    document's words stay together, whichever shards its blocks were drawn for.
     """
-    sized = mixing.sized_documents(docs)
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size"))
-    sized = cut(sized.withColumn("copy", copy))
+    sized = cut(mixing.sized_documents(docs))
     plan = mixing.source_plan(sized)
     if not plan.sources:
         return docs
     blocks = mixing.mix_blocks(sized, plan, sized.count())
-    taken = blocks.groupBy(F.col("doc_id").alias("__of"), F.col("copy").alias("__of_copy")).agg(F.collect_list(F.struct("first", "last", "times")).alias("__blocks"))
-    size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0))
-    numbered = docs.withColumn("__copy", F.lit(1))
-    ids = sized.where("copy > 1").select("doc_id").distinct()
-    if not ids.isEmpty():  # rows that repeat an id are told apart as above
-        own = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "__size"))
-        numbered = docs.withColumn("__size", size).withColumn("__copy", own).drop("__size")
-    joined = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__copy") == F.col("__of_copy")))
+    item = F.struct("first", "last", F.size("places").alias("times"))
+    taken = blocks.groupBy(*(F.col(c).alias(f"__of_{c}") for c in mixing.ROW)).agg(F.collect_list(item).alias("__blocks"))
+    numbered = docs.withColumn("__key", F.xxhash64("text")).withColumn("__copy", F.lit(1))
+    if not sized.where("copy > 1").isEmpty():  # rows that repeat an id and a text are told apart as above
+        own = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy("source"))
+        numbered = numbered.withColumn("__copy", own)
+    joined = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("__of_doc_id")) & (F.col("__key") == F.col("__of_key")) & (F.col("__copy") == F.col("__of_copy")))
     names = docs.columns
 
     def run(batches):

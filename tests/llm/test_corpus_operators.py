@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from tessera.llm import jaccard as J
 from tessera.llm import mixing as X
-from tessera.llm import quality_model, quality_rules, toxicity
+from tessera.llm import quality_model, quality_rules, stages, toxicity
 from tessera.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -126,8 +126,11 @@ def test_targets():
     draws = X.shard_draws(np.array([10, 0, 37]), 5, 3)
     assert draws.sum(0).tolist() == [10, 0, 37]
     for m in (1, 2, 7, 64, 1000):
-        factor, shift = X.affine(m, 5, 1)
-        assert sorted((factor * k + shift) % m for k in range(m)) == list(range(m))
+        order = X.Permutation.of(m, 5, 1)
+        there = order.forward(np.arange(m))
+        assert sorted(there) == list(range(m)) and order.backward(there).tolist() == list(range(m))
+    steps = np.diff(X.Permutation.of(1 << 45, 5, 1).forward(np.arange(1000)))
+    assert len(set(steps.tolist())) == 999 and 300 < (steps > 0).sum() < 700
 
 
 def test_mixture(spark, odd_docs, no_docs):
@@ -146,6 +149,36 @@ def test_mixture(spark, odd_docs, no_docs):
     assert X.mixture(no_docs).count() == 0
 
 
+def test_every_word_has_a_shard_and_a_slot(spark):
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(7 + i % 40)), "abc"[i % 3]) for i in range(200)] + [(None, "x y z " * 30, "a"), (None, "p q r " * 30, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = X.sized_documents(docs)
+    plan = X.source_plan(sized)
+    drawing = [X.source_draw(s, t, 17_000 + i, 8) for i, (s, t) in enumerate(zip(plan.sizes, plan.targets, strict=True))]
+    for shards in (1, 7):
+        draws = X.shard_draws(np.array([d.slots for d in drawing]), shards, 17)
+        slots = X.drawn_slots(spark, drawing, 17, shards).collect()
+        found = np.zeros_like(draws)
+        for r in slots:
+            found[r.shard, r.number] += 1
+        assert (found == draws).all() and len({(r.number, r.slot) for r in slots}) == len(slots)
+        words = defaultdict(int)
+        for r in X.mix_blocks(sized, plan, len(rows), block_words=8, shards=shards).collect():
+            for place in r.places:
+                words[place.shard] += r.last - r.first
+        # A shard's slots are blocks of 8 words, but for each source's last block and last slot.
+        assert all(8 * (draws[k].sum() - 2 * len(plan.sources)) <= words[k] <= 8 * draws[k].sum() for k in range(shards))
+        out = X.mixture(docs, block_words=8, shards=shards).collect()
+        assert {s for r in out for s in r.shards} == set(range(shards)) and all(bool(r.shards) == (r.taken > 0) for r in out)
+
+
+def test_ids_with_several_texts_keep_their_own_words(spark):
+    rows = [(1, "a b c d", "s"), (1, "e f g h", "s"), (None, "i j k", "s"), (None, "l m n", "s"), (1, "a b c d", "s")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, source string, n_chars long")
+    one, two = (sorted(map(str, stages.mix_sources(spark, d, "").collect())) for d in (docs, docs.repartition(3, "text")))
+    assert one == two and len(one) >= 5
+
+
 def test_mixture_of_small_sources(spark):
     sizes = {"a": 16, "b": 33, "c": 70, "d": 5000, "e": 1, "f": 200, "g": 129, None: 10}
     rows, words = [], 0
@@ -170,8 +203,7 @@ def test_source_draw():
             d = X.source_draw(size, target, 3, 64)
             times = np.zeros(size, int)
             for k in range(d.slots):
-                factor, shift = d.turns[k // d.blocks]
-                block = (factor * (k % d.blocks) + shift) % d.blocks
+                block = int(d.turns[k // d.blocks].forward([k % d.blocks])[0])
                 times[64 * block : 64 * block + 64] += 1
             times[d.low : d.high] -= 1
             assert times.sum() == target and times.min() >= 0 and times.max() <= 2 and times.max() - times.min() <= 1
