@@ -46,3 +46,7 @@ PRF_FILES, PRF_TERMS = 3, 5
 HITS_PER_FILE = 2000
 # Bounds of what is asked: bytes of a question, characters of changed text and question together.
 QUESTION_BYTES, DIFF_TEXT = 16_000, 100_000
+# Bytes of a request to a model; a budget is a token for four of them at most.
+REQUEST_BYTES = 4_000_000
+# Milliseconds of all attempts at a reply, what is kept for each model still to come, and what an attempt has at least.
+TIMEOUT_MS, FALLBACK_MS, ATTEMPT_MS = 60_000, 20_000, 5_000

@@ -72,6 +72,11 @@ def plain_search_ranking(lines: DataFrame, terms: list[str], per_file: int = 20)
     return rows.groupBy("path").agg(F.bit_count(F.expr("bit_or(mask)")).alias("terms"), F.count(F.lit(1)).alias("lines"))
 
 
+def plain_order(ranked: DataFrame) -> DataFrame:
+    """``ranked`` (``path, terms, lines``) with ``file_rank``: more terms first, then more lines, then by path."""
+    return ranked.withColumn("file_rank", F.row_number().over(Window.orderBy(F.desc("terms"), F.desc("lines"), "path")))
+
+
 def interleave(hits: DataFrame, ranked: DataFrame) -> DataFrame:
     """``path, line_no, depth, file_rank``: the best hit of every ranked file (``path, file_rank``), then the second ones, and so on."""
     depth = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "line_no"))

@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.constants import BLOCK_LINES, BUDGET_TOKENS, CONTEXT_LINES, DIFF_TEXT, ENVELOPE_TOKENS, FLOOR_PERCENT, MAX_HITS, MMR_LAMBDA, QUESTION_BYTES
+from tessera.functions.constants import BLOCK_LINES, BUDGET_TOKENS, CONTEXT_LINES, DIFF_TEXT, ENVELOPE_TOKENS, FLOOR_PERCENT, MAX_HITS, MMR_LAMBDA, QUESTION_BYTES, REQUEST_BYTES
 from tessera.functions.text import estimate_tokens, is_binary, numbered_range
 from tessera.operators import assembly, chunks, definitions, dense, dense_index, feedback, lexical, scope, structure
 from tessera.sources.carriers import lines as lines_of
@@ -33,7 +33,7 @@ class Options:
     by_definition: bool = False
 
     def __post_init__(self) -> None:
-        if self.budget_tokens <= 0 or not 1 <= self.max_hits <= 5000 or self.context_lines > 500:
+        if not 0 < self.budget_tokens <= -(-REQUEST_BYTES // 4) or not 1 <= self.max_hits <= 5000 or self.context_lines > 500:
             raise ValueError("budget, hits or context lines out of bounds")
 
 
