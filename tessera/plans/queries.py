@@ -652,7 +652,7 @@ def all_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The queries over tables of questions use the pieces above, and register themselves.
-from tessera.plans import batch_queries, definition_queries, shape_queries  # noqa: E402, F401
+from tessera.plans import batch_queries, definition_queries, evidence_queries, shape_queries  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:
