@@ -161,11 +161,16 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def expand(data: bytes, compression: int) -> bytes:
+#: Bytes that a stored byte can stand for at most.
+MOST = {NONE: 1, PACKBITS: 64, DEFLATE: 1040, OLD_DEFLATE: 1040, LZW: 2800}
+
+
+def expand(data: bytes, compression: int, size: int) -> bytes:
+    """The bytes of a strip or tile, of which ``size`` are needed."""
     if compression == NONE:
         return data
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompressobj().decompress(data)
+        return zlib.decompressobj().decompress(data, max(size, 1))
     if compression == PACKBITS:
         return unpack_bits(data)
     if compression == LZW:
@@ -244,6 +249,9 @@ def read_page(data: bytes, tags: dict[int, list[int]], order: str, number: int)
         raise ValueError(f"{bits} bits a sample are not supported")
     planes = samples if one(PLANAR, 1) == 2 else 1
     per_part = samples // planes
+    listed = sum(tags.get(TILE_COUNTS) or tags.get(STRIP_COUNTS) or [len(data)])
+    if height * width * samples * bits // 8 > min(listed, len(data)) * MOST.get(compression, 1):
+        raise ValueError("the page is larger than its data can be")
     out = np.zeros((height, width, samples), f"u{bits // 8}")
     tiled = TILE_OFFSETS in tags
     if tiled:
@@ -253,8 +261,12 @@ def read_page(data: bytes, tags: dict[int, list[int]], order: str, number: int)
         rows, offsets = min(one(ROWS_PER_STRIP, height), height) or 1, tags[STRIP_OFFSETS]
         counts = tags.get(STRIP_COUNTS) or [len(data) - offsets[0]]
         parts = [(p, y, 0, min(rows, height - y), width) for p in range(planes) for y in range(0, height, rows)]
-    for (p, y, x, rows, wide), offset, count in zip(parts, offsets, counts, strict=False):
-        raw = expand(data[offset : offset + count], compression)
+    if not len(parts) == len(offsets) == len(counts):
+        raise ValueError(f"{len(parts)} strips or tiles are needed, {min(len(offsets), len(counts))} are listed")
+    for (p, y, x, rows, wide), offset, count in zip(parts, offsets, counts, strict=True):
+        if offset + count > len(data):
+            raise ValueError("a strip or tile lies beyond the end")
+        raw = expand(data[offset : offset + count], compression, rows * wide * per_part * bits // 8)
         got = undo_predictor(raw, rows, wide, per_part, bits, predictor, order)[: height - y, : width - x]
         lane = slice(p, p + 1) if planes > 1 else slice(None)
         out[y : y + got.shape[0], x : x + got.shape[1], lane] = got
@@ -344,7 +356,9 @@ def tiff_pages(files: DataFrame, id_column: str = "id", content_column: str = "c
     return picked.mapInArrow(frugal(run), PAGE_SCHEMA)
 
 
-ROW_BYTES = 64
+#: Samples of a row, and rows of a page; compressions by an eighth of the texts each.
+ROW_BYTES, PAGE_ROWS = 64, 1024
+CODECS = (LZW, PACKBITS, NONE, DEFLATE, DEFLATE, DEFLATE, DEFLATE, DEFLATE)
 MEDIA_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -353,30 +367,41 @@ def payload_of(text: bytes) -> bytes:
     return text.ljust(max(ROW_BYTES, -(-len(text) // ROW_BYTES) * ROW_BYTES), b"\0")
 
 
-def feature_of(page: Page) -> str:
-    """Size, mean, deviation and edge density of a page of 8-bit samples."""
-    pixels = np.frombuffer(page.data, np.uint8)
-    counts = np.bincount(pixels, minlength=256)
-    total, values = len(pixels), np.arange(256)
+def stored_form(payload: bytes) -> bytes:
+    """A TIFF of 64 samples a row and 1024 rows a page; what is in the payload says how it is compressed, in strips or tiles, with a predictor or without."""
+    dealt = zlib.crc32(payload)
+    compression = CODECS[dealt % len(CODECS)]
+    predictor = 1 + (dealt >> 3) % 2 if compression in (LZW, DEFLATE) else 1
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW_BYTES)
+    pages = [rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)]
+    return write_tiff(pages, compression, predictor, tile=(32, 32) if (dealt >> 4) % 4 == 0 else None)
+
+
+def feature_of(pages: list[Page]) -> str:
+    """Pages, size, mean, deviation and levels of pages of 8-bit samples."""
+    counts = sum(np.bincount(np.frombuffer(p.data, np.uint8), minlength=256) for p in pages)
+    total, values = int(counts.sum()), np.arange(256)
     mean = float(counts @ values) / total
     spread = max(0.0, float(counts @ (values * values)) / total - mean * mean) ** 0.5
-    return f"{page.width}x{page.height};mean={mean:.4f};sd={spread:.4f};levels={int((counts > 0).sum())};top={int(counts.argmax())}"
+    first = pages[0]
+    form = f"{len(pages)} pages;compression={first.compression};predictor={first.predictor};tiled={first.tiled}"
+    return f"{first.width}x{sum(p.height for p in pages)};{form};mean={mean:.4f};sd={spread:.4f};levels={int((counts > 0).sum())};top={int(counts.argmax())}"
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Every text stored as an 8-bit deflate TIFF, 64 samples a row, read back and described.
+    """Every text stored as an 8-bit TIFF, 64 samples a row, read back page by page and described.
 
-    A null or empty text is a page of one row of zeros. Equal texts give equal rows but for the id.
+    A null or empty text is a page of one row of zeros; a very long one has many pages. Equal texts give equal rows but
+    for the id; an empty table gives none.
     """
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for doc_id, text in zip(part.column("doc_id").to_pylist(), text_bytes(part.column("text")), strict=True):
-            payload = payload_of(text)
-            stored = write_tiff([np.frombuffer(payload, np.uint8).reshape(-1, ROW_BYTES)])
-            (page,) = read_pages(stored)
-            back = page.data
-            rows.append((doc_id, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW_BYTES:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(page)))
+            stored = stored_form(payload_of(text))
+            pages = list(read_pages(stored))
+            back = b"".join(p.data for p in pages)
+            rows.append((doc_id, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW_BYTES:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(pages)))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = [f.split()[0] for f in MEDIA_SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)

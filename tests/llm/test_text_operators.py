@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -65,6 +66,39 @@ def test_text_media(odd_docs, no_docs):
     assert M.text_media(no_docs).count() == 0
 
 
+def test_damaged_pages_are_errors(spark):
+    import struct
+
+    image = np.arange(24 * 80, dtype="u1").reshape(24, 80)
+
+    def changed(stored, tag, value, at=8):
+        entry = struct.pack("<H", tag)
+        (where,) = struct.unpack_from("<I", stored, 4)
+        (n,) = struct.unpack_from("<H", stored, where)
+        place = next(where + 2 + 12 * i for i in range(n) if stored[where + 2 + 12 * i :][:2] == entry)
+        return stored[: place + at] + struct.pack("<I", value) + stored[place + at + 4 :]
+
+    for compression in (M.NONE, M.DEFLATE, M.LZW, M.PACKBITS):
+        whole = M.write_tiff([image], compression, 1, 24)
+        three = M.write_tiff([image], compression, 1, 8)
+        files = [whole, changed(whole, M.LENGTH, 48), changed(whole, M.LENGTH, 1 << 31), changed(whole, M.STRIP_COUNTS, 1 << 30), changed(three, M.ROWS_PER_STRIP, 4), changed(whole, M.STRIP_OFFSETS, 1 << 30)]
+        rows = {r.id: r for r in M.tiff_pages(spark.createDataFrame(list(enumerate(files)), "id long, content binary")).collect()}
+        assert rows[0].error is None and bytes(rows[0].samples) == image.tobytes()
+        assert all(rows[i].error and rows[i].samples is None for i in range(1, len(files)))
+    assert M.tiff_pages(spark.createDataFrame([], "id long, content binary")).collect() == []
+
+
+def test_every_compression_is_among_the_texts(spark):
+    texts = ["", *("".join(chr(97 + (i * k + k // 7) % 26) * (1 + k % 5) for k in range(i * 37)) for i in range(60)), "x" * 200_000]
+    rows = M.text_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    forms = {re.search(r"compression=(\d+)", r.feature)[1] for r in rows}
+    assert forms == {str(c) for c in (M.NONE, M.LZW, M.PACKBITS, M.DEFLATE)}
+    assert {"tiled=True", "tiled=False"} <= {re.search(r"tiled=\w+", r.feature)[0] for r in rows} and any("4 pages" in r.feature for r in rows)
+    for r in rows:
+        payload = M.payload_of(texts[r.doc_id].encode())
+        assert (r.payload_bytes, r.payload_sha256, r.media_bytes) == (len(payload), hashlib.sha256(payload).hexdigest(), len(M.stored_form(payload)))
+
+
 def test_packing(odd_docs, no_docs):
     tokenizer = Tokenizer.from_file(WORDS)
     got = P.WordEncoder(WORDS).encode([t.encode() for t in ODD])
