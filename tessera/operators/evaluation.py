@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.constants import MAX_HITS
 from tessera.operators.lexical import mask_of
 
 
@@ -72,9 +73,11 @@ def plain_search_ranking(lines: DataFrame, terms: list[str], per_file: int = 20)
     return rows.groupBy("path").agg(F.bit_count(F.expr("bit_or(mask)")).alias("terms"), F.count(F.lit(1)).alias("lines"))
 
 
-def plain_order(ranked: DataFrame) -> DataFrame:
-    """``ranked`` (``path, terms, lines``) with ``file_rank``: more terms first, then more lines, then by path."""
-    return ranked.withColumn("file_rank", F.row_number().over(Window.orderBy(F.desc("terms"), F.desc("lines"), "path")))
+def plain_order(ranked: DataFrame, limit: int = MAX_HITS) -> DataFrame:
+    """The first ``limit`` of ``ranked`` (``path, terms, lines``) with ``file_rank``: more terms first, then more lines, then by path."""
+    order = (F.desc("terms"), F.desc("lines"), F.asc("path"))
+    head = ranked.orderBy(*order).limit(limit)
+    return head.withColumn("file_rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def interleave(hits: DataFrame, ranked: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import assembly, chunks, lexical
-from tessera.plans.queries import _SQL_TOKENS, FILES, LINES, TERMS, _sql_hits, _sql_search, query
+from tessera.operators import assembly, chunks, evaluation, lexical
+from tessera.plans.queries import _PLAIN, _SQL_TOKENS, FILES, LINES, TERMS, _sql_hits, _sql_search, query
 from tessera.sources import carriers
 
 _MARKED = "marked AS (SELECT path, line_no, CASE WHEN strlen(line) % 5 = 0 THEN '' WHEN strlen(line) % 5 = 1 THEN '  // ' || line WHEN strlen(line) % 5 = 2 THEN '    )' || line WHEN strlen(line) % 5 = 3 THEN ' {' ELSE '});' END AS line FROM lines)"
@@ -112,3 +112,12 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = assembly.evidence_documents(packed_rows(top_chunks(spark, sf_dir)), carriers.files(spark, sf_dir))
     told = F.array_join(F.transform("allowed_ranges", lambda r: F.concat(r["start_line"].cast("string"), F.lit("-"), r["end_line"].cast("string"))), ",")
     return rows.withColumn("ranges", told).drop("allowed_ranges")
+
+
+@query(
+    f"""WITH {FILES}, {LINES}, {_PLAIN}, c AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no) AS n FROM plain WHERE mask <> 0),
+f AS (SELECT path, bit_count(CAST(bit_or(mask) AS INTEGER)) AS terms, count(*) AS lines FROM c WHERE n <= 20 GROUP BY path)
+SELECT path, CAST(terms AS INTEGER) AS terms, lines, CAST(row_number() OVER (ORDER BY terms DESC, lines DESC, path) AS INTEGER) AS file_rank FROM f QUALIFY file_rank <= 200"""
+)
+def plain_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.plain_order(evaluation.plain_search_ranking(carriers.lines(carriers.files(spark, sf_dir)), TERMS.names))
