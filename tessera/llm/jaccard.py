@@ -408,18 +408,19 @@ def similar_sizes(one: str, other: str) -> Column:
 def pairs_across(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """All pairs (``a, b, c, one``) of different components that may be similar by the ``c`` n-grams of lists that they share.
 
-    Of two classes the one of the smaller component looks for the other. It shares all but ``spare`` of its n-grams
-    with whom it is similar to, so it looks into its ``spare`` + 1 shortest lists only.
+    A class shares all but ``spare`` of its n-grams with whom it is similar to, so the first one that the two share,
+    shortest lists first, is among the ``spare`` + 1 first of either; and behind it both have enough left.
     """
     spread = members.groupBy("label").agg(F.count_distinct("name").alias("classes"))
     length = members.groupBy("gram").agg(F.count(F.lit(1)).alias("length"))
     members = members.join(spread, "label")
-    place = F.row_number().over(Window.partitionBy("name").orderBy("length", "gram"))
-    spare = F.max("spare").over(Window.partitionBy("name"))
-    one = members.join(length, "gram").withColumn("__place", place).withColumn("__spare", spare).where(F.col("__place") <= F.col("__spare") + 1)
-    one = one.select("gram", F.col("name").alias("one"), F.col("n").alias("n1"), F.struct("classes", "label").alias("l1"))
-    two = members.select("gram", F.col("name").alias("two"), F.col("n").alias("n2"), F.struct("classes", "label").alias("l2"))
-    found = one.join(two, "gram").where((F.col("l1") < F.col("l2")) & similar_sizes("n1", "n2")).select("one", "two", "n1", "n2").distinct()
+    place, own = F.row_number().over(Window.partitionBy("name").orderBy("length", "gram")), Window.partitionBy("name")
+    first = members.join(length, "gram").withColumn("__place", place).withColumn("__spare", F.max("spare").over(own)).withColumn("__own", F.count(F.lit(1)).over(own))
+    first = first.where(F.col("__place") <= F.col("__spare") + 1)
+    behind, needed, component = F.col("__own") - F.col("__place") + 1, F.col("__own") - F.col("__spare"), F.struct("classes", "label")
+    side = lambda name, k: first.select("gram", F.col("name").alias(name), F.col("n").alias(f"n{k}"), component.alias(f"l{k}"), behind.alias(f"behind{k}"), needed.alias(f"needed{k}"))
+    enough = F.least("behind1", "behind2") >= F.greatest("needed1", "needed2")
+    found = side("one", 1).join(side("two", 2), "gram").where((F.col("l1") < F.col("l2")) & similar_sizes("n1", "n2") & enough).select("one", "two", "n1", "n2").distinct()
     lists = members.groupBy("name").agg(F.collect_set("gram").alias("grams"))
     found = found.join(lists.toDF("one", "g1"), "one").join(lists.toDF("two", "g2"), "two")
     found = found.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"), F.size(F.array_intersect("g1", "g2")).alias("long"), "one", "n1", "n2")
