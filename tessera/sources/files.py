@@ -60,12 +60,16 @@ def visible(path: Column, rules: Sequence[str] = ()) -> Column:
     return ~path.rlike(r"(^|/)\.") & ~ignored
 
 
-def untracked_changes(files: DataFrame, most_bytes: int = 64_000) -> DataFrame:
+def untracked_changes(files: DataFrame, most_bytes: int | None = 64_000) -> DataFrame:
     """``path, whole_file, start_line, end_line, text`` of files (``path, content``) that no commit has: changed as a whole.
 
-    Of the text the first ``most_bytes`` bytes are read; where these are no UTF-8, or end inside a character, it is empty.
+    Of the text the first ``most_bytes`` bytes are read; where these are no UTF-8, or end inside a character, or the
+    content is null, it is empty. Without a bound it is the whole text, and null stays null.
     """
-    text = F.coalesce(F.try_validate_utf8(F.substring("content", 1, most_bytes).cast("string")), F.lit(""))
+    head = F.col("content") if most_bytes is None else F.substring("content", 1, most_bytes)
+    text = F.coalesce(F.try_validate_utf8(head.cast("string")), F.lit(""))
+    if most_bytes is None:
+        text = F.when(F.col("content").isNotNull(), text)
     return files.select("path", F.lit(True).alias("whole_file"), F.lit(1).alias("start_line"), F.lit(2**31 - 1).alias("end_line"), text.alias("text"))
 
 

@@ -2,11 +2,13 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import shell_quoted
 from tessera.operators import assist, replies
+from tessera.plans.queries import ORACLES, QUERIES
 from tessera.sources import ignore
 from tessera.sources.files import untracked_changes
 
@@ -101,3 +103,15 @@ def test_texts_of_untracked_files(spark):
 @pytest.mark.parametrize("path, quoted", [("a/b-c.rs", "a/b-c.rs"), ("-x", "'-x'"), ("a b", "'a b'"), ("é.rs", "é.rs"), ("it's", "'it'\\''s'"), ("", "''")])
 def test_paths_for_a_shell(spark, path, quoted):
     assert spark.createDataFrame([(path,)], "p string").select(shell_quoted(F.col("p"))).first()[0] == quoted
+
+
+def test_all_changes_has_whole_texts(spark, tmp_path):
+    """Untracked texts over the bound that other callers have, one cut inside a character by it, and null."""
+    long = ["x" * 70_000, "ü" * 40_001, "a" + "ü" * 40_000, "", None]
+    rows = [(i, t, "en", f"src{i % 2 + 1}") for i, t in enumerate(long)] + [(9, "ü" * 40_001, "fr", "src3")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r[c] for c in ("path", "whole_file", "start_line", "end_line", "text")) for r in QUERIES["all_changes"](spark, str(tmp_path)).collect()]
+    want = con.execute(f"SELECT path, whole_file, start_line, end_line, text FROM ({ORACLES['all_changes']})").fetchall()
+    assert sorted(got, key=str) == sorted(want, key=str)
