@@ -44,6 +44,8 @@ SHORT_LIST = 6
 MORE_HUBS = (8, 4)
 #: Of the pairs across components that a class looks for, so many are compared before the others.
 FIRST_PAIRS = 8
+#: Words of 64 bits of a set's sketch.
+SKETCH_WORDS = 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -405,22 +407,44 @@ def similar_sizes(one: str, other: str) -> Column:
     return F.least(one, other) * 100 >= F.greatest(one, other) * PERCENT
 
 
-def pairs_across(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All pairs (``a, b, c, one``) of different components that may be similar by the ``c`` n-grams of lists that they share.
+def sketches(sets: DataFrame) -> DataFrame:
+    """``name, s0, s1, ...``: bits that each n-gram of the set turns over, so two sets differ in at least as many n-grams as their sketches in bits."""
+    names = [f"s{k}" for k in range(SKETCH_WORDS)]
 
-    A class shares all but ``spare`` of its n-grams with whom it is similar to, so the first one that the two share,
-    shortest lists first, is among the ``spare`` + 1 first of either; and behind it both have enough left.
+    def run(batches):
+        for batch in batches:
+            out = np.zeros((batch.num_rows, SKETCH_WORDS), np.uint64)
+            for row, piece in zip(out, batch.column("grams"), strict=True):
+                place = np.frombuffer(piece.as_buffer(), np.uint64) & np.uint64(64 * SKETCH_WORDS - 1)
+                odd = np.bincount(place.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+                row[:] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("name"), *(pa.array(out[:, k].view(np.int64)) for k in range(SKETCH_WORDS))], ["name", *names])
+
+    pieces = sets.select("name", "grams").mapInArrow(frugal(run), "name long, " + ", ".join(f"{s} long" for s in names))
+    return pieces.groupBy("name").agg(*[F.bit_xor(s).alias(s) for s in names])  # fragments have no n-gram in common
+
+
+def pairs_across(members: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs (``a, b, c, one``) of different components that may be similar by their sketches and the ``c`` n-grams of lists that they share.
+
+    A class shares all but ``spare`` of the n-grams of its lists with whom it is similar to. It has none in common in the
+    lists that are not among ``members``, which use up as many of these; so the first one that the two share,
+    shortest lists first, is among the first that are left over, and one more, of either; and behind it both have enough left.
     """
     spread = members.groupBy("label").agg(F.count_distinct("name").alias("classes"))
     length = members.groupBy("gram").agg(F.count(F.lit(1)).alias("length"))
     members = members.join(spread, "label")
     place, own = F.row_number().over(Window.partitionBy("name").orderBy("length", "gram")), Window.partitionBy("name")
-    first = members.join(length, "gram").withColumn("__place", place).withColumn("__spare", F.max("spare").over(own)).withColumn("__own", F.count(F.lit(1)).over(own))
-    first = first.where(F.col("__place") <= F.col("__spare") + 1)
+    first = members.join(length, "gram").withColumn("__place", place).withColumn("__own", F.count(F.lit(1)).over(own))
+    first = first.withColumn("__spare", F.max("spare").over(own) - (F.col("lists") - F.col("__own"))).where(F.col("__place") <= F.col("__spare") + 1)
+    first = first.join(sketches(sets.join(members.select("name").distinct(), "name", "left_semi")), "name")
     behind, needed, component = F.col("__own") - F.col("__place") + 1, F.col("__own") - F.col("__spare"), F.struct("classes", "label")
-    side = lambda name, k: first.select("gram", F.col("name").alias(name), F.col("n").alias(f"n{k}"), component.alias(f"l{k}"), behind.alias(f"behind{k}"), needed.alias(f"needed{k}"))
+    side = lambda name, k: first.select("gram", F.col("name").alias(name), F.col("n").alias(f"n{k}"), component.alias(f"l{k}"), behind.alias(f"behind{k}"), needed.alias(f"needed{k}"), *[F.col(f"s{w}").alias(f"s{w}_{k}") for w in range(SKETCH_WORDS)])
     enough = F.least("behind1", "behind2") >= F.greatest("needed1", "needed2")
-    found = side("one", 1).join(side("two", 2), "gram").where((F.col("l1") < F.col("l2")) & similar_sizes("n1", "n2") & enough).select("one", "two", "n1", "n2").distinct()
+    differ = sum((F.bit_count(F.col(f"s{w}_1").bitwiseXOR(F.col(f"s{w}_2"))) for w in range(SKETCH_WORDS)), F.lit(0))
+    both = F.col("n1") + F.col("n2")
+    alike = (100 + PERCENT) * (both - differ) >= 2 * PERCENT * both
+    found = side("one", 1).join(side("two", 2), "gram").where((F.col("l1") < F.col("l2")) & similar_sizes("n1", "n2") & enough & alike).select("one", "two", "n1", "n2").distinct()
     lists = members.groupBy("name").agg(F.collect_set("gram").alias("grams"))
     found = found.join(lists.toDF("one", "g1"), "one").join(lists.toDF("two", "g2"), "two")
     found = found.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"), F.size(F.array_intersect("g1", "g2")).alias("long"), "one", "n1", "n2")
@@ -463,7 +487,7 @@ def similar_classes(docs: DataFrame, sizes: DataFrame, total: int, seed: int = 0
         return labels
     # What is left: pairs of different components. First those that share most, then whatever is still needed.
     place = F.row_number().over(Window.partitionBy("one").orderBy(F.desc("c"), "a", "b"))
-    rest = cut(pairs_across(left, pairs).join(tested, ["a", "b"], "left_anti").withColumn("place", place))
+    rest = cut(pairs_across(left, pairs, sets).join(tested, ["a", "b"], "left_anti").withColumn("place", place))
     if rest.isEmpty():
         return labels
     links = cut(links.union(verified(rest.where(F.col("place") <= FIRST_PAIRS), sets, sizes)))

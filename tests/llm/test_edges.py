@@ -1,10 +1,11 @@
 """Empty tables through every stage, slices, clashing names, ids with two labels."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import folds, html_extract, media, quality_rules, suffix_dedup
+from tessera.llm import folds, html_extract, jaccard, media, quality_rules, suffix_dedup
 from tessera.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -43,3 +44,23 @@ def test_texts_beyond_a_slice(spark):
     assert removed == {1: (len(body), len(body)), 2: (len(body) + 2, len(body)), 3: (5, 0)}
     assert {r.doc_id: r.n_words for r in quality_rules.quality_rules(docs).collect()} == {1: 160_000, 2: 160_001, 3: 1}
     assert {r.doc_id: r.n_bytes for r in media.text_media(docs).collect()} == {1: len(body), 2: len(body) + 2, 3: 5}
+
+
+def test_join_across_components_leaves_out_what_only_shares_lists(spark):
+    """Thirty sets of 100 n-grams with the same 25 in their lists, of which one has a near copy: not all 465 pairs are made."""
+    rng = np.random.default_rng(5)
+    shared = rng.integers(1 << 63, size=25, dtype=np.uint64)
+    sets = {name: np.concatenate([shared, rng.integers(1 << 63, size=75, dtype=np.uint64)]) for name in range(30)}
+    sets[30] = np.concatenate([sets[7][:86], rng.integers(1 << 63, size=14, dtype=np.uint64)])  # 86 of 114
+    rows = [(name, f, np.sort(s)[f::2].tobytes()) for name, s in sets.items() for f in (0, 1)]
+    pieces = spark.createDataFrame(rows, "name long, fragment int, grams binary")
+    none = spark.createDataFrame([], "a long, b long, c long")
+
+    def found(lists, spare):
+        members = spark.createDataFrame([(int(g), name, 100, lists, spare, name) for name in sets for g in shared], "gram long, name long, n long, lists long, spare long, label long")
+        return [(r.a, r.b, r.c) for r in jaccard.pairs_across(members, none, pieces).collect()]
+
+    assert found(25, 24) == [(7, 30, 25)]
+    assert found(35, 34) == [(7, 30, 25)]
+    # Ten lists that are of one component use up ten of the n-grams that a class can do without.
+    assert found(35, 9) == []
