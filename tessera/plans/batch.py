@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_binary
-from tessera.operators import batch, chunks, evaluation, lexical
+from tessera.operators import batch, chunks, corpus, evaluation, lexical
 from tessera.plans.retrieve import Options, blocks_around
 from tessera.sources.carriers import lines as lines_of
 from tessera.sources.files import glob_filter
@@ -25,7 +25,8 @@ class Report(NamedTuple):
 def batch_ranked(files: DataFrame, questions: DataFrame, options: Options = Options(), posted: DataFrame | None = None) -> DataFrame:
     """``query_id, path, line_no, mask, score, position``: the top hits of every question."""
     wanted = files.where(glob_filter(F.col("path"), options.globs) & ~is_binary(F.col("path")))
-    found = batch.batch_search(wanted, lines_of(wanted), batch.question_terms(questions), posted)
+    terms = batch.question_terms(questions)
+    found = corpus.corpus_search(wanted, terms, options.max_hits) if posted is None else batch.batch_search(wanted, lines_of(wanted), terms, posted)
     return batch.batch_top(lexical.overfull_spread(found, options.max_hits, ("query_id", "path")), options.max_hits)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.terms import intrinsic_weights, query_terms, term_forms
 from tessera.functions.text import term_match
-from tessera.operators import batch, evaluation, lexical
+from tessera.operators import batch, corpus, evaluation, lexical
 from tessera.plans.batch import batch_ranked, evaluate_batch, retrieve_batch
 from tessera.plans.retrieve import Options, retrieve
 from tessera.sources import carriers
@@ -97,3 +97,23 @@ def test_expected_ranges_must_meet(spark):
     assert {r.k: r.hit_rate for r in report.hit_at_k.collect()} == {1: 0.0, 3: pytest.approx(0.666667), 5: pytest.approx(0.666667)}
     ranks = evaluation.first_ranks(results.withColumnRenamed("position", "rank").drop("start_line", "end_line"), expected)
     assert {r.query_id: r.rank for r in ranks.collect()} == {1: 1, 2: 3, 3: None}
+
+
+def test_hits_are_found_where_files_are_read(spark, files, questions, monkeypatch):
+    """Files of one path, lots of questions and small holds change nothing; and no hits are dealt out, as they are more than the corpus."""
+    monkeypatch.setattr(corpus, "LOT", 20)
+    monkeypatch.setattr(corpus, "HELD_ROWS", 3)
+    monkeypatch.setattr(corpus, "SLICE_TOKENS", 5)
+    more = files.select("path", (F.col("doc_id") + 50).alias("doc_id"), F.concat(F.lit("claims\nx\n"), "text").alias("text"), "bytes", "line_count").where("doc_id % 2 = 0")
+    none = files.limit(1).select("path", "doc_id", F.lit(None).cast("string").alias("text"), "bytes", "line_count")
+    both = files.union(more).union(none)
+    lines, terms = carriers.lines(both), batch.question_terms(questions)
+    table = lambda df, *c: sorted(tuple(r) for r in df.select("query_id", "path", "line_no", *c).collect())
+    for per_file in (1, 2000):
+        assert table(corpus.corpus_hits(both, terms, per_file), "mask") == table(batch.batch_hits(terms, batch.postings(lines), per_file), "mask")
+        want = batch.batch_search(both, lines, terms, hits_per_file=per_file).persist()
+        assert table(corpus.corpus_search(both, terms, per_file=per_file), "mask", "score") == table(want, "mask", "score")
+    for limit in (1, 3):
+        assert table(batch.batch_top(corpus.corpus_search(both, terms, limit), limit), "score", "position") == table(batch.batch_top(want, limit), "score", "position")
+    plan = corpus.corpus_search(files, terms)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
