@@ -53,14 +53,14 @@ def dense_topk(vectors: DataFrame, query: list[float], keep: int = DENSE_TOP) ->
 
 
 def embedded(blocks: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 32) -> DataFrame:
-    """``blocks`` (``path, start_line, end_line, text``) with vectors from ``embed``, some texts at a time."""
+    """``blocks`` (``path, start_line, end_line, text``) with vectors from ``embed``, some texts at a time: of no more are there Python objects at once."""
 
     def run(batches):
-        for part in batches:
-            texts, out = part.column("text").to_pylist(), []
-            for i in range(0, len(texts), batch):
-                out += embed(texts[i : i + batch])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.list_(pa.float32()))], [*part.schema.names, "embedding"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, batch):
+                part = whole.slice(i, batch)
+                vectors = pa.array(embed(part.column("text").to_pylist()), pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, vectors], [*part.schema.names, "embedding"])
 
     return blocks.mapInArrow(run, blocks.schema.simpleString()[7:-1].replace(":", " ") + ", embedding array<float>")
 
