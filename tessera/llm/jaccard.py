@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import cut, frugal, joined_bytes, map_texts, slices, text_bytes
+from tessera.llm.common import cut, few_tasks, frugal, joined_bytes, map_texts, slices, text_bytes
 from tessera.llm.components import components
 from tessera.llm.membership import bitmap, maybe
 
@@ -342,30 +342,30 @@ def open_to_links(members: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def fetched_sets(docs: DataFrame, names: DataFrame, seed: int = 0) -> DataFrame:
-    """``name, fragment, grams``: the sets of the classes (``name, id``: one document of each), by fragment."""
+    """``name, fragment, n, grams``: the sets of the classes (``name, id``: one document of each), by fragment, with the size of the whole."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         sets = gram_sets(text_bytes(part.column("text")))
         for doc_id, name, s in zip(part.column("doc_id").to_pylist(), fingerprints(sets, seed)[0].tolist(), sets, strict=True):
             if len(s):
                 cuts = np.searchsorted(s, [np.uint64((1 << 64) // FRAGMENTS * f) for f in range(1, FRAGMENTS)])
                 for f, piece in enumerate(np.split(s, cuts)):
-                    for column, value in zip(out, (doc_id, name, f, piece.tobytes()), strict=True):
+                    for column, value in zip(out, (doc_id, name, f, len(s), piece.tobytes()), strict=True):
                         column.append(value)
         if not out[0]:
             return None
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "name", "fragment", "grams"])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "name", "fragment", "n", "grams"])
 
     wanted = maybe(docs.select("doc_id", "text"), "doc_id", bitmap(names.select(F.col("id").alias("doc_id")), "doc_id")).where("__maybe")
-    got = map_texts(wanted.select("doc_id", "text"), work, "doc_id long, name long, fragment int, grams binary")
+    got = map_texts(wanted.select("doc_id", "text"), work, "doc_id long, name long, fragment int, n long, grams binary")
     got = got.join(names.select("name", F.col("id").alias("of")), "name").where(F.col("doc_id").eqNullSafe(F.col("of")))
-    return got.groupBy("name", "fragment").agg(F.first("grams").alias("grams"))  # rows that repeat an id
+    return got.groupBy("name", "fragment").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))  # rows that repeat an id
 
 
-def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs (``a, b``) whose summed fragment overlaps make them similar enough."""
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (``a, b``, a table) whose summed fragment overlaps make them similar enough."""
 
     def overlap(batches):
         for batch in batches:
@@ -375,14 +375,13 @@ def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
                 both = np.concatenate([np.frombuffer(x[i].as_buffer(), np.uint64) for x in (one, other)])
                 both.sort()
                 n.append(int((both[1:] == both[:-1]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64())], ["a", "b", "shared"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n"), pa.array(n, pa.int64())], ["a", "b", "n", "shared"])
 
-    left = pairs.select("a", "b").join(sets.select(F.col("name").alias("b"), "fragment", F.col("grams").alias("gb")), "b")
-    both = left.join(sets.select(F.col("name").alias("a"), "fragment", F.col("grams").alias("ga")), ["a", "fragment"])
-    summed = both.select("a", "b", "ga", "gb").mapInArrow(frugal(overlap), "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    na = sizes.select(F.col("name").alias("a"), F.col("n").alias("na"))
-    nb = sizes.select(F.col("name").alias("b"), F.col("n").alias("nb"))
-    return summed.join(na, "a").join(nb, "b").where(100 * F.col("shared") >= PERCENT * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    side = lambda k: sets.select(F.col("name").alias(k), "fragment", F.col("n").alias(f"n{k}"), F.col("grams").alias(f"g{k}"))
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), ["a", "fragment"])
+    summed = both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "ga", "gb").mapInArrow(frugal(overlap), "a long, b long, n long, shared long")
+    summed = summed.groupBy("a", "b").agg(F.first("n").alias("n"), F.sum("shared").alias("shared"))
+    return few_tasks(summed.where(100 * F.col("shared") >= PERCENT * (F.col("n") - F.col("shared"))).select("a", "b"), pairs.count())
 
 
 def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -458,6 +457,14 @@ def of_several(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb")
 
 
+def joined_links(links: DataFrame, more: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links with those found since, and the components; these are looked for only where a link joins two."""
+    if of_several(more, labels).isEmpty():
+        return links, labels
+    links = links.union(more)
+    return links, components(links)
+
+
 def similar_classes(docs: DataFrame, sizes: DataFrame, total: int, seed: int = 0) -> DataFrame:
     """``node, label``: the components of the classes that are linked with another class."""
     order = common_order(docs, total, seed)
@@ -468,20 +475,19 @@ def similar_classes(docs: DataFrame, sizes: DataFrame, total: int, seed: int = 0
     weights = members.groupBy("name").agg(F.count(F.lit(1)).alias("lists")).join(most, "name", "left")
     weights = cut(weights.select("name", "lists", (F.col("lists") + F.coalesce("c", F.lit(0))).alias("shared")))
     members = cut(open_to_links(members, weights))
-    short = possible(pairs, sizes, weights).select("a", "b")
     hubs = hub_pairs(labelled(members, None), 1, 1).join(pairs, ["a", "b"], "left").select("a", "b", F.coalesce("c", F.lit(0)).alias("c"))
-    tested = cut(short.union(possible(hubs, sizes, weights).select("a", "b")).distinct())
+    tested = cut(possible(pairs.select("a", "b", "c").union(hubs), sizes, weights).select("a", "b").distinct())
     names = tested.select(F.explode(F.array("a", "b")).alias("name")).union(members.select("name")).distinct()
     sets = cut(fetched_sets(docs, cut(names.join(sizes.select("name", "id"), "name")), seed))
-    links = cut(verified(tested, sets, sizes))
+    links = cut(verified(tested, sets))
     labels = components(links)
     # Those that are not linked with the first hub of a list may be with others.
     left = labelled(members, labels)
     if left.isEmpty():
         return labels
     fresh = cut(hub_pairs(left, *MORE_HUBS).join(tested, ["a", "b"], "left_anti"))
-    tested, links = tested.union(fresh), cut(links.union(verified(fresh, sets, sizes)))
-    labels = components(links)
+    tested, more = tested.union(fresh), cut(verified(fresh, sets))
+    links, labels = joined_links(links, more, labels)
     left = cut(labelled(members, labels))
     if left.isEmpty():
         return labels
@@ -490,12 +496,11 @@ def similar_classes(docs: DataFrame, sizes: DataFrame, total: int, seed: int = 0
     rest = cut(pairs_across(left, pairs, sets).join(tested, ["a", "b"], "left_anti").withColumn("place", place))
     if rest.isEmpty():
         return labels
-    links = cut(links.union(verified(rest.where(F.col("place") <= FIRST_PAIRS), sets, sizes)))
-    labels = components(links)
+    links, labels = joined_links(links, cut(verified(rest.where(F.col("place") <= FIRST_PAIRS), sets)), labels)
     rest = cut(of_several(rest.where(F.col("place") > FIRST_PAIRS).select("a", "b"), labels))
     if rest.isEmpty():
         return labels
-    return components(cut(links.union(verified(rest, sets, sizes))))
+    return joined_links(links, cut(verified(rest, sets)), labels)[1]
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import folds, html_extract, jaccard, media, quality_rules, suffix_dedup
+from tessera.llm import common, folds, html_extract, jaccard, media, quality_rules, suffix_dedup
 from tessera.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -64,3 +64,31 @@ def test_join_across_components_leaves_out_what_only_shares_lists(spark):
     assert found(35, 34) == [(7, 30, 25)]
     # Ten lists that are of one component use up ten of the n-grams that a class can do without.
     assert found(35, 9) == []
+
+
+@pytest.mark.parametrize("n", [300])
+def test_components_write_small_tables_in_few_files(spark, monkeypatch, n):
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(i, i + 1) for i in range(n) if i % 10 != 9], "a long, b long")
+        got = components(edges)
+        assert len(got.inputFiles()) <= 12
+        assert {r["node"]: r["label"] for r in got.collect()} == {i: i // 10 * 10 for i in range(n)}
+        monkeypatch.setattr(common, "TASK_ROWS", 20)  # a greater table has more tasks
+        assert 12 < len(components(edges).inputFiles()) <= 30
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_links_inside_components_change_nothing(spark):
+    of = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    links = of([(1, 2), (2, 3), (7, 8)])
+    labels = components(links)
+    assert jaccard.joined_links(links, of([(1, 3), (8, 7)]), labels) == (links, labels)
+    for more, expected in (((3, 8), {1: 1, 2: 1, 3: 1, 7: 1, 8: 1}), ((4, 5), {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 4: 4, 5: 4}), ((3, 0), {0: 0, 1: 0, 2: 0, 3: 0, 7: 7, 8: 7})):
+        got = jaccard.joined_links(links, of([more]), labels)[1]
+        assert {r["node"]: r["label"] for r in got.collect()} == expected
