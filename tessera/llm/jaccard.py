@@ -438,7 +438,9 @@ def pairs_across(members: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataF
     first = first.withColumn("__spare", F.max("spare").over(own) - (F.col("lists") - F.col("__own"))).where(F.col("__place") <= F.col("__spare") + 1)
     first = first.join(sketches(sets.join(members.select("name").distinct(), "name", "left_semi")), "name")
     behind, needed, component = F.col("__own") - F.col("__place") + 1, F.col("__own") - F.col("__spare"), F.struct("classes", "label")
-    side = lambda name, k: first.select("gram", F.col("name").alias(name), F.col("n").alias(f"n{k}"), component.alias(f"l{k}"), behind.alias(f"behind{k}"), needed.alias(f"needed{k}"), *[F.col(f"s{w}").alias(f"s{w}_{k}") for w in range(SKETCH_WORDS)])
+    words = [f"s{w}" for w in range(SKETCH_WORDS)]
+    first = cut(first.select("gram", "name", "n", component.alias("l"), behind.alias("behind"), needed.alias("needed"), *words))  # both sides of the join read it
+    side = lambda name, k: first.select("gram", F.col("name").alias(name), *[F.col(c).alias(f"{c}{k}") for c in ("n", "l", "behind", "needed")], *[F.col(s).alias(f"{s}_{k}") for s in words])
     enough = F.least("behind1", "behind2") >= F.greatest("needed1", "needed2")
     differ = sum((F.bit_count(F.col(f"s{w}_1").bitwiseXOR(F.col(f"s{w}_2"))) for w in range(SKETCH_WORDS)), F.lit(0))
     both = F.col("n1") + F.col("n2")
