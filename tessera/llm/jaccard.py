@@ -342,7 +342,7 @@ def open_to_links(members: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def fetched_sets(docs: DataFrame, names: DataFrame, seed: int = 0) -> DataFrame:
-    """``name, fragment, n, grams``: the sets of the classes (``name, id``: one document of each), by fragment, with the size of the whole."""
+    """``name, fragment, n, grams``: the sets of the classes (``name, id``, a table: one document of each), and of few others, by fragment, with the size of the whole."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch | None:
         out: list[list] = [[], [], [], [], []]
@@ -360,8 +360,14 @@ def fetched_sets(docs: DataFrame, names: DataFrame, seed: int = 0) -> DataFrame:
 
     wanted = maybe(docs.select("doc_id", "text"), "doc_id", bitmap(names.select(F.col("id").alias("doc_id")), "doc_id")).where("__maybe")
     got = map_texts(wanted.select("doc_id", "text"), work, "doc_id long, name long, fragment int, n long, grams binary")
-    got = got.join(names.select("name", F.col("id").alias("of")), "name").where(F.col("doc_id").eqNullSafe(F.col("of")))
-    return got.groupBy("name", "fragment").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))  # rows that repeat an id
+    # Documents of one class have one set, so it may come from any of them; few others get past both bitmaps.
+    got = named(got, names)
+    return got.groupBy("name", "fragment").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+
+
+def named(sets: DataFrame, classes: DataFrame, key: str = "name") -> DataFrame:
+    """The sets that the classes (a table) may need: the others are left where they are, an exact join deals out the rest."""
+    return maybe(sets, "name", bitmap(classes.select(F.col(key).alias("name")), "name")).where("__maybe").drop("__maybe")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -377,7 +383,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 n.append(int((both[1:] == both[:-1]).sum()))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n"), pa.array(n, pa.int64())], ["a", "b", "n", "shared"])
 
-    side = lambda k: sets.select(F.col("name").alias(k), "fragment", F.col("n").alias(f"n{k}"), F.col("grams").alias(f"g{k}"))
+    side = lambda k: named(sets, pairs, k).select(F.col("name").alias(k), "fragment", F.col("n").alias(f"n{k}"), F.col("grams").alias(f"g{k}"))
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), ["a", "fragment"])
     summed = both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "ga", "gb").mapInArrow(frugal(overlap), "a long, b long, n long, shared long")
     summed = summed.groupBy("a", "b").agg(F.first("n").alias("n"), F.sum("shared").alias("shared"))
@@ -426,17 +432,18 @@ def sketches(sets: DataFrame) -> DataFrame:
 def pairs_across(members: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs (``a, b, c, one``) of different components that may be similar by their sketches and the ``c`` n-grams of lists that they share.
 
-    A class shares all but ``spare`` of the n-grams of its lists with whom it is similar to. It has none in common in the
+    ``members`` is a table. A class shares all but ``spare`` of the n-grams of its lists with whom it is similar to. It has none in common in the
     lists that are not among ``members``, which use up as many of these; so the first one that the two share,
     shortest lists first, is among the first that are left over, and one more, of either; and behind it both have enough left.
     """
+    needed_sets = named(sets, members)
     spread = members.groupBy("label").agg(F.count_distinct("name").alias("classes"))
     length = members.groupBy("gram").agg(F.count(F.lit(1)).alias("length"))
     members = members.join(spread, "label")
     place, own = F.row_number().over(Window.partitionBy("name").orderBy("length", "gram")), Window.partitionBy("name")
     first = members.join(length, "gram").withColumn("__place", place).withColumn("__own", F.count(F.lit(1)).over(own))
     first = first.withColumn("__spare", F.max("spare").over(own) - (F.col("lists") - F.col("__own"))).where(F.col("__place") <= F.col("__spare") + 1)
-    first = first.join(sketches(sets.join(members.select("name").distinct(), "name", "left_semi")), "name")
+    first = first.join(sketches(needed_sets.join(members.select("name").distinct(), "name", "left_semi")), "name")
     behind, needed, component = F.col("__own") - F.col("__place") + 1, F.col("__own") - F.col("__spare"), F.struct("classes", "label")
     words = [f"s{w}" for w in range(SKETCH_WORDS)]
     first = cut(first.select("gram", "name", "n", component.alias("l"), behind.alias("behind"), needed.alias("needed"), *words))  # both sides of the join read it

@@ -92,3 +92,23 @@ def test_links_inside_components_change_nothing(spark):
     for more, expected in (((3, 8), {1: 1, 2: 1, 3: 1, 7: 1, 8: 1}), ((4, 5), {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 4: 4, 5: 4}), ((3, 0), {0: 0, 1: 0, 2: 0, 3: 0, 7: 7, 8: 7})):
         got = jaccard.joined_links(links, of([more]), labels)[1]
         assert {r["node"]: r["label"] for r in got.collect()} == expected
+
+
+def test_only_sets_that_pairs_need_are_dealt_out(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(2000)]
+    texts += [t + " more" for t in texts[:3]] + texts[:3]  # near copies and copies
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scanned = common.cut(jaccard.scan(docs))
+    classes = scanned.groupBy("name").agg({"id": "min"}).toDF("name", "id").localCheckpoint()
+    sets = common.cut(jaccard.fetched_sets(docs, classes))
+    assert sets.count() == sets.select("name", "fragment").distinct().count() == jaccard.FRAGMENTS * 2003
+    name = {r.id: r.name for r in scanned.collect()}
+    links = [tuple(sorted((name[i], name[2000 + i]))) for i in range(3)]
+    pairs = common.cut(spark.createDataFrame([*links, tuple(sorted((name[5], name[6])))], "a long, b long"))
+    for key in ("a", "b"):
+        dealt = {r.name for r in jaccard.named(sets, pairs, key).select("name").collect()}
+        assert {r[key] for r in pairs.collect()} <= dealt and len(dealt) < 100
+    assert sorted((r.a, r.b) for r in jaccard.verified(pairs, sets).collect()) == sorted(links)
+    few = common.cut(classes.where("id < 50"))
+    got = {r.name for r in jaccard.fetched_sets(docs, few).collect()}
+    assert {name[i] for i in range(50)} <= got and len(got) < 200
