@@ -326,14 +326,14 @@ def possible(pairs: DataFrame, sizes: DataFrame, weights: DataFrame) -> DataFram
     return pairs.where(may_be_similar(F.col("c") + F.least("ma", "mb"), F.col("na"), F.col("nb"))).select("a", "b", "c")
 
 
-def open_to_links(members: DataFrame, weights: DataFrame) -> DataFrame:
+def open_to_links(members: DataFrame, weights: DataFrame, most: int) -> DataFrame:
     """The members (``gram, name, n, lists, spare``) that may be similar to another class of the list, by the same bound.
 
     What a set can share with another is least short of what it needs where their sizes differ most, so the
     smallest and the largest size of the list decide. ``spare`` is how many of the n-grams that its prefix shares
-    with any class it can do without.
+    with any class it can do without. There are at most ``most`` members.
     """
-    span = members.groupBy("gram").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    span = few_tasks(members.groupBy("gram").agg(F.min("n").alias("low"), F.max("n").alias("high")), most)
     rows = members.join(weights, "name").join(span, "gram")
     low, high = F.greatest("low", F.ceil(F.col("n") * PERCENT / 100)), F.least("high", F.floor(F.col("n") * 100 / PERCENT))
     rest = lambda other: F.greatest(F.ceil(F.col("n") * PERCENT / 100), F.ceil(other * PERCENT / 100))
@@ -365,9 +365,9 @@ def fetched_sets(docs: DataFrame, names: DataFrame, seed: int = 0) -> DataFrame:
     return got.groupBy("name", "fragment").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
 
 
-def named(sets: DataFrame, classes: DataFrame, key: str = "name") -> DataFrame:
+def named(sets: DataFrame, classes: DataFrame, key: str = "name", count: int | None = None) -> DataFrame:
     """The sets that the classes (a table) may need: the others are left where they are, an exact join deals out the rest."""
-    return maybe(sets, "name", bitmap(classes.select(F.col(key).alias("name")), "name")).where("__maybe").drop("__maybe")
+    return maybe(sets, "name", bitmap(classes.select(F.col(key).alias("name")), "name", count)).where("__maybe").drop("__maybe")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -383,29 +383,35 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 n.append(int((both[1:] == both[:-1]).sum()))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n"), pa.array(n, pa.int64())], ["a", "b", "n", "shared"])
 
-    side = lambda k: named(sets, pairs, k).select(F.col("name").alias(k), "fragment", F.col("n").alias(f"n{k}"), F.col("grams").alias(f"g{k}"))
+    most = pairs.count()
+    side = lambda k: named(sets, pairs, k, most).select(F.col("name").alias(k), "fragment", F.col("n").alias(f"n{k}"), F.col("grams").alias(f"g{k}"))
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), ["a", "fragment"])
     summed = both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "ga", "gb").mapInArrow(frugal(overlap), "a long, b long, n long, shared long")
     summed = summed.groupBy("a", "b").agg(F.first("n").alias("n"), F.sum("shared").alias("shared"))
-    return few_tasks(summed.where(100 * F.col("shared") >= PERCENT * (F.col("n") - F.col("shared"))).select("a", "b"), pairs.count())
+    return few_tasks(summed.where(100 * F.col("shared") >= PERCENT * (F.col("n") - F.col("shared"))).select("a", "b"), most)
 
 
-def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The members of lists whose classes are of several components, with their ``label``."""
+def labelled(members: DataFrame, labels: DataFrame | None, most: int) -> DataFrame:
+    """The members (at most ``most``) of lists whose classes are of several components, with their ``label``."""
     if labels is None:
         return members.withColumn("label", F.col("name"))
     rows = members.join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("label", F.coalesce("label", "name"))
     several = rows.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
-    return rows.join(several, "gram")
+    return rows.join(few_tasks(several, most), "gram")
 
 
-def hub_pairs(members: DataFrame, per_list: int, per_class: int) -> DataFrame:
-    """For each class its pairs (``a, b``) with the ``per_class`` hubs that it meets in most lists: of a list, the ``per_list`` classes that are in most lists."""
+def hub_pairs(members: DataFrame, per_list: int, per_class: int, most: int) -> DataFrame:
+    """For each class its pairs (``a, b``) with the ``per_class`` hubs that it meets in most lists: of a list, the ``per_list`` classes that are in most lists.
+
+    There are at most ``most`` members, each of which meets ``per_list`` hubs.
+    """
     top = F.row_number().over(Window.partitionBy("gram").orderBy(F.desc("lists"), "name"))
     hubs = members.withColumn("__top", top).where(F.col("__top") <= per_list).select("gram", F.col("name").alias("hub"), F.col("n").alias("hn"), F.col("label").alias("hl"))
-    met = members.join(hubs, "gram").where((F.col("label") != F.col("hl")) & similar_sizes("n", "hn")).groupBy("name", "hub").agg(F.count(F.lit(1)).alias("c"))
+    met = few_tasks(members.join(hubs, "gram").where((F.col("label") != F.col("hl")) & similar_sizes("n", "hn")), most * per_list)
+    met = few_tasks(met.groupBy("name", "hub").agg(F.count(F.lit(1)).alias("c")), most * per_list)
     best = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("c"), "hub"))
-    return met.withColumn("__best", best).where(F.col("__best") <= per_class).select(F.least("name", "hub").alias("a"), F.greatest("name", "hub").alias("b")).distinct()
+    kept = few_tasks(met.withColumn("__best", best).where(F.col("__best") <= per_class), most * per_list)
+    return kept.select(F.least("name", "hub").alias("a"), F.greatest("name", "hub").alias("b")).distinct()
 
 
 def similar_sizes(one: str, other: str) -> Column:
@@ -436,12 +442,13 @@ def pairs_across(members: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataF
     lists that are not among ``members``, which use up as many of these; so the first one that the two share,
     shortest lists first, is among the first that are left over, and one more, of either; and behind it both have enough left.
     """
-    needed_sets = named(sets, members)
-    spread = members.groupBy("label").agg(F.count_distinct("name").alias("classes"))
-    length = members.groupBy("gram").agg(F.count(F.lit(1)).alias("length"))
+    most = members.count()
+    needed_sets = named(sets, members, count=most)
+    spread = few_tasks(few_tasks(members.select("label", "name").distinct(), most).groupBy("label").agg(F.count(F.lit(1)).alias("classes")), most)
+    length = few_tasks(members.groupBy("gram").agg(F.count(F.lit(1)).alias("length")), most)
     members = members.join(spread, "label")
     place, own = F.row_number().over(Window.partitionBy("name").orderBy("length", "gram")), Window.partitionBy("name")
-    first = members.join(length, "gram").withColumn("__place", place).withColumn("__own", F.count(F.lit(1)).over(own))
+    first = few_tasks(members.join(length, "gram"), most).withColumn("__place", place).withColumn("__own", F.count(F.lit(1)).over(own))
     first = first.withColumn("__spare", F.max("spare").over(own) - (F.col("lists") - F.col("__own"))).where(F.col("__place") <= F.col("__spare") + 1)
     first = first.join(sketches(needed_sets.join(members.select("name").distinct(), "name", "left_semi")), "name")
     behind, needed, component = F.col("__own") - F.col("__place") + 1, F.col("__own") - F.col("__spare"), F.struct("classes", "label")
@@ -478,26 +485,28 @@ def similar_classes(docs: DataFrame, sizes: DataFrame, total: int, seed: int = 0
     """``node, label``: the components of the classes that are linked with another class."""
     order = common_order(docs, total, seed)
     found = cut(pairs_and_members(postings(docs, order, seed), order))
-    pairs = cut(found.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c")))
+    most = found.count()
+    pairs = cut(few_tasks(found.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c")), most))
     members = found.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("name"), F.col("c").alias("n"))
-    most = pairs.select(F.explode(F.array("a", "b")).alias("name"), "c").groupBy("name").agg(F.max("c").alias("c"))
-    weights = members.groupBy("name").agg(F.count(F.lit(1)).alias("lists")).join(most, "name", "left")
-    weights = cut(weights.select("name", "lists", (F.col("lists") + F.coalesce("c", F.lit(0))).alias("shared")))
-    members = cut(open_to_links(members, weights))
-    hubs = hub_pairs(labelled(members, None), 1, 1).join(pairs, ["a", "b"], "left").select("a", "b", F.coalesce("c", F.lit(0)).alias("c"))
-    tested = cut(possible(pairs.select("a", "b", "c").union(hubs), sizes, weights).select("a", "b").distinct())
+    highest = pairs.select(F.explode(F.array("a", "b")).alias("name"), "c").groupBy("name").agg(F.max("c").alias("c"))
+    weights = members.groupBy("name").agg(F.count(F.lit(1)).alias("lists")).join(highest, "name", "left")
+    weights = cut(few_tasks(weights.select("name", "lists", (F.col("lists") + F.coalesce("c", F.lit(0))).alias("shared")), most))
+    members = cut(few_tasks(open_to_links(members, weights, most), most))
+    listed = members.count()
+    hubs = hub_pairs(labelled(members, None, listed), 1, 1, listed).join(pairs, ["a", "b"], "left").select("a", "b", F.coalesce("c", F.lit(0)).alias("c"))
+    tested = cut(few_tasks(possible(pairs.select("a", "b", "c").union(hubs), sizes, weights).select("a", "b").distinct(), most + listed))
     names = tested.select(F.explode(F.array("a", "b")).alias("name")).union(members.select("name")).distinct()
     sets = cut(fetched_sets(docs, cut(names.join(sizes.select("name", "id"), "name")), seed))
     links = cut(verified(tested, sets))
     labels = components(links)
     # Those that are not linked with the first hub of a list may be with others.
-    left = labelled(members, labels)
+    left = labelled(members, labels, listed)
     if left.isEmpty():
         return labels
-    fresh = cut(hub_pairs(left, *MORE_HUBS).join(tested, ["a", "b"], "left_anti"))
+    fresh = cut(few_tasks(hub_pairs(left, *MORE_HUBS, listed).join(tested, ["a", "b"], "left_anti"), listed * MORE_HUBS[1]))
     tested, more = tested.union(fresh), cut(verified(fresh, sets))
     links, labels = joined_links(links, more, labels)
-    left = cut(labelled(members, labels))
+    left = cut(few_tasks(labelled(members, labels, listed), listed))
     if left.isEmpty():
         return labels
     # What is left: pairs of different components. First those that share most, then whatever is still needed.

@@ -12,6 +12,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import few_tasks
+
 WORDS = 1 << 20
 
 
@@ -28,10 +30,11 @@ def _bit(key: str) -> Column:
     return F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({key}), 20), 64) as int))")
 
 
-def bitmap(keys: DataFrame, key: str) -> Bitmap:
-    """Of the keys, which are counted first: give a table, not a long plan."""
-    words = min(WORDS, max(1 << 10, 1 << int(keys.count() // 8).bit_length()))
-    return Bitmap(keys.groupBy(_word(key, words).alias("__word")).agg(F.bit_or(_bit(key)).alias("__bits")), words)
+def bitmap(keys: DataFrame, key: str, count: int | None = None) -> Bitmap:
+    """Of the keys, which are counted first where ``count`` does not tell how many they are: give a table, not a long plan."""
+    count = keys.count() if count is None else count
+    words = min(WORDS, max(1 << 10, 1 << int(count // 8).bit_length()))
+    return Bitmap(few_tasks(keys.groupBy(_word(key, words).alias("__word")).agg(F.bit_or(_bit(key)).alias("__bits")), count), words)
 
 
 def maybe(rows: DataFrame, key: str, bits: Bitmap) -> DataFrame:

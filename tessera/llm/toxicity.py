@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import joined_bytes, map_texts, small_table, text_bytes
+from tessera.llm.common import frugal, joined_bytes, map_texts, small_table, text_bytes
 from tessera.llm.folds import class_totals, fold, labelled_sample
 
 BITS, DIMENSIONS, SEGMENT, GRAMS = 18, 8, 8, (3, 4, 5, 6, 7)
@@ -222,7 +222,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: i
     """A model from at most ``per_class[c]`` training documents of class c, none of the held-out fold.
 
     Documents are learned from whole, whatever their length; those of a class have at most half of ``sample_bytes``
-    together, taken in the order of their ids' hash, and one that no longer fits is left out.
+    together, taken in the order of their ids' hash, and one that no longer fits is left out. One task trains on
+    the sample, which has this bound however large the tables; the driver gets the model.
     """
     training = fold(folds) != held_out
     sample = labelled_sample(labels, "toxic", training, per_class)
@@ -237,8 +238,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: i
     if len(chosen) < len(sizes):
         ids = small_table(docs.sparkSession, [(i,) for i in chosen], doc_id=pa.int64())
         picked = picked.join(F.broadcast(ids), "doc_id")
-    rows = sorted((r["doc_id"], r["label"], r["text"] or "") for r in picked.collect())
-    return train([r[2].encode() for r in rows], np.array([r[1] for r in rows], dtype=np.int64), class_totals(labels, "toxic", training))
+    totals = class_totals(labels, "toxic", training)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(), text_bytes(b.column("text")), strict=True))
+        model = train([r[2] for r in rows], np.array([r[1] for r in rows], dtype=np.int64), totals)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.slopes.tolist()], pa.list_(pa.float64())), pa.array([model.offset], pa.float64())], ["weights", "slopes", "offset"])
+
+    found = picked.select("doc_id", "label", "text").repartition(1).mapInArrow(frugal(fitted), "weights binary, slopes array<double>, offset double").collect()
+    if not found:  # an empty table may have no task
+        return train([], np.zeros(0, np.int64), totals)
+    return Model(np.frombuffer(found[0]["weights"], np.float32), np.array(found[0]["slopes"]), found[0]["offset"])
 
 
 def toxicity(docs: DataFrame, model: Model, folds: int = 4, held_out: int = 2, threshold: float = 0.3) -> DataFrame:

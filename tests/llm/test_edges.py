@@ -1,11 +1,14 @@
 """Empty tables through every stage, slices, clashing names, ids with two labels."""
 
+import os
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import common, folds, html_extract, jaccard, media, quality_rules, suffix_dedup
+from tessera.llm import common, folds, html_extract, jaccard, media, membership, quality_rules, suffix_dedup, toxicity
 from tessera.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -112,3 +115,44 @@ def test_only_sets_that_pairs_need_are_dealt_out(spark):
     few = common.cut(classes.where("id < 50"))
     got = {r.name for r in jaccard.fetched_sets(docs, few).collect()}
     assert {name[i] for i in range(50)} <= got and len(got) < 200
+
+
+def test_toxicity_is_trained_in_a_task(spark, monkeypatch):
+    def train(texts, labels, totals):
+        import os
+
+        import numpy as np
+
+        from tessera.llm import toxicity
+
+        return toxicity.Model(np.full(4, len(texts), np.float32), np.array([labels.sum()], float), float(os.getpid()))
+
+    monkeypatch.setattr(toxicity, "train", train)
+    docs = spark.createDataFrame([(i, f"text {i}" if i else None) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    training = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert model.weights.tolist() == [len(training)] * 4 and model.slopes.tolist() == [sum(i % 2 for i in training)]
+    assert model.offset != os.getpid()  # not in the driver
+    monkeypatch.undo()
+    assert toxicity.fit_toxicity(docs.limit(0), labels).scores([b"text"]).shape == (1,)
+
+
+def test_narrow_tables_of_the_join_take_few_tasks(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        keys = spark.range(500).withColumnRenamed("id", "key")
+        bits = membership.bitmap(keys, "key")
+        assert bits.rows.rdd.getNumPartitions() <= common.LEAST_TASKS
+        assert membership.maybe(keys, "key", bits).where("__maybe").count() == 500
+        members = spark.createDataFrame([(g, c, 9, 3, 1) for g in range(4) for c in range(g, g + 9)], "gram long, name long, n long, lists long, spare long")
+        weights = members.groupBy("name").agg({"gram": "count"}).withColumnRenamed("count(gram)", "lists").selectExpr("name", "lists", "lists as shared")
+        span = jaccard.open_to_links(members.select("gram", "name", "n"), weights, 36)
+        assert {(r.gram, r.name) for r in span.collect()} == {(g, c) for g in range(4) for c in range(g, g + 9)}
+        pairs = jaccard.hub_pairs(jaccard.labelled(members, None, 36), 1, 1, 36)
+        assert {(r.a, r.b) for r in pairs.collect()} >= {(0, 1), (0, 2)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
