@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions.terms import intrinsic_weights, query_terms, term_forms
 from tessera.functions.text import term_match
 from tessera.operators import batch, corpus, evaluation, lexical
+from tessera.plans import batch_queries
 from tessera.plans.batch import batch_ranked, evaluate_batch, retrieve_batch
 from tessera.plans.retrieve import Options, retrieve
 from tessera.sources import carriers
@@ -117,3 +118,26 @@ def test_hits_are_found_where_files_are_read(spark, files, questions, monkeypatc
         assert table(batch.batch_top(corpus.corpus_search(both, terms, limit), limit), "score", "position") == table(batch.batch_top(want, limit), "score", "position")
     plan = corpus.corpus_search(files, terms)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+def test_lots_grow_with_the_questions_only(spark, monkeypatch):
+    """A corpus with any number of words is read in as many lots as its questions' spellings need."""
+    monkeypatch.setattr(corpus, "LOT", 100)
+    files = spark.createDataFrame([("a.rs", "\n".join(f"claim{i} x.claims{i}" for i in range(300)))], "path string, text string")
+    terms = batch.question_terms(spark.createDataFrame([(1, "claims")], "query_id long, question string"))
+    assert len(list(corpus._lots(files, terms))) == 1
+    assert corpus.corpus_hits(files, terms).count() == 300
+
+
+@pytest.fixture(scope="module")
+def long_tables(spark, tmp_path_factory):
+    """A document of 2500 lines, and a question of more terms than a search of one question takes."""
+    folder = str(tmp_path_factory.mktemp("long"))
+    text = "\n".join(f"alpha {i}" for i in range(2500)) + "\nword0 word39"
+    spark.createDataFrame([(1, text, "en", "web", len(text)), (2, "word39 word13 word35", "fr", "web", 20)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta. " + " ".join(f"word{i}" for i in range(40)))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_all_lines_of_long_files_are_hits(spark, long_tables):
+    assert batch_queries.batch_hits(spark, long_tables).where("query_id = 1000").count() == 2500
