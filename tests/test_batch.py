@@ -141,3 +141,9 @@ def long_tables(spark, tmp_path_factory):
 
 def test_all_lines_of_long_files_are_hits(spark, long_tables):
     assert batch_queries.batch_hits(spark, long_tables).where("query_id = 1000").count() == 2500
+
+
+def test_search_has_all_terms_and_lines(spark, long_tables):
+    found = batch_queries.batch_search(spark, long_tables)
+    assert found.where("query_id = 1000").count() == 2500
+    assert {(r.path, r.line_no): r.mask for r in found.where("query_id = 1001").collect()} == {("web/doc_1.rs", 2501): "0,3,39", ("web/doc_2.py", 1): "1,3,13,35,39"}
